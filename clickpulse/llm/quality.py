@@ -7,6 +7,7 @@ probability of being good then replaces a filter that demands that all rules pas
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from .common import cut
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long, n_letters long, n_distinct long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long, n_letters long, n_distinct long, n_bare long"
+_BARE = re.compile(rb"(?<![^ \t\n\x0b\x0c\r])[^A-Za-z0-9\x80-\xff \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -58,8 +60,9 @@ def measure_text(text: str | None) -> tuple[int, ...]:
         len(lines),
         repeated_words(words),
         upper,
-        upper + lower,
+        upper + lower + len(tight) - continued - len(tight.translate(None, bytes(range(128, 256)))),  # beyond ASCII: letters
         len(set(words)),
+        len(_BARE.findall(raw)),
     )
 
 
@@ -89,11 +92,12 @@ def rule_votes() -> dict[str, Column]:
     return {
         "length": _vote(words < 10, words >= 300),
         "symbols": _vote(share("n_symbols", "n_words") > 0.25, (words >= 20) & (share("n_symbols", "n_words") < 0.05)),
-        "dup_lines": _vote(share("n_dup_lines", "n_lines") > 0.3, (F.col("n_lines") >= 4) & (share("n_dup_lines", "n_lines") < 0.1)),
-        "repeats": _vote(share("n_repeat_words", "n_words") > 0.4, (words >= 30) & (share("n_repeat_words", "n_words") < 0.2)),
+        "dup_lines": _vote((F.col("n_dup_lines") >= 3) & (share("n_dup_lines", "n_lines") > 0.3), (F.col("n_lines") >= 4) & (share("n_dup_lines", "n_lines") < 0.1)),
+        "repeats": _vote(share("n_repeat_words", "n_words") > 0.45, (words >= 30) & (share("n_repeat_words", "n_words") < 0.2)),
         "word_length": _vote((words >= 10) & ((mean > 15) | (mean < 2.5)), (words >= 20) & mean.between(3, 10)),
         "upper": _vote((letters >= 30) & (share("n_upper", "n_letters") > 0.5), (letters >= 60) & (share("n_upper", "n_letters") < 0.2)),
-        "letters": _vote((words >= 10) & (share("n_letters", "word_chars") < 0.5), (words >= 20) & (share("n_letters", "word_chars") > 0.75)),
+        "letters": _vote((words >= 10) & (share("n_letters", "word_chars") < 0.7), (words >= 20) & (share("n_letters", "word_chars") > 0.75)),
+        "bare": _vote((words >= 10) & (share("n_bare", "n_words") > 0.15), (words >= 20) & (share("n_bare", "n_words") < 0.05)),
         "variety": _vote((words >= 50) & (share("n_distinct", "n_words") < 0.15), (words >= 50) & (share("n_distinct", "n_words") > 0.3)),
     }
 
@@ -130,7 +134,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float = 0.7, rounds:
 def judge_quality(documents: DataFrame, least: float = 0.5, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Measures of every text with ``p_good`` (posterior) and ``good`` (``p_good >= least``).
 
-    The votes of all documents are counted by pattern; with 8 rules there are 3^8 = 6561 patterns at most, so
+    The votes of all documents are counted by pattern; with 9 rules there are 3^9 = 19683 patterns at most, so
     the counts that reach the driver, and the posteriors that go back, have a fixed bound. Null and empty texts
     have no words; repeated rows stay; an empty table gives an empty result. Columns other than ``keep`` are ignored.
     """
