@@ -6,13 +6,15 @@ of time, carry a signature component, and in the last block a level that halving
 ``w`` don't count. A component's value is the earliest point that falls on it, so two texts agree on a component
 with a probability equal to their weighted Jaccard similarity. Points are only drawn until all components are set.
 
-Bands of the signature propose pairs, all of which are verified by the overlap of the multisets:
+Bands of the signature propose pairs, which are verified by the overlap of the multisets:
 
-1. In each bucket every text is paired with the bucket's smallest one; a text first tries one such partner.
-2. Then it tries the smallest text of every bucket it isn't yet connected to.
-3. What is left are buckets that still hold texts of different components: all their cross pairs are verified.
+1. Every text tries one partner: of its buckets' most popular members (that share most buckets) the most popular one.
+2. What is left are buckets that still hold texts of different components. Each is dealt in blocks, so that a task holds
+   one block of bounded size while the bucket's other texts stream past it, and all its pairs across components
+   are compared: by size and by their whole signatures first (pairs more than 4 standard deviations short of the
+   similarity are out), then exactly. Only links leave the task.
 
-So pairs are spelled out only between components that the cheaper rounds did not join.
+So no pair is spelled out as a row, except one for each text.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ BANDS = 40
 ROWS = 8
 #: Texts of a batch are worked on in parts of about so many bytes.
 PART_BYTES = 2_000_000
+#: Bounds of a block of a bucket.
+BLOCK_TEXTS = 1024
+BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -107,14 +112,6 @@ def _runs(made: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), owner
 
 
-def bag_keys(made: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
-    """Each text's multiset as a set: the k-th repetition of a shingle has a key of its own."""
-    starts, _ = _runs(made, stops)
-    nth = np.arange(len(made)) - np.repeat(starts, np.diff(starts, append=len(made)))
-    keys = np.where(nth > 0, _mix(made + nth.astype(_U) * _GOLD), made).view(np.int64)
-    return np.split(keys, stops[:-1]) if len(stops) else []
-
-
 def bag_signatures(made: np.ndarray, stops: np.ndarray, size: int, slack: float = 4.0) -> np.ndarray:
     """Signatures (a row of ``size`` times for each text) of the multisets from :func:`shingles`."""
     starts, owner = _runs(made, stops)
@@ -183,7 +180,7 @@ def content_key(text: Column) -> Column:
 
 
 def band_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bands``; texts without words are left out."""
+    """``key, text`` to ``key, bands, marks`` (a byte for each component); texts without words are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,33 +188,113 @@ def band_table(texts: DataFrame) -> DataFrame:
                 made, stops = shingles(part)
                 full = np.flatnonzero(np.diff(stops, prepend=0) > 0)
                 if len(full):
-                    hashes = band_hashes(bag_signatures(made, stops, BANDS * ROWS)[full])
-                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(hashes)})
+                    signature = bag_signatures(made, stops, BANDS * ROWS)[full]
+                    marks = [m.tobytes() for m in _mix(signature.view(_U)).astype(np.uint8)]
+                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(band_hashes(signature)), "marks": marks})
 
-    return texts.mapInPandas(run, "key binary, bands array<long>")
+    return texts.mapInPandas(run, "key binary, bands array<long>, marks binary")
 
 
 def bag_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bag`` (keys of the multiset, none twice) and ``n``."""
+    """``key, text`` to ``key, bag`` (its different shingles, sorted), ``times`` (how often each) and ``n`` (all)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, part in _parts(batch["text"]):
-                bags = bag_keys(*shingles(part))
-                yield pd.DataFrame({"key": batch["key"].iloc[at : at + len(part)].to_numpy(), "bag": bags, "n": [len(b) for b in bags]})
+                made, stops = shingles(part)
+                starts, _ = _runs(made, stops)
+                times = np.diff(starts, append=len(made)).astype(np.int32)
+                ends = np.searchsorted(starts, stops)[:-1]
+                yield pd.DataFrame({
+                    "key": batch["key"].iloc[at : at + len(part)].to_numpy(),
+                    "bag": np.split(made[starts].view(np.int64), ends),
+                    "times": np.split(times, ends),
+                    "n": np.diff(stops, prepend=0),
+                })
+
+    return texts.mapInPandas(run, "key binary, bag array<long>, times array<int>, n int")
+
 
-    return texts.mapInPandas(run, "key binary, bag array<long>, n int")
+def overlap(bag_a: np.ndarray, times_a: np.ndarray, bag_b: np.ndarray, times_b: np.ndarray) -> int:
+    """Shingles that two multisets share."""
+    _, i, j = np.intersect1d(bag_a, bag_b, assume_unique=True, return_indices=True)
+    return int(np.minimum(times_a[i], times_b[j]).sum())
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Those pairs ``u, v`` whose multisets overlap enough: shared / (all - shared) >= ``similarity``."""
-    left = bags.select(F.col("key").alias("u"), F.col("bag").alias("bag_u"), F.col("n").alias("n_u"))
-    right = bags.select(F.col("key").alias("v"), F.col("bag").alias("bag_v"), F.col("n").alias("n_v"))
-    sizes = pairs.join(bags.select(F.col("key").alias("u"), F.col("n").alias("n_u")), "u").join(bags.select(F.col("key").alias("v"), F.col("n").alias("n_v")), "v")
-    able = sizes.where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")).select("u", "v")  # sizes alone rule out the rest
-    shared = F.size(F.array_intersect("bag_u", "bag_v"))
-    joined = able.join(left, "u").join(right, "v").withColumn("shared", shared)
-    return joined.where(F.col("shared") >= similarity * (F.col("n_u") + F.col("n_v") - F.col("shared"))).select("u", "v")
+    sides = [bags.select(F.col("key").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("times").alias(f"times_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"]
+    sizes = [side.select(x, f"n_{x}") for side, x in zip(sides, "uv", strict=True)]
+    able = pairs.join(sizes[0], "u").join(sizes[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))  # sizes alone rule out the rest
+    joined = able.select("u", "v").join(sides[0], "u").join(sides[1], "v")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shared = np.array([overlap(a, x, b, y) for a, x, b, y in zip(batch["bag_u"], batch["times_u"], batch["bag_v"], batch["times_v"], strict=True)], dtype=float)
+            yield batch.loc[shared >= similarity * (batch["n_u"].to_numpy() + batch["n_v"].to_numpy() - shared), ["u", "v"]]
+
+    return joined.mapInPandas(run, "u binary, v binary")
+
+
+def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` between texts of one bucket and different components.
+
+    ``open_members``: ``band, no`` (the band's number), ``key, root``. Every pair of a bucket meets once: each text is
+    held in its block, and streams past its own block and those of lower numbers.
+    """
+    rows = open_members.join(bags, "key")
+    blocks = rows.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.size("bag")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    columns = ["band", "block", "role", "no", "key", "root", "marks", "bag", "times", "n"]
+    held = placed.withColumn("block", F.col("own")).withColumn("role", F.lit(0)).select(columns)
+    passing = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("role", F.when(F.col("own") == F.col("block"), 1).otherwise(2)).select(columns)
+    alike = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
+
+    def compare(here: dict, row, own: bool, joined: dict) -> Iterator[tuple]:
+        def find(x: bytes) -> bytes:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        near = np.minimum(here["n"], row.n) >= similarity * np.maximum(here["n"], row.n)
+        near &= here["root"] != row.root
+        if own:
+            near &= here["key"] < row.key
+        at = np.flatnonzero(near)
+        same = here["marks"][at] == np.frombuffer(row.marks, dtype=np.uint8)
+        share = same.mean(1)
+        at, same = at[share >= alike], same[share >= alike]
+        if len(at):  # a pair that shares several bands belongs to the first of them
+            first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+            at = at[first == row.no]
+        for i in at:
+            if find(here["root"][i]) == find(row.root):
+                continue  # connected meanwhile
+            shared = overlap(here["bag"][i], here["times"][i], row.bag, row.times)
+            if shared >= similarity * (here["n"][i] + row.n - shared):
+                joined[find(here["root"][i])] = find(row.root)
+                yield here["key"][i], row.key
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, here, joined = None, [], None, {}
+        for batch in batches:
+            found = []
+            for (band, block, role), part in batch.groupby(["band", "block", "role"], sort=False):
+                if (band, block) != at:
+                    at, parts, here, joined = (band, block), [], None, {}
+                if role == 0:
+                    parts.append(part)
+                    continue
+                if here is None:
+                    whole = pd.concat(parts, ignore_index=True)
+                    here = {c: whole[c].to_numpy() for c in ("key", "root", "bag", "times", "n")}
+                    here["marks"] = np.stack([np.frombuffer(m, dtype=np.uint8) for m in whole["marks"]])
+                for row in part.itertuples(index=False):
+                    found += compare(here, row, role == 1, joined)
+            yield pd.DataFrame(found, columns=["u", "v"])
+
+    together = held.unionByName(passing).repartition("band", "block").sortWithinPartitions("band", "block", "role")
+    return together.mapInPandas(run, "u binary, v binary").distinct()
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,45 +302,29 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
 
     Groups are the connected components of links: exact copies, and texts with a weighted Jaccard similarity of
     their five-word shingles of ``similarity`` or more. Null texts and texts without words link with nothing and are
-    kept. Of repeated rows with the same key one is kept if their texts link; rows with a null key stay and are never
-    a group's smallest unless all keys are null, when ``class_id`` is null. An empty table gives no rows. Columns
-    other than these two are ignored.
+    kept. Rows that repeat a key share its verdict; a row with a null key goes if its group has a row with a key. An
+    empty table gives no rows. Columns other than these two are ignored.
     """
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), content_key(F.coalesce(text, F.lit(""))).alias("key"))
     worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", "text")
-    bands = cut(band_table(worded).groupBy("key").agg(F.first("bands").alias("bands")))
-    placed = bands.select("key", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("band", "lead")
+    signed = band_table(worded)
+    bands = cut(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
+    placed = bands.select("key", F.posexplode("bands").alias("no", "band"))
+    shared = placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size")
     members = cut(placed.join(shared, "band"))
-    wanted = members.select("key").distinct()
-    bags = cut(bag_table(worded.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key", "left_semi")))
-
-    tries = members.where("key <> lead").select(F.col("key").alias("u"), F.col("lead").alias("v"))
-    once = tries.groupBy("u").agg(F.min("v").alias("v"))
-    links = cut(_verified(once, bags, similarity))
-    roots = connected_components(links)
-
-    def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    apart = rooted(rooted(tries.distinct(), "u", "root_u"), "v", "root_v").where("root_u <> root_v").select("u", "v").join(once, ["u", "v"], "left_anti")
-    links = cut(links.union(_verified(apart, bags, similarity)))
+    popular = members.groupBy("key").agg(F.sum("size").alias("popular"))
+    texts = worded.groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
+    bags = cut(bag_table(texts).join(bands.select("key", "marks"), "key"))
+
+    known = members.join(popular, "key")
+    leads = known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead"))
+    tries = known.join(leads, "band").where("key <> lead.key").groupBy("key").agg(F.max("lead").alias("lead"))
+    links = cut(_verified(tries.select(F.col("key").alias("u"), F.col("lead.key").alias("v")), bags, similarity))
     roots = connected_components(links)
 
-    held = cut(rooted(members, "key", "root").select("band", "key", "root", "lead"))
-    parts = held.select("band", "root").distinct()
-    several = parts.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("band")
-    parts = parts.join(several, "band", "left_semi")
-    cross = parts.select("band", F.col("root").alias("root_u")).join(parts.select("band", F.col("root").alias("root_v")), "band").where("root_u > root_v")
-    inside = held.select("band", "root", "key")
-    pairs = (
-        cross.join(inside.select("band", F.col("root").alias("root_u"), F.col("key").alias("a")), ["band", "root_u"])
-        .join(inside.select("band", F.col("root").alias("root_v"), F.col("key").alias("b")), ["band", "root_v"])
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-        .join(tries.distinct(), ["u", "v"], "left_anti")
-    )
-    links = cut(links.union(_verified(pairs, bags, similarity)))
+    held = members.select("band", "no", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("band")
+    links = cut(links.union(_links_within(cut(held.join(several, "band", "left_semi")), bags, similarity)))
     roots = connected_components(links)
 
     # exact copies share a key already; texts without words have a class for each row
