@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import NO_SPANS, spans_of
+from .common import cut
+from .spans import spans_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -93,9 +94,9 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
 def findings_by_path(versions: DataFrame, scanned: DataFrame, text: str = "text") -> DataFrame:
     """Joins findings back: every row of ``versions`` (its columns but the text) with ``blob`` and ``spans``.
 
-    Only blobs with findings are joined, so the side that repeats per path stays narrow; a blob that a
-    third of all paths hold is one row on the right.
+    Only blobs with findings are joined, from a table that is written first: it is small, so Spark may broadcast it,
+    and where it isn't, a blob that a third of all paths hold is one row of it and the paths can be split.
     """
     names = [c for c in versions.columns if c not in (text, "blob", "spans")]
-    found = scanned.where(F.size("spans") > 0).select("blob", "spans")
+    found = cut(scanned.where(F.size("spans") > 0).select("blob", "spans"))
     return versions.select(*names, blob_of(F.col(text)).alias("blob")).join(found, "blob", "left").select(*names, "blob", F.coalesce("spans", F.array().cast(FOUND)).alias("spans"))
