@@ -138,12 +138,12 @@ state AS (
   FROM fit3 JOIN w USING (feature) GROUP BY feature
 ), dow_means AS (SELECT DISTINCT feature, dow, dow_mean FROM fit0 WHERE dow_mean IS NOT NULL),
 centred AS (
-  SELECT daily.date, daily.feature, daily.value, s.*EXCLUDE (feature), CASE WHEN use_dow THEN dow_mean ELSE center END AS at
+  SELECT daily.date, daily.feature, daily.value, s.*EXCLUDE (feature), CASE WHEN use_dow THEN dow_mean ELSE center END AS mid
   FROM daily JOIN state s ON s.feature = daily.feature LEFT JOIN dow_means m ON m.feature = daily.feature AND m.dow = isodow(daily.date) - 1
 ), checked AS (
-  SELECT date, feature, direction, value, use_dow AS dow_used, value - at AS residual, sigma, (value - at) / CASE WHEN sigma > 0 THEN sigma END AS residual_sigmas,
-    coalesce(CASE WHEN direction = -1 THEN value - at > hi ELSE value - at < lo END, false) AS is_anomaly,
-    coalesce(value - at > hi, false) OR coalesce(value - at < lo, false) AS is_two_sided, at + lo AS corridor_lo, at + hi AS corridor_hi FROM centred
+  SELECT date, feature, direction, value, use_dow AS dow_used, value - mid AS residual, sigma, (value - mid) / CASE WHEN sigma > 0 THEN sigma END AS residual_sigmas,
+    coalesce(CASE WHEN direction = -1 THEN value - mid > hi ELSE value - mid < lo END, false) AS is_anomaly,
+    coalesce(value - mid > hi, false) OR coalesce(value - mid < lo, false) AS is_two_sided, mid + lo AS corridor_lo, mid + hi AS corridor_hi FROM centred
 ), active AS (
   SELECT scores.*, n_sessions, n_users, converted_sessions, mean_searches_to_cart, mean_unique_queries_to_cart, mean_time_to_cart_s, coalesce(n_alerts, 0) AS n_anomalies_active,
     coalesce(names, '') AS alert_features, coalesce(n_alerts, 0) > 0 AS has_alert, CASE WHEN health IS NULL THEN 'none' WHEN health < 95 THEN 'bad' WHEN health > 105 THEN 'good' ELSE 'normal' END AS band
@@ -154,8 +154,8 @@ centred AS (
   LEFT JOIN (SELECT date, count(*) AS n_alerts, string_agg(feature, ',' ORDER BY feature) AS names FROM checked WHERE is_anomaly GROUP BY date) USING (date)
 ), totals AS (SELECT date, sum(group_weight) AS total FROM groups WHERE n_used > 0 GROUP BY date),
 decomp AS (
-  SELECT date, 'group' AS level, grp AS "group", NULL AS feature, NULL AS category, NULL AS today_value, NULL AS baseline_value, NULL AS direction, score AS index_value, group_weight / total * score AS contribution,
-    NULL AS is_anomaly, NULL AS dow_used, NULL AS residual, NULL AS sigma, NULL AS corridor_lo, NULL AS corridor_hi, NULL AS n_sessions_today, NULL AS base_weight, NULL AS today_share, NULL AS included, NULL AS skip_reason
+  SELECT date, 'group' AS level, grp AS "group", CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS DOUBLE) AS today_value, CAST(NULL AS DOUBLE) AS baseline_value, CAST(NULL AS INT) AS direction, score AS index_value, group_weight / total * score AS contribution,
+    CAST(NULL AS BOOLEAN) AS is_anomaly, CAST(NULL AS BOOLEAN) AS dow_used, CAST(NULL AS DOUBLE) AS residual, CAST(NULL AS DOUBLE) AS sigma, CAST(NULL AS DOUBLE) AS corridor_lo, CAST(NULL AS DOUBLE) AS corridor_hi, CAST(NULL AS BIGINT) AS n_sessions_today, CAST(NULL AS DOUBLE) AS base_weight, CAST(NULL AS DOUBLE) AS today_share, CAST(NULL AS BOOLEAN) AS included, CAST(NULL AS VARCHAR) AS skip_reason
   FROM groups LEFT JOIN totals USING (date)
   UNION ALL SELECT i.date, 'feature', i.grp, i.feature, NULL, i.value, i.base_value, i.direction, i.index_value, g.group_weight / total * i.index_value / nullif(n_used, 0),
     CASE WHEN i.value IS NOT NULL THEN is_anomaly END, CASE WHEN i.value IS NOT NULL THEN dow_used END, residual, CASE WHEN i.value IS NOT NULL THEN sigma END, CASE WHEN i.value IS NOT NULL THEN corridor_lo END,
@@ -324,7 +324,7 @@ ORACLES: dict[str, str] = {
       SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 6) AS width, (SELECT n FROM nn) AS n_days, (SELECT round(median(health), 6) FROM hd) AS median FROM ms""",
     "injection_suite": f""", cl AS (SELECT c.*, date_diff('day', DATE '2024-01-21', date) AS o FROM centred c WHERE date >= '2024-01-21'),
       fa AS (SELECT cl.*, scenario, value - direction * {_SUITE_SIZE} * sigma AS bad FROM cl, (VALUES ('spike'), ('step'), ('drift')) sc(scenario)),
-      al AS (SELECT *, coalesce(CASE WHEN direction = -1 THEN bad - at > hi ELSE bad - at < lo END, false) AND NOT coalesce(CASE WHEN direction = -1 THEN value - at > hi ELSE value - at < lo END, false) AS hit FROM fa),
+      al AS (SELECT *, coalesce(CASE WHEN direction = -1 THEN bad - mid > hi ELSE bad - mid < lo END, false) AND NOT coalesce(CASE WHEN direction = -1 THEN value - mid > hi ELSE value - mid < lo END, false) AS hit FROM fa),
       mv AS (SELECT al.*, g.group_weight / total / n_used * ((CASE WHEN al.direction = -1 THEN 200 - 100 * bad / base_value ELSE 100 * bad / base_value END) - index_value) AS delta
         FROM al JOIN idx i ON i.date = al.date AND i.feature = al.feature JOIN groups g ON g.date = al.date AND g.grp = i.grp JOIN totals t ON t.date = al.date)
       SELECT feature, scenario, count(*) FILTER (WHERE hit) AS n_alerts, min(o) FILTER (WHERE hit) AS first_alert_after, bool_or(hit) AS detected, round(min(delta), 6) AS delta_health FROM mv GROUP BY feature, scenario""",
