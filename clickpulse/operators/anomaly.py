@@ -46,12 +46,12 @@ def fit_detector(daily: DataFrame, directions: list[tuple[str, int]], k: float =
 
 
 def save_detector(state: DataFrame, path: str) -> None:
-    state.coalesce(1).write.mode("overwrite").json(path)  # a row per feature
+    state.coalesce(1).write.mode("overwrite").parquet(path)  # a row per feature
 
 
 def load_detector(spark: SparkSession, path: str) -> DataFrame:
     """A saved state; fails on another version. Null thresholds load as null."""
-    state = spark.read.schema(STATE).json(path)
+    state = spark.read.schema(STATE).parquet(path)
     wrong = F.raise_error(F.concat(F.lit("detector state of version "), F.col("version").cast("string")))
     return state.withColumn("version", F.when(F.col("version") == STATE_VERSION, F.col("version")).otherwise(wrong.cast("int")))
 
