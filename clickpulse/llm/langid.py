@@ -23,7 +23,7 @@ NGRAMS = (2, 3, 4)
 #: Labelled documents per language that a fit reads, chosen by a hash of the key; the fit's stated bound.
 FIT_PER_LANGUAGE = 1500
 #: The most frequent n-grams that each language's filter holds.
-PER_FILTER = 6000
+PER_FILTER = 3000
 SLOTS = 1 << 18
 PROBES = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +92,7 @@ class LanguageFilters:
         return mask
 
     def decide(self, text: str | None) -> tuple[str, float]:
-        """Language and score (the best language's part of what all languages explain, times what it covers)."""
+        """Language and score: the part of the text's n-grams that the language's filter truly holds."""
         if not text or not self.languages:
             return UNKNOWN, 0.0
         hashes = ngram_hashes(text)
@@ -102,9 +102,7 @@ class LanguageFilters:
         counts = np.array([np.count_nonzero(masks[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], dtype=float)
         true = np.clip((counts - len(hashes) * self.false_rate) / (1 - self.false_rate), 0, None)
         best = int(true.argmax())  # of equal languages the first in order
-        if true.sum() <= 0:
-            return self.languages[best], 0.0
-        return self.languages[best], float(min(1.0, true[best] / true.sum() * min(1.0, 0.5 + true[best] / len(hashes))))
+        return self.languages[best], float(min(1.0, true[best] / len(hashes)))
 
 
 def bounded_sample(labelled: DataFrame, per_group: int, group: str, key: str) -> DataFrame:

@@ -13,10 +13,10 @@ from clickpulse.llm import bpe, langid, minhash, mixing, pii
 from clickpulse.llm.common import hash_share, shared_dir
 from clickpulse.llm.queries import MIX_TARGETS, RANK_FILE, fit_on_train, label_domains
 
-#: The mix may take up to this many times the tokens it is given, so that clean documents need not go to reach the targets.
+#: Tokens to reach, as a multiple of those given. At 1, rates of clean documents come out above 1, so all of them stay.
 BUDGET = 1.0
-#: Texts whose language is less certain go.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Texts of which no language explains this part of the n-grams go.
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
