@@ -7,6 +7,7 @@ tokens of each domain (the sum of rate x tokens x posterior) meet their targets
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash_share
 
-#: Hashed words that the classifier tells apart.
-BUCKETS = 4096
+#: Hash buckets of words.
+BUCKETS = 1 << 16
+#: The most telling buckets that the classifier keeps, and how telling one must be: by chi-square against equal shares, and
+#: by the logarithm of its largest rate over its smallest.
+FEATURES = 2000
+LEAST_CHI_SQUARE = 30.0
+LEAST_LIFT = 1.0
 #: Labelled documents per domain that a fit reads, chosen by a hash of the key; the fit's stated bound.
 FIT_PER_DOMAIN = 4000
-#: Words beyond this number speak for a document in proportion, as repeated prose isn't independent evidence.
-EVIDENCE = 60.0
 
 
 def words_of(text: Column) -> Column:
@@ -39,69 +43,119 @@ def label_sample(labels: DataFrame, per_domain: int, key: str, domain: str) -> D
     return chosen.where(hash_share(F.col(key).cast("string"), 29) * F.col("_n") < per_domain).select(key, domain)
 
 
-def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = FIT_PER_DOMAIN, key: str = "doc_id", text: str = "text", domain: str = "domain") -> tuple[np.ndarray, np.ndarray]:
-    """A naive Bayes model of hashed words: log priors by domain, log word chances by domain and bucket.
+@dataclass(frozen=True)
+class DomainModel:
+    """``prior``: log shares of labels by domain. ``lift``: by kept bucket, log rates among a domain's words.
+
+    ``other``: log rates of all other words together. Rates are relative to their mean over domains.
+    """
+
+    prior: np.ndarray
+    lift: dict[int, np.ndarray]
+    other: np.ndarray
+
+    def table(self, domain: int) -> Column:
+        """Lifts of one domain by bucket (0 for buckets that aren't kept), as one constant array."""
+        values = ["0"] * BUCKETS
+        for bucket, lift in self.lift.items():
+            values[bucket] = repr(float(lift[domain]))
+        return F.split(F.lit(",".join(values)), ",").cast("array<double>")
+
+
+def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = FIT_PER_DOMAIN, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
+    """A multinomial naive Bayes model of hashed words: the telling ones, and all others as one.
 
     Reads about ``per_domain`` labelled documents of each domain (a broadcast of that bounded sample of keys finds
-    them), but the priors count all labels. What reaches the driver is a row per domain and bucket.
+    them), but the priors count all labels. Buckets are ranked by chi-square in Spark; the driver gets those kept.
     """
     labels = labels.where(F.col(domain).isin(domains) & F.col(key).isNotNull()).select(key, domain)
     prior = {r[domain]: r["count"] for r in labels.groupBy(domain).count().collect()}
     sample = label_sample(labels, per_domain, key, domain)
-    words = documents.select(key, text).join(F.broadcast(sample), key).select(domain, F.explode(F.array_distinct(F.transform(words_of(F.col(text)), _bucket))).alias("bucket"))
-    counts = np.zeros((len(domains), BUCKETS))
-    for r in words.groupBy(domain, "bucket").count().collect():
-        counts[domains.index(r[domain]), r["bucket"]] = r["count"]
-    n = np.array([prior.get(d, 0) for d in domains], dtype=float) + 1
-    chance = counts + 1.0 / BUCKETS
-    return np.log(n / n.sum()), np.log(chance / chance.sum(1, keepdims=True))
-
-
-def posterior(text: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
-    """An array of domain chances for a text, computed in place; without words the priors."""
-    prior, chance = model
-    lift = chance - chance.mean(0)  # only differences between domains count
-    tables = [F.lit([float(x) for x in row]) for row in lift]
-    zero = F.struct(F.lit(0.0).alias("n"), *[F.lit(0.0).alias(f"d{k}") for k in range(len(prior))])
+    logs = np.log(np.array([prior.get(d, 0) for d in domains], dtype=float) + 1)
+    logs -= np.log(np.exp(logs).sum())
+    words = documents.select(key, text).join(F.broadcast(sample), key).select(domain, F.explode(F.transform(words_of(F.col(text)), _bucket)).alias("bucket"))
+    names = [f"n{i}" for i in range(len(domains))]
+    counts = cut(words.groupBy("bucket").agg(*[F.count_if(F.col(domain) == d).alias(n) for n, d in zip(names, domains, strict=True)]))  # BUCKETS rows at most
+    sums = counts.agg(*[F.sum(n).alias(n) for n in names]).first()
+    total = np.array([sums[n] or 0 for n in names], dtype=float)
+    if not total.sum():
+        return DomainModel(logs, {}, np.zeros(len(domains)))
+    have = [i for i, x in enumerate(total) if x]
+    of_bucket = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    expected = {i: of_bucket * float(total[i] / total.sum()) for i in have}
+    chi = reduce(lambda a, b: a + b, [F.pow(F.col(names[i]) - expected[i], 2) / expected[i] for i in have])
+    rates = F.array(*[F.log((F.col(names[i]) + 0.5) / F.lit(float(total[i]))) for i in have])
+    telling = (F.col("chi") >= LEAST_CHI_SQUARE) & (F.array_max(rates) - F.array_min(rates) >= LEAST_LIFT)
+    kept = counts.withColumn("chi", chi).where(telling).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
+    lift, rest = {}, np.ones(len(domains))
+    for r in kept:
+        rate = np.array([r[n] for n in names], dtype=float)
+        rest[have] -= rate[have] / total[have]
+        chance = np.log((rate[have] + 0.5) / total[have])
+        lift[r["bucket"]] = np.zeros(len(domains))
+        lift[r["bucket"]][have] = chance - chance.mean()
+    other = np.zeros(len(domains))
+    other[have] = np.log(np.maximum(rest[have], 1e-6))
+    other[have] -= other[have].mean()
+    return DomainModel(logs, lift, other)
+
+
+def posterior(text: Column, model: DomainModel) -> Column:
+    """An array of domain chances for a text, computed in place from all its words; without words the priors."""
+    if not model.lift:
+        return F.array(*[F.lit(float(x)) for x in np.exp(model.prior)])
+    tables = [model.table(k) for k in range(len(model.prior))]
+    words = words_of(text)
+    telling = F.filter(F.transform(words, _bucket), lambda b: F.get(tables[0], b) != 0)
+    zero = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(tables))])
 
     def add(acc: Column, bucket: Column) -> Column:
-        return F.struct((acc["n"] + 1).alias("n"), *[(acc[f"d{k}"] + F.get(t, bucket)).alias(f"d{k}") for k, t in enumerate(tables)])
-
-    buckets = F.transform(words_of(text), _bucket)
+        return F.struct(*[(acc[f"d{k}"] + F.get(t, bucket)).alias(f"d{k}") for k, t in enumerate(tables)])
 
     def chances(s: Column) -> Column:
-        part = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(s["n"], F.lit(1.0)))
-        logs = F.array(*[F.lit(float(p)) + s[f"d{k}"] * part for k, p in enumerate(prior)])
+        logs = F.array(*[float(p) + s["seen"][f"d{k}"] + s["others"] * float(o) for k, (p, o) in enumerate(zip(model.prior, model.other, strict=True))])
         return F.transform(F.array(logs), lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))[0]
 
-    raw = F.transform(F.array(F.aggregate(buckets, zero, add)), chances)[0]
+    def weigh(found: Column, n: Column) -> Column:
+        return F.struct(F.aggregate(found, zero, add).alias("seen"), (n - F.size(found)).alias("others"))
+
+    seen = F.transform(F.array(F.struct(telling.alias("found"), F.size(words).alias("n"))), lambda x: weigh(x["found"], x["n"]))
+    raw = F.transform(seen, chances)[0]
     return F.transform(F.array(raw), lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y)))[0]
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, close: float = 1e-4) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close: float = 1e-4) -> list[np.ndarray]:
     """Steps of projected-gradient least squares; ``members`` has ``tokens`` and ``chances``.
 
     Minimises the squared gaps between expected domain tokens and ``targets`` over rates >= 0, from rates of 1.
     Gradients are scaled by 1 / tokens (so the length of a document doesn't decide) and gaps by the inverse of the
-    domains' Gram matrix. A document's rate follows from its chances and the steps alone, so a round is one
-    aggregation with a number per domain; the rates are never gathered.
+    domains' Gram matrix over documents whose rate is above 0. A document's rate follows from its chances and the steps
+    alone, so a round is one aggregation with a few numbers per domain; the rates are never gathered. It ends when the
+    gaps are ``close`` (as a part of the targets), when they no longer shrink (targets out of reach), or after ``rounds``.
     """
     k = len(targets)
     p = [F.get("chances", F.lit(i)) for i in range(k)]
-    row = members.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    gram = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    scale = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     steps: list[np.ndarray] = []
+    best, stuck = np.inf, 0
     for _ in range(rounds):
         rate = rate_of(F.col("chances"), steps)
-        sums = members.agg(*[F.sum(rate * F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        gap = np.array([sums[f"s{i}"] or 0.0 for i in range(k)]) - targets
-        if np.abs(gap).sum() <= close * max(targets.sum(), 1e-9):
+        rated = members.select("tokens", "chances", rate.alias("rate"))
+        moves = F.when(F.col("rate") > 0, F.col("tokens"))
+        row = rated.agg(
+            *[F.sum(F.col("rate") * F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)],
+            *[F.sum(moves * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs],
+        ).first()
+        gap = np.array([row[f"s{i}"] or 0.0 for i in range(k)]) - targets
+        wrong = np.abs(gap).sum()
+        stuck = 0 if wrong < 0.999 * best else stuck + 1
+        best = min(best, wrong)
+        if wrong <= close * max(targets.sum(), 1e-9) or stuck > 4:
             break
-        steps.append(scale @ gap)
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+        steps.append(np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9)) @ gap)
     return steps
 
 
@@ -115,7 +169,7 @@ def rate_of(chances: Column, steps: list[np.ndarray]) -> Column:
     return reduce(move, steps, F.lit(1.0))
 
 
-def memberships(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def memberships(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """Adds ``tokens`` (words) and ``chances`` (the posterior by domain) to each row; row-wise, no shuffle."""
     kept = [c for c in documents.columns if c not in ("tokens", "chances")]
     value = F.col(text)
@@ -131,7 +185,7 @@ def with_rates(members: DataFrame, steps: list[np.ndarray], draw: Column) -> Dat
     return members.select(*kept, "rate", copies.cast("long").alias("copies"))
 
 
-def fit_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", budget: float = 1.0, keep: tuple[str, ...] = ()) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+def fit_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", budget: float = 1.0, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DomainModel, list[np.ndarray]]:
     """Fits classifier and rates. Returns the members' table (``keep``, ``tokens``, ``chances``), the model and the steps.
 
     ``labels``: ``key, domain``. ``targets``: the wanted share of tokens by domain, of ``budget`` times all tokens.

@@ -18,7 +18,7 @@ URL_RULES = (
 )
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Shares of tokens by the domains that ``labels`` tell apart.
-MIX_TARGETS = {"clean": 0.94, "toxic": 0.03, "junk": 0.03}
+MIX_TARGETS = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}
 CONTROL_TURNS = "</s>[INST] ok [/INST]"
 
 

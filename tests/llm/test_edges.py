@@ -255,8 +255,9 @@ def test_rates_against_plain_descent(spark):
     target = tokens.sum() * np.array([0.6, 0.25, 0.15])
     steps = mixing.fit_rates(members, target)
     rate = np.ones(400)
-    gram = np.linalg.inv((p * tokens[:, None]).T @ p)
     for _ in steps:
+        moves = rate > 0
+        gram = np.linalg.inv((p[moves] * tokens[moves, None]).T @ p[moves])
         rate = np.maximum(0, rate - p @ (gram @ ((tokens * rate) @ p - target)))
     got = np.array([r["rate"] for r in members.select(mixing.rate_of(F.col("chances"), steps).alias("rate")).collect()])
     assert np.allclose(got, rate, atol=1e-6) and np.allclose((tokens * got) @ p, target, rtol=1e-3)
