@@ -239,9 +239,12 @@ def test_mix(spark, docs):
     got = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5}).collect()
     assert len(got) == docs.count()
     assert all(abs(sum(r["chances"]) - 1) < 1e-9 and r["rate"] >= 0 and r["copies"] >= 0 for r in got)
-    total = sum(r["tokens"] for r in got)
+    rows = [(i, ("red green " if i % 4 else "blue black ") * (i % 7 + 3)) for i in range(200)]
+    told = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(100)], "doc_id long, domain string"), {"a": 0.5, "b": 0.5}, keep=("doc_id",)).collect()
+    total = sum(r["tokens"] for r in told)
     for k in (0, 1):
-        assert abs(sum(r["tokens"] * r["rate"] * r["chances"][k] for r in got) - total / 2) < 0.01 * total
+        assert abs(sum(r["tokens"] * r["rate"] * r["chances"][k] for r in told) - total / 2) < 0.01 * total
+    assert all((r["chances"][0] > 0.9) == bool(r["doc_id"] % 4) for r in told)
     assert mixing.mix(docs.limit(0), labels, {"a": 0.5, "b": 0.5}).count() == 0
     assert mixing.mix(docs, labels.limit(0), {"a": 0.5, "b": 0.5}).count() == docs.count()
 
