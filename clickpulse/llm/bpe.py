@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries after which a worker's memory of pairs or pieces starts anew.
-MEMORY = 200_000
+#: Entries after which a worker's memory of pairs or pieces becomes the older generation and a new one starts.
+MEMORY = 300_000
 
 
 class BytePairCoder:
@@ -32,6 +32,7 @@ class BytePairCoder:
         self.pieces = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.finder = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.finder.add_word(token.decode("latin-1"), (len(token), rank))
@@ -68,38 +69,48 @@ class BytePairCoder:
         starts: list[list[tuple[int, int]]] = [[] for _ in raw]  # tokens that begin at each byte, shorter ones first
         for end, (size, rank) in self.finder.iter(raw.decode("latin-1")):
             starts[end - size + 1].append((size, rank))
+        size_of, pairs, compatible = len(raw), self.pairs, self.compatible
         path: list[tuple[int, int, int]] = []  # place, token, and how many choices are left there
-        failed = bytearray(len(raw) + 1)
-        at, left = 0, len(starts[0])
-        while at < len(raw):
-            before = path[-1][1] if path else -1
+        failed = bytearray(size_of + 1)
+        at, left, before = 0, len(starts[0]), -1
+        while at < size_of:
+            here = starts[at]
             while left:
                 left -= 1
-                size, rank = starts[at][left]
-                if not failed[at + size] and (before < 0 or self.compatible(before, rank)):
+                size, rank = here[left]
+                if failed[at + size]:
+                    continue
+                fits = before < 0 or pairs.get((before, rank))
+                if fits is None:
+                    fits = compatible(before, rank)
+                if fits:
                     path.append((at, rank, left))
-                    at += size
-                    left = len(starts[at]) if at < len(raw) else 0
+                    at, before = at + size, rank
+                    left = len(starts[at]) if at < size_of else 0
                     break
             else:
                 failed[at] = 1
                 if not path:
                     raise ValueError("the vocabulary lacks a byte of this text")
                 at, _, left = path.pop()
-        return tuple(rank for _, rank, _ in path)
+                before = path[-1][1] if path else -1
+        return tuple([rank for _, rank, _ in path])
+
+    def recall(self, piece: str) -> tuple[int, ...]:
+        """A piece that this generation of the memory lacks; long ones are not kept."""
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= 64:
+            if len(self.known) >= MEMORY:
+                self.known, self.older = {}, self.known
+            self.known[piece] = found
+        return found
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        known = self.known
         for piece in self.pieces.findall(text):
-            found = known.get(piece)
-            if found is None:
-                found = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = found
-            ids += found
+            ids += self.known.get(piece) or self.recall(piece)
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
