@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
 #: Texts of a batch are worked on in parts of about so many bytes.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 #: Bounds of a block of a bucket.
 BLOCK_TEXTS = 1024
 BLOCK_SHINGLES = 1_000_000
