@@ -134,12 +134,12 @@ def segment_labels(a: Analysis) -> DataFrame:
 
 @query
 def category_fold(a: Analysis) -> DataFrame:
-    return summary.fold_categories(a.sessions, SHOP.min_category_sessions).groupBy("category").agg(F.count(F.lit(1)).alias("n_sessions"), F.count_distinct("date").alias("n_days"))
+    return summary.fold_categories(a.kept_sessions, SHOP.min_category_sessions).groupBy("category").agg(F.count(F.lit(1)).alias("n_sessions"), F.count_distinct("date").alias("n_days"))
 
 
 @query
 def km_median(a: Analysis) -> DataFrame:
-    return summary.km_median(summary.fold_categories(a.sessions, SHOP.min_category_sessions), min_events=SHOP.km_min_events)
+    return summary.km_median(summary.fold_categories(a.kept_sessions, SHOP.min_category_sessions), min_events=SHOP.km_min_events)
 
 
 @query

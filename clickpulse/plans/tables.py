@@ -55,13 +55,18 @@ class Analysis:
             return self._sessions
         return sessions.build_sessions(self.events, self.products, self.settings.gap_min, self.settings.chunk_days)
 
+    @cached_property
+    def kept_sessions(self) -> DataFrame:
+        """For what reads sessions more than once: a stored table as it is, else built once and kept by the session."""
+        return self.sessions if self._sessions is not None else self.sessions.persist()
+
     @cached_property
     def enriched(self) -> DataFrame:
         return enrich.enrich_sessions(self.sessions, self.products)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return summary.day_summary(self.sessions, self.settings.min_category_sessions, self.settings.km_min_events).persist()
+        return summary.day_summary(self.kept_sessions, self.settings.min_category_sessions, self.settings.km_min_events).persist()
 
     @cached_property
     def features(self) -> DataFrame:
