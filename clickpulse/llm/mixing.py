@@ -20,7 +20,7 @@ from .common import cut, hash_share
 BUCKETS = 1 << 16
 #: The most telling buckets that the classifier keeps, and how telling one must be: by chi-square against equal shares, and
 #: by the logarithm of its largest rate over its smallest.
-FEATURES = 2000
+FEATURES = 512
 LEAST_CHI_SQUARE = 30.0
 LEAST_LIFT = 1.0
 #: Labelled documents per domain that a fit reads, chosen by a hash of the key; the fit's stated bound.
@@ -54,12 +54,12 @@ class DomainModel:
     lift: dict[int, np.ndarray]
     other: np.ndarray
 
-    def table(self, domain: int) -> Column:
-        """Lifts of one domain by bucket (0 for buckets that aren't kept), as one constant array."""
-        values = ["0"] * BUCKETS
-        for bucket, lift in self.lift.items():
-            values[bucket] = repr(float(lift[domain]))
-        return F.split(F.lit(",".join(values)), ",").cast("array<double>")
+    def buckets(self) -> list[int]:
+        return sorted(self.lift)
+
+    def constant(self, values: list, kind: str) -> Column:
+        """One constant array; spelled as text, which Spark folds, as a literal for each value would swell the plan."""
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = FIT_PER_DOMAIN, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
@@ -104,13 +104,16 @@ def posterior(text: Column, model: DomainModel) -> Column:
     """An array of domain chances for a text, computed in place from all its words; without words the priors."""
     if not model.lift:
         return F.array(*[F.lit(float(x)) for x in np.exp(model.prior)])
-    tables = [model.table(k) for k in range(len(model.prior))]
+    kept = model.buckets()
+    places = model.constant(kept, "int")
+    tables = [model.constant([float(model.lift[b][k]) for b in kept], "double") for k in range(len(model.prior))]
     words = words_of(text)
-    telling = F.filter(F.transform(words, _bucket), lambda b: F.get(tables[0], b) != 0)
+    telling = F.filter(F.transform(words, _bucket), lambda b: b.isin(kept))  # few words of a text, found in a hash set
     zero = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(tables))])
 
     def add(acc: Column, bucket: Column) -> Column:
-        return F.struct(*[(acc[f"d{k}"] + F.get(t, bucket)).alias(f"d{k}") for k, t in enumerate(tables)])
+        at = (F.array_position(places, bucket) - 1).cast("int")
+        return F.struct(*[(acc[f"d{k}"] + F.get(t, at)).alias(f"d{k}") for k, t in enumerate(tables)])
 
     def chances(s: Column) -> Column:
         logs = F.array(*[float(p) + s["seen"][f"d{k}"] + s["others"] * float(o) for k, (p, o) in enumerate(zip(model.prior, model.other, strict=True))])
