@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Entries after which a worker's memory of pairs or pieces becomes the older generation and a new one starts.
-MEMORY = 300_000
+MEMORY = 80_000
 
 
 class BytePairCoder:
@@ -135,6 +137,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, text: str =
         coder = _coder(path, pattern)
         return pd.Series([coder.encode(x or "") for x in texts], dtype=object)
 
+    bound_batches(documents.sparkSession)
     return documents.withColumn(into, encode(F.col(text)))
 
 
@@ -143,6 +146,7 @@ def digest_tokens(documents: DataFrame, path: str, pattern: str, text: str = "te
 
     Works on one text at a time, so the ids of a batch are never held together.
     """
+    bound_batches(documents.sparkSession)
     from_text = documents.select(*keep, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in from_text.schema.fields[:-1])
 

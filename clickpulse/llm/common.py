@@ -33,8 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def empty_if_null(c: Column | str) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+#: Bytes of texts that an Arrow batch brings to a Python worker at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of an Arrow batch to ``BATCH_BYTES``, so that long texts don't add up in Python."""
+    if not 0 < int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def hash_share(key: Column, salt: int = 0) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share
+from .common import bound_batches, hash_share
 
 UNKNOWN = "und"
 NGRAMS = (2, 3, 4)
@@ -148,6 +148,7 @@ def identify(documents: DataFrame, filters: LanguageFilters, text: str = "text",
     def decide(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.decide(x) for x in texts], columns=["lang", "score"])
 
+    bound_batches(documents.sparkSession)
     name, score = into
     found: Column = F.col("_found")
     kept = [c for c in documents.columns if c not in into]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .components import connected_components
 
 WORDS = 5
@@ -305,6 +305,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
     kept. Rows that repeat a key share its verdict; a row with a null key goes if its group has a row with a key. An
     empty table gives no rows. Columns other than these two are ignored.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), content_key(F.coalesce(text, F.lit(""))).alias("key"))
     worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", "text")
     signed = band_table(worded)

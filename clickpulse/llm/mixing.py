@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut, hash_share
 
 #: Hash buckets of words.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: The most telling buckets that the classifier keeps, and how telling one must be: by chi-square against equal shares, and
 #: by the logarithm of its largest rate over its smallest.
 FEATURES = 512
@@ -105,15 +105,15 @@ def posterior(text: Column, model: DomainModel) -> Column:
     if not model.lift:
         return F.array(*[F.lit(float(x)) for x in np.exp(model.prior)])
     kept = model.buckets()
-    places = model.constant(kept, "int")
+    numbers = dict(zip(kept, range(1, len(kept) + 1), strict=True))
+    places = model.constant([numbers.get(b, 0) for b in range(BUCKETS)], "int")  # found by index: a text has many words
     tables = [model.constant([float(model.lift[b][k]) for b in kept], "double") for k in range(len(model.prior))]
     words = words_of(text)
-    telling = F.filter(F.transform(words, _bucket), lambda b: b.isin(kept))  # few words of a text, found in a hash set
+    telling = F.filter(F.transform(words, lambda w: F.get(places, _bucket(w))), lambda place: place > 0)  # few words of a text
     zero = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(tables))])
 
-    def add(acc: Column, bucket: Column) -> Column:
-        at = (F.array_position(places, bucket) - 1).cast("int")
-        return F.struct(*[(acc[f"d{k}"] + F.get(t, at)).alias(f"d{k}") for k, t in enumerate(tables)])
+    def add(acc: Column, place: Column) -> Column:
+        return F.struct(*[(acc[f"d{k}"] + F.get(t, place - 1)).alias(f"d{k}") for k, t in enumerate(tables)])
 
     def chances(s: Column) -> Column:
         logs = F.array(*[float(p) + s["seen"][f"d{k}"] + s["others"] * float(o) for k, (p, o) in enumerate(zip(model.prior, model.other, strict=True))])

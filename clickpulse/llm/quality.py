@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -68,6 +68,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 def measure(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Measures every whole text; one row per row of ``documents``, with its columns ``keep``."""
+    bound_batches(documents.sparkSession)
     schema = documents.select(*keep, F.lit("").alias("_text")).schema
     names = [f.split()[0] for f in MEASURES.split(", ")]
 
