@@ -245,7 +245,7 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
     rows = open_members.join(bags, "key")
     blocks = rows.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.size("bag")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = rows.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    columns = ["band", "block", "role", "no", "key", "root", "marks", "bag", "times", "n"]
+    columns = ["band", "block", "role", "no", "key", "root", "bands", "marks", "bag", "times", "n"]
     held = placed.withColumn("block", F.col("own")).withColumn("role", F.lit(0)).select(columns)
     passing = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("role", F.when(F.col("own") == F.col("block"), 1).otherwise(2)).select(columns)
     alike = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
@@ -261,11 +261,10 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
         if own:
             near &= here["key"] < row.key
         at = np.flatnonzero(near)
-        same = here["marks"][at] == np.frombuffer(row.marks, dtype=np.uint8)
-        share = same.mean(1)
-        at, same = at[share >= alike], same[share >= alike]
-        if len(at):  # a pair that shares several bands belongs to the first of them
-            first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+        share = (here["marks"][at] == np.frombuffer(row.marks, dtype=np.uint8)).mean(1)
+        at = at[share >= alike]
+        if len(at):  # a pair that shares several bands belongs to the first of them; marks can't tell, as a byte may collide
+            first = (here["bands"][at] == row.bands).argmax(1)
             at = at[first == row.no]
         for i in at:
             if find(here["root"][i]) == find(row.root):
@@ -288,6 +287,7 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
                 if here is None:
                     whole = pd.concat(parts, ignore_index=True)
                     here = {c: whole[c].to_numpy() for c in ("key", "root", "bag", "times", "n")}
+                    here["bands"] = np.stack(whole["bands"])
                     here["marks"] = np.stack([np.frombuffer(m, dtype=np.uint8) for m in whole["marks"]])
                 for row in part.itertuples(index=False):
                     found += compare(here, row, role == 1, joined)
@@ -315,7 +315,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
     members = cut(placed.join(shared, "band"))
     popular = members.groupBy("key").agg(F.sum("size").alias("popular"))
     texts = worded.groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
-    bags = cut(bag_table(texts).join(bands.select("key", "marks"), "key"))
+    bags = cut(bag_table(texts).join(bands, "key"))
 
     known = members.join(popular, "key")
     leads = known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead"))

@@ -200,6 +200,36 @@ def test_minhash_hot_cloud(spark):
     assert got == plain(range(300), links)
 
 
+def groups_of_three(spark, groups):
+    """Classes that near_duplicates gives texts of which the first two of each three are alike (0.82), the third less (0.79), and
+    those by the links of all pairs that share a band."""
+    from tests.llm.test_brute_force import components as plain
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(groups):
+        for changed in ([20], [50], [80, 81, 82]):  # of 100 shingles
+            words = [f"g{g}w{i}" for i in range(104)]
+            for at in changed:
+                words[at] = f"g{g}v{at}"
+            texts.append(" ".join(words))
+    order = [int(i) for i in rng.permutation(len(texts))]
+    made, stops = minhash.shingles(texts)
+    bands = minhash.band_hashes(minhash.bag_signatures(made, stops, minhash.BANDS * minhash.ROWS))
+    bags = [set(b.tolist()) for b in np.split(made, stops[:-1])]
+    pairs = [pair for g in range(0, len(texts), 3) for pair in ((g, g + 1), (g, g + 2), (g + 1, g + 2))]
+    links = [(order[a], order[b]) for a, b in pairs if (bands[a] == bands[b]).any() and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    assert len(links) > 0.99 * groups
+    got = minhash.near_duplicates(spark.createDataFrame(list(zip(order, texts, strict=True)), "doc_id long, text string")).toPandas()
+    return got.set_index("doc_id")["class_id"].to_dict(), plain(range(len(texts)), links)
+
+
+def test_minhash_near_the_threshold(spark):
+    """No link is lost where bytes of the marks agree by chance in a band that isn't shared."""
+    got, want = groups_of_three(spark, 3000)
+    assert got == want
+
+
 def test_embeddings(spark):
     schema = "vec_id long, embedding array<float>, label int, key int, home int"
     rows = [(None, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 1.0]), (5, [0.0, 3.0]), (6, [1e30, 1e30]), (7, [1.0])]
