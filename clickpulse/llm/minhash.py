@@ -284,6 +284,8 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
                 if role == 0:
                     parts.append(part)
                     continue
+                if not parts:
+                    continue  # no text hashed into this block
                 if here is None:
                     whole = pd.concat(parts, ignore_index=True)
                     here = {c: whole[c].to_numpy() for c in ("key", "root", "bag", "times", "n")}

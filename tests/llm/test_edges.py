@@ -230,6 +230,13 @@ def test_minhash_near_the_threshold(spark):
     assert got == want
 
 
+def test_minhash_empty_blocks(spark, monkeypatch):
+    """Buckets are cut by the sum of shingles, so that some blocks hold no text (as with a few texts of some MB each)."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 50)
+    got, want = groups_of_three(spark, 50)
+    assert got == want
+
+
 def test_embeddings(spark):
     schema = "vec_id long, embedding array<float>, label int, key int, home int"
     rows = [(None, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 1.0]), (5, [0.0, 3.0]), (6, [1e30, 1e30]), (7, [1.0])]
