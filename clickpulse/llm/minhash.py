@@ -299,17 +299,14 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
     return together.mapInPandas(run, "u binary, v binary").distinct()
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, ``class_id`` (the smallest key of its group) and ``kept`` (the row that stays).
+#: Texts with a word.
+_WORDED = r"[^\x20\x09-\x0D]"
 
-    Groups are the connected components of links: exact copies, and texts with a weighted Jaccard similarity of
-    their five-word shingles of ``similarity`` or more. Null texts and texts without words link with nothing and are
-    kept. Rows that repeat a key share its verdict; a row with a null key goes if its group has a row with a key. An
-    empty table gives no rows. Columns other than these two are ignored.
-    """
-    bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), content_key(F.coalesce(text, F.lit(""))).alias("key"))
-    worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", "text")
+
+def _roots(rows: DataFrame, similarity: float) -> DataFrame:
+    """``text, key`` to ``node, root``: the keys of texts that link with others, and the smallest key of their group."""
+    bound_batches(rows.sparkSession)
+    worded = rows.where(F.col("text").rlike(_WORDED)).select("key", "text")
     signed = band_table(worded)
     bands = cut(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
     placed = bands.select("key", F.posexplode("bands").alias("no", "band"))
@@ -328,12 +325,41 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
     held = members.select("band", "no", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("band")
     links = cut(links.union(_links_within(cut(held.join(several, "band", "left_semi")), bags, similarity)))
-    roots = connected_components(links)
+    return connected_components(links)
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``key``, ``class_id`` (the smallest key of its group) and ``kept`` (the row that stays).
+
+    Groups are the connected components of links: exact copies, and texts with a weighted Jaccard similarity of
+    their five-word shingles of ``similarity`` or more. Null texts and texts without words link with nothing and are
+    kept. Rows that repeat a key share its verdict; a row with a null key goes if its group has a row with a key. An
+    empty table gives no rows. Columns other than these two are ignored.
+    """
+    rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), content_key(F.coalesce(text, F.lit(""))).alias("key"))
+    roots = _roots(rows, similarity)
 
     # exact copies share a key already; texts without words have a class for each row
-    named = rows.select("doc", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("key")).alias("key"))
+    named = rows.select("doc", F.when(F.col("text").rlike(_WORDED), F.col("key")).alias("key"))
     named = named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc", F.coalesce("root", "key").alias("class"))
     least = named.where("class is not null").groupBy("class").agg(F.min("doc").alias("class_id"))
     judged = named.join(least, "class", "left")
     alone = F.col("class").isNull()
     return judged.select(F.col("doc").alias(key), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("doc").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: one row of each group of :func:`near_duplicates`.
+
+    It is the row with the group's smallest key (null comes last); if several texts of the group have that key, the
+    one with the smallest hash; of rows that repeat both, any. All rows with null texts or without words stay.
+    """
+    named = documents.select("*", content_key(F.coalesce(text, F.lit(""))).alias("_key"), F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_doc"))
+    worded = F.coalesce(F.col(text).rlike(_WORDED), F.lit(False))
+    rows = named.where(worded).select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col("_key").alias("key"), "_null", "_doc")
+    roots = _roots(rows, similarity).select(F.col("node").alias("key"), "root")
+    least = rows.drop("text").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(F.struct("_null", "doc", "key", "_doc")).alias("least"))
+    chosen = least.select(F.col("least.key").alias("_key"), "least._null", "least._doc")
+    by = ["_key", "_null", "_doc"]
+    stay = named.where(worded).join(chosen, by).dropDuplicates(by)
+    return stay.select(documents.columns).unionByName(named.where(~worded).select(documents.columns))

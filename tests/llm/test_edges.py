@@ -237,6 +237,15 @@ def test_minhash_empty_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_deduplicate_by_row(spark):
+    """Repeated and null ids: a text that has no copy stays, and one row of each group."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (None, a), (3, c), (3, c), (None, d), (None, d), (4, None), (4, None), (5, " ")]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string"), "")
+    assert got.columns == ["doc_id", "lang", "text"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, d), (4, None), (4, None), (5, " ")]))
+
+
 def test_embeddings(spark):
     schema = "vec_id long, embedding array<float>, label int, key int, home int"
     rows = [(None, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 1.0]), (5, [0.0, 3.0]), (6, [1e30, 1e30]), (7, [1.0])]
