@@ -134,42 +134,73 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 40, close:
     Gradients are scaled by 1 / tokens (so the length of a document doesn't decide) and gaps by the inverse of the
     domains' Gram matrix over documents whose rate is above 0. A document's rate follows from its chances and the steps
     alone, so a round is one aggregation with a few numbers per domain; the rates are never gathered. It ends when the
-    gaps are ``close`` (as a part of the targets), when they no longer shrink (targets out of reach), or after ``rounds``.
+    gaps are ``close`` (as a part of the targets). When they no longer shrink (targets out of reach), or after ``rounds``,
+    the fit goes on from the rates of the smallest squared gap with steps of which each is searched for its length.
     """
     k = len(targets)
     p = [F.get("chances", F.lit(i)) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    steps: list[np.ndarray] = []
-    best, stuck = np.inf, 0
-    for _ in range(rounds):
-        rate = rate_of(F.col("chances"), steps)
-        rated = members.select("tokens", "chances", rate.alias("rate"))
+
+    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The gaps after ``steps`` and the Gram matrix of the documents that still have a rate."""
+        rated = members.select("tokens", "chances", rate_of(F.col("chances"), steps).alias("rate"))
         moves = F.when(F.col("rate") > 0, F.col("tokens"))
         row = rated.agg(
             *[F.sum(F.col("rate") * F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)],
             *[F.sum(moves * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs],
         ).first()
-        gap = np.array([row[f"s{i}"] or 0.0 for i in range(k)]) - targets
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]) - targets, gram
+
+    def scaled(gap: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9)) @ gap
+
+    steps: list[np.ndarray] = []
+    best, stuck, least, kept, steepest = np.inf, 0, np.inf, 0, 0.0
+    for n in range(rounds + 1):
+        gap, gram = measure(steps)
         wrong = np.abs(gap).sum()
+        if wrong <= close * max(targets.sum(), 1e-9):
+            return steps
+        if n == 0:
+            steepest = np.linalg.eigvalsh(gram)[-1]
+        if gap @ gap < least:
+            least, kept = gap @ gap, n
         stuck = 0 if wrong < 0.999 * best else stuck + 1
         best = min(best, wrong)
-        if wrong <= close * max(targets.sum(), 1e-9) or stuck > 4:
+        if stuck > 4 or n == rounds:
+            break
+        steps.append(scaled(gap, gram))
+    steps, stuck = steps[:kept], 0
+    for _ in range(rounds if steepest > 0 else 0):
+        gap, gram = measure(steps)
+        # the scaled step may not shrink the gap where rates are cut off at 0; the plain one of length 1 always does
+        tries = [scaled(gap, gram) * x for x in (1, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 64)] + [gap / steepest * x for x in (1, 4, 16, 64, 256)]
+        rated = members.select("tokens", "chances", rate_of(F.col("chances"), steps).alias("rate"))
+        moved = rated.select("tokens", "chances", *[moved_by(F.col("rate"), F.col("chances"), x).alias(f"r{t}") for t, x in enumerate(tries)])
+        row = moved.agg(*[F.sum(F.col(f"r{t}") * F.col("tokens") * p[i]).alias(f"s{t}_{i}") for t in range(len(tries)) for i in range(k)]).first()
+        gaps = [np.array([row[f"s{t}_{i}"] or 0.0 for i in range(k)]) - targets for t in range(len(tries))]
+        t = int(np.argmin([g @ g for g in gaps]))
+        if not gaps[t] @ gaps[t] < least:
+            break
+        steps.append(tries[t])
+        stuck = 0 if gaps[t] @ gaps[t] < 0.999 * least else stuck + 1
+        least = gaps[t] @ gaps[t]
+        if stuck > 4 or np.abs(gaps[t]).sum() <= close * max(targets.sum(), 1e-9):
             break
-        gram = np.zeros((k, k))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-        steps.append(np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9)) @ gap)
     return steps
 
 
-def rate_of(chances: Column, steps: list[np.ndarray]) -> Column:
-    """A document's rate after ``steps``: from 1, each step moves it and cuts it off at 0."""
+def moved_by(rate: Column, chances: Column, step: np.ndarray) -> Column:
+    """A rate after one more step, cut off at 0."""
+    return F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [F.get(chances, F.lit(i)) * float(x) for i, x in enumerate(step)]))
 
-    def move(rate: Column, step: np.ndarray) -> Column:
-        moved = reduce(lambda a, b: a + b, [F.get(chances, F.lit(i)) * float(x) for i, x in enumerate(step)])
-        return F.greatest(F.lit(0.0), rate - moved)
 
-    return reduce(move, steps, F.lit(1.0))
+def rate_of(chances: Column, steps: list[np.ndarray]) -> Column:
+    """A document's rate after ``steps``: from 1, each step moves it and cuts it off at 0."""
+    return reduce(lambda rate, step: moved_by(rate, chances, step), steps, F.lit(1.0))
 
 
 def memberships(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:

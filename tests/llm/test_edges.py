@@ -312,6 +312,21 @@ def test_rates_against_plain_descent(spark):
     assert np.allclose(got, rate, atol=1e-6) and np.allclose((tokens * got) @ p, target, rtol=1e-3)
 
 
+def test_rates_of_targets_out_of_reach(spark):
+    """The rates returned are close to the closest that there are, which lie on the ray of the most extreme document."""
+    rng = np.random.default_rng(2)
+    a = rng.uniform(0.3, 0.6, 400)
+    p = np.stack([a, 1 - a], axis=1)
+    tokens = rng.integers(1, 500, 400)
+    members = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p, strict=True)], "tokens long, chances array<double>")
+    share = np.array([0.9, 0.1])
+    steps = mixing.fit_rates(members, tokens.sum() * share)
+    rate = np.array([r["rate"] for r in members.select(mixing.rate_of(F.col("chances"), steps).alias("rate")).collect()])
+    ray = p[a.argmax()] / np.linalg.norm(p[a.argmax()])
+    gap, least = np.linalg.norm((tokens * rate) @ p / tokens.sum() - share), np.linalg.norm(share - ray * (ray @ share))
+    assert least <= gap + 1e-9 and gap < 1.03 * least
+
+
 def test_pipeline(spark, sf_dir):
     """Stage by stage over sf0.01: columns, what goes and what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
