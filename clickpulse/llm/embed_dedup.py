@@ -132,9 +132,11 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
     their own. An empty table gives no rows. Columns other than these two are ignored.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    plain = embeddings.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    kind = "float" if plain.schema["vector"].dataType.elementType.typeName() == "float" else "double"  # others fit into a double
+    rows = plain.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     usual = rows.where("vector is not null").agg(F.mode(F.size("vector"), True)).first()[0] or 0
-    content = F.unhex(F.left(F.sha2(F.array_join(F.transform("vector", lambda x: F.hex(F.format_string("%s", x + F.lit(0.0).cast("float")))), ","), 256), F.lit(32)))
+    content = F.unhex(F.left(F.sha2(F.array_join(F.transform("vector", lambda x: F.hex(F.format_string("%s", x + F.lit(0.0).cast(kind)))), ","), 256), F.lit(32)))
     good = usable(F.col("vector"), F.lit(usual))
     keyed = rows.select("id", "vector", F.when(good, content).alias("key"))
     # exact copies are one row from here on
@@ -168,7 +170,7 @@ def _search(distinct: DataFrame, index, similarity: float) -> DataFrame:
             if len(batch):
                 yield batch.assign(visited=list(index.value.order(_unit(batch["vector"]))))
 
-    placed = cut(distinct.mapInPandas(place, "key binary, vector array<float>, copies long, visited array<int>"))
+    placed = cut(distinct.mapInPandas(place, f"key binary, vector {distinct.schema['vector'].dataType.simpleString()}, copies long, visited array<int>"))
     home = F.get("visited", F.lit(0))
     blocks = placed.groupBy(home.alias("cell")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))  # a row per cell
     residents = placed.join(blocks, home == F.col("cell")).select("cell", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), home.alias("home"), "key", "copies", "vector", "visited")

@@ -255,6 +255,13 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_doubles(spark):
+    """Doubles that floats can't tell apart aren't copies, and values beyond a float's range link."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-12]), (3, [1.0 + 1e-12, 0.0]), (4, [0.0, 1e200]), (5, [0.0, 2e200])]
+    near = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert near == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_index_recall():
     """Of pairs at exactly the similarity asked for, the fitted number of visits finds the target share."""
     rng = np.random.default_rng(0)
