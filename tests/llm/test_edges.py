@@ -168,6 +168,40 @@ def test_bpe_random_pieces():
         assert coder.encode(text) == library.encode_ordinary(text)
 
 
+def test_bpe_compatible_pairs():
+    """Against the definition: merging the joined bytes by rank gives the two tokens again. Small memories change nothing."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coder = bpe.BytePairCoder.from_rank_file(path, pattern)
+
+    def merged(raw):
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while True:
+            able = [(coder.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in coder.ranks]
+            if not able:
+                return parts
+            i = min(able)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = np.random.default_rng(4)
+    tokens = list(coder.ranks)
+    near = [t for t in tokens if len(t) < 6 and set(t) <= set(b"aeinorst ")]
+    pairs = [(tokens[i], tokens[j]) for i, j in rng.integers(0, len(tokens), (2000, 2))] + [(near[i], near[j]) for i, j in rng.integers(0, len(near), (6000, 2))]
+    got = [coder.compatible(coder.ranks[a], coder.ranks[b]) for a, b in pairs]
+    assert got == [merged(a + b) == [a, b] for a, b in pairs] and 0.05 < np.mean(got) < 0.95
+
+
+def test_bpe_small_memory(monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("aeinorsth"), rng.integers(1, 12))) for _ in range(60)) for _ in range(40)]
+    wide = bpe.BytePairCoder.from_rank_file(path, pattern)
+    want = [wide.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "PIECES", 10)
+    monkeypatch.setattr(bpe, "PAIRS", 10)
+    small = bpe.BytePairCoder.from_rank_file(path, pattern)
+    assert [small.encode(t) for t in texts] == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3), (7, None), (1000, 1001)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
