@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end; what is wanted of them must have been written by then."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,11 +58,36 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound of an Arrow batch to ``BATCH_BYTES``, so that long texts don't add up in Python."""
+    """Lowers the session's bound of an Arrow batch to ``BATCH_BYTES``, so that long texts don't add up in Python.
+
+    Plans run later than they are built, so the bound stays lowered for the session; it changes no result.
+    """
     if not 0 < int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))) <= BATCH_BYTES:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (in any case of letters)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def text_chunks(text: str, size: int) -> Iterator[str]:
+    """A text in chunks of about ``size`` characters, each cut before a blank; only a longer word makes a longer chunk."""
+    at = 0
+    while len(text) - at > size:
+        end = text.rfind(" ", at + 1, at + size)
+        if end < 0:
+            end = text.find(" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def hash_share(key: Column, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 50)) / F.lit(float(1 << 50))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_share
+from .common import bound_batches, cut, free_name, hash_share, text_chunks
 
 UNKNOWN = "und"
 NGRAMS = (2, 3, 4)
@@ -26,6 +26,8 @@ FIT_PER_LANGUAGE = 1500
 PER_FILTER = 3000
 SLOTS = 1 << 18
 PROBES = 3
+#: Characters of a text that are hashed at once.
+CHUNK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,8 +37,16 @@ def _letters() -> np.ndarray:
     return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), dtype=np.uint32, count=0x110000)
 
 
-def ngram_hashes(text: str) -> np.ndarray:
-    """Hashes of the n-grams of all words of a text, with word edges as blanks; letters only, lower-cased."""
+def ngram_hashes(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of all words of a text, with word edges as blanks; letters only, lower-cased.
+
+    A long text comes in several arrays, cut between words, so that memory follows ``CHUNK`` and the longest word.
+    """
+    for chunk in text_chunks(text, CHUNK):
+        yield _chunk_hashes(chunk)
+
+
+def _chunk_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _letters()[raw]
     blank = codes == 32
@@ -95,39 +105,54 @@ class LanguageFilters:
         """Language and score: the part of the text's n-grams that the language's filter truly holds."""
         if not text or not self.languages:
             return UNKNOWN, 0.0
-        hashes = ngram_hashes(text)
-        if not len(hashes):
+        total, counts = 0, np.zeros(len(self.languages))
+        for hashes in ngram_hashes(text):
+            masks = self.masks(hashes)
+            total += len(hashes)
+            counts += [np.count_nonzero(masks[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))]
+        if not total:
             return UNKNOWN, 0.0
-        masks = self.masks(hashes)
-        counts = np.array([np.count_nonzero(masks[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], dtype=float)
-        true = np.clip((counts - len(hashes) * self.false_rate) / (1 - self.false_rate), 0, None)
+        true = np.clip((counts - total * self.false_rate) / (1 - self.false_rate), 0, None)
         best = int(true.argmax())  # of equal languages the first in order
-        return self.languages[best], float(min(1.0, true[best] / len(hashes)))
+        return self.languages[best], float(min(1.0, true[best] / total))
 
 
 def bounded_sample(labelled: DataFrame, per_group: int, group: str, key: str) -> DataFrame:
     """About ``per_group`` rows of each ``group`` value (all of a smaller group), chosen by a hash of ``key``.
 
-    Counting the groups reads ``group`` alone; a row is then kept or not on its own, so no group is gathered. The
-    counts are broadcast: labels are a fixed set that a classifier holds whole anyway.
+    Counting the groups reads ``group`` alone; a row is then kept or not on its own, so no group is gathered. The counts are
+    written first, so that Spark knows their size and broadcasts them only if it is small.
     """
-    counts = labelled.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    return labelled.join(F.broadcast(counts), group).where(hash_share(F.col(key).cast("string"), 17) * F.col("_n") < per_group).drop("_n")
+    counts = cut(labelled.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
+    return labelled.join(counts, group).where(hash_share(F.col(key).cast("string"), 17) * F.col("_n") < per_group).drop("_n")
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = FIT_PER_LANGUAGE, per_filter: int = PER_FILTER) -> LanguageFilters:
     """Fits filters on rows with a label: the ``per_filter`` most frequent n-grams of each language.
 
-    Reads about ``per_language`` rows per language (see :func:`bounded_sample`); null texts have no n-grams. Each task counts n-grams per
-    language and keeps them all; Spark sums the counts and ranks them; the driver gets ``per_filter`` numbers per language.
+    Reads about ``per_language`` rows per language (see :func:`bounded_sample`); null texts have no n-grams. Tasks count the n-grams
+    of some texts of a language at once; Spark sums the counts and ranks them; the driver gets ``per_filter`` numbers per language.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted(name: str, found: list[np.ndarray]) -> pd.DataFrame:
+            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            return pd.DataFrame({"lang": name, "gram": grams.view(np.int64), "n": n.astype(np.int64)})
+
         for batch in batches:
             for name, part in batch.groupby("lang"):
-                grams, n = np.unique(np.concatenate([ngram_hashes(x) for x in part["text"]] or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
-                yield pd.DataFrame({"lang": name, "gram": grams.view(np.int64), "n": n.astype(np.int64)})
-
+                found, size = [], 0
+                for x in part["text"]:
+                    for hashes in ngram_hashes(x):
+                        found.append(hashes)
+                        size += len(hashes)
+                        if size > 4 * CHUNK:
+                            yield counted(name, found)
+                            found, size = [], 0
+                if found:
+                    yield counted(name, found)
+
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
     counts = bounded_sample(rows, per_language, "lang", "key").select("text", "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -148,8 +173,11 @@ def identify(documents: DataFrame, filters: LanguageFilters, text: str = "text",
     def decide(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.decide(x) for x in texts], columns=["lang", "score"])
 
+    # so marked, a filter on the result doesn't make Spark evaluate it a second time
+    decide = decide.asNondeterministic()
     bound_batches(documents.sparkSession)
     name, score = into
-    found: Column = F.col("_found")
     kept = [c for c in documents.columns if c not in into]
-    return documents.select(*kept, decide(F.col(text)).alias("_found")).select(*kept, found["lang"].alias(name), found["score"].alias(score))
+    one = free_name("_found", documents.columns)
+    found: Column = F.col(one)
+    return documents.select(*kept, decide(F.col(text)).alias(one)).select(*kept, found["lang"].alias(name), found["score"].alias(score))
