@@ -14,14 +14,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_share
+from .common import cut, free_name, hash_share
 
-#: Hash buckets of words.
+#: Hash buckets of pieces.
 BUCKETS = 1 << 14
 #: The most telling buckets that the classifier keeps, and how telling one must be: by chi-square against equal shares, and
 #: by the logarithm of its largest rate over its smallest.
 FEATURES = 512
-LEAST_CHI_SQUARE = 30.0
+LEAST_CHI_SQUARE = 12.0
 LEAST_LIFT = 1.0
 #: Labelled documents per domain that a fit reads, chosen by a hash of the key; the fit's stated bound.
 FIT_PER_DOMAIN = 4000
@@ -32,6 +32,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def pieces_of(text: Column) -> Column:
+    """Lower-cased runs of letters, of digits and of other characters but white space: what the classifier reads."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\pL++|\pN++|[^\pL\pN\x20\x09-\x0D]++"), F.lit(0))
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
@@ -45,9 +50,9 @@ def label_sample(labels: DataFrame, per_domain: int, key: str, domain: str) -> D
 
 @dataclass(frozen=True)
 class DomainModel:
-    """``prior``: log shares of labels by domain. ``lift``: by kept bucket, log rates among a domain's words.
+    """``prior``: log shares of labels by domain. ``lift``: by kept bucket, log rates among a domain's pieces.
 
-    ``other``: log rates of all other words together. Rates are relative to their mean over domains.
+    ``other``: log rates of all other pieces together. Rates are relative to their mean over domains.
     """
 
     prior: np.ndarray
@@ -63,20 +68,25 @@ class DomainModel:
 
 
 def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = FIT_PER_DOMAIN, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
-    """A multinomial naive Bayes model of hashed words: the telling ones, and all others as one.
+    """A multinomial naive Bayes model of hashed pieces of words: the telling ones, and all others as one.
 
-    Reads about ``per_domain`` labelled documents of each domain (a broadcast of that bounded sample of keys finds
-    them), but the priors count all labels. Buckets are ranked by chi-square in Spark; the driver gets those kept.
+    A bucket that a document holds c times counts log(1 + c), so that a few long texts don't make common words telling,
+    nor a long text's repetitions decide; each other bucket counts as if it came once. Reads about ``per_domain``
+    labelled documents of each domain (a broadcast of that bounded sample of keys finds them; a label or text given twice
+    for a key adds to its counts), but the priors count all labels. Buckets are ranked by chi-square in Spark; the
+    driver gets those kept.
     """
     labels = labels.where(F.col(domain).isin(domains) & F.col(key).isNotNull()).select(key, domain)
     prior = {r[domain]: r["count"] for r in labels.groupBy(domain).count().collect()}
     sample = label_sample(labels, per_domain, key, domain)
     logs = np.log(np.array([prior.get(d, 0) for d in domains], dtype=float) + 1)
     logs -= np.log(np.exp(logs).sum())
-    words = documents.select(key, text).join(F.broadcast(sample), key).select(domain, F.explode(F.transform(words_of(F.col(text)), _bucket)).alias("bucket"))
-    names = [f"n{i}" for i in range(len(domains))]
-    counts = cut(words.groupBy("bucket").agg(*[F.count_if(F.col(domain) == d).alias(n) for n, d in zip(names, domains, strict=True)]))  # BUCKETS rows at most
-    sums = counts.agg(*[F.sum(n).alias(n) for n in names]).first()
+    read = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample.select(F.col(key).alias("key"), F.col(domain).alias("domain"))), "key")
+    held = read.select("key", "domain", F.explode(F.transform(pieces_of(F.col("text")), _bucket)).alias("bucket")).groupBy("key", "domain", "bucket").count()
+    names, texts = [[f"{c}{i}" for i in range(len(domains))] for c in "nm"]
+    damped = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.log1p("count"))), F.lit(0.0)).alias(n) for n, d in zip(names, domains, strict=True)]
+    counts = cut(held.groupBy("bucket").agg(*damped, *[F.count_if(F.col("domain") == d).alias(n) for n, d in zip(texts, domains, strict=True)]))  # BUCKETS rows at most
+    sums = counts.agg(*[F.sum(n).alias(n) for n in (*names, *texts)]).first()
     total = np.array([sums[n] or 0 for n in names], dtype=float)
     if not total.sum():
         return DomainModel(logs, {}, np.zeros(len(domains)))
@@ -87,17 +97,17 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per
     rates = F.array(*[F.log((F.col(names[i]) + 0.5) / F.lit(float(total[i]))) for i in have])
     telling = (F.col("chi") >= LEAST_CHI_SQUARE) & (F.array_max(rates) - F.array_min(rates) >= LEAST_LIFT)
     kept = counts.withColumn("chi", chi).where(telling).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()
-    lift, rest = {}, np.ones(len(domains))
-    for r in kept:
-        rate = np.array([r[n] for n in names], dtype=float)
-        rest[have] -= rate[have] / total[have]
-        chance = np.log((rate[have] + 0.5) / total[have])
-        lift[r["bucket"]] = np.zeros(len(domains))
-        lift[r["bucket"]][have] = chance - chance.mean()
-    other = np.zeros(len(domains))
-    other[have] = np.log(np.maximum(rest[have], 1e-6))
-    other[have] -= other[have].mean()
-    return DomainModel(logs, lift, other)
+    mass = {r["bucket"]: np.array([r[n] for n in names], dtype=float) for r in kept}
+    other = np.log(2) * np.array([sums[n] - sum(r[n] for r in kept) for n in texts], dtype=float)
+    whole = other + sum(mass.values(), np.zeros(len(domains)))
+
+    def against_mean(rate: np.ndarray) -> np.ndarray:
+        made = np.zeros(len(domains))
+        made[have] = np.log((rate[have] + 0.5) / whole[have])
+        made[have] -= made[have].mean()
+        return made
+
+    return DomainModel(logs, {b: against_mean(n) for b, n in mass.items()}, against_mean(other))
 
 
 def posterior(text: Column, model: DomainModel) -> Column:
@@ -108,21 +118,23 @@ def posterior(text: Column, model: DomainModel) -> Column:
     numbers = dict(zip(kept, range(1, len(kept) + 1), strict=True))
     places = model.constant([numbers.get(b, 0) for b in range(BUCKETS)], "int")  # found by index: a text has many words
     tables = [model.constant([float(model.lift[b][k]) for b in kept], "double") for k in range(len(model.prior))]
-    words = words_of(text)
-    telling = F.filter(F.transform(words, lambda w: F.get(places, _bucket(w))), lambda place: place > 0)  # few words of a text
-    zero = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in range(len(tables))])
+    zero = F.struct(F.lit(0).alias("place"), F.lit(0).alias("times"), *[F.lit(0.0).alias(f"d{k}") for k in range(len(tables))])
 
     def add(acc: Column, place: Column) -> Column:
-        return F.struct(*[(acc[f"d{k}"] + F.get(t, place - 1)).alias(f"d{k}") for k, t in enumerate(tables)])
+        """Places come sorted; the c-th time of one adds log(1 + c) - log(c)."""
+        times = F.when(acc["place"] == place, acc["times"] + 1).otherwise(1)
+        gain = F.log((times + 1) / times)
+        return F.struct(place.alias("place"), times.alias("times"), *[(acc[f"d{k}"] + gain * F.get(t, place - 1)).alias(f"d{k}") for k, t in enumerate(tables)])
 
     def chances(s: Column) -> Column:
-        logs = F.array(*[float(p) + s["seen"][f"d{k}"] + s["others"] * float(o) for k, (p, o) in enumerate(zip(model.prior, model.other, strict=True))])
+        logs = F.array(*[float(p) + s["seen"][f"d{k}"] + s["others"] * float(np.log(2) * o) for k, (p, o) in enumerate(zip(model.prior, model.other, strict=True))])
         return F.transform(F.array(logs), lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))[0]
 
-    def weigh(found: Column, n: Column) -> Column:
-        return F.struct(F.aggregate(found, zero, add).alias("seen"), (n - F.size(found)).alias("others"))
+    def weigh(buckets: Column) -> Column:
+        telling = F.filter(F.transform(buckets, lambda b: F.get(places, b)), lambda place: place > 0)  # few of a text
+        return F.transform(F.array(telling), lambda found: F.struct(F.aggregate(F.sort_array(found), zero, add).alias("seen"), (F.size(F.array_distinct(buckets)) - F.size(F.array_distinct(found))).alias("others")))[0]
 
-    seen = F.transform(F.array(F.struct(telling.alias("found"), F.size(words).alias("n"))), lambda x: weigh(x["found"], x["n"]))
+    seen = F.transform(F.array(F.transform(pieces_of(text), _bucket)), weigh)
     raw = F.transform(seen, chances)[0]
     return F.transform(F.array(raw), lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y)))[0]
 
@@ -203,24 +215,27 @@ def rate_of(chances: Column, steps: list[np.ndarray]) -> Column:
     return reduce(lambda rate, step: moved_by(rate, chances, step), steps, F.lit(1.0))
 
 
-def memberships(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
-    """Adds ``tokens`` (words) and ``chances`` (the posterior by domain) to each row; row-wise, no shuffle."""
-    kept = [c for c in documents.columns if c not in ("tokens", "chances")]
+def memberships(documents: DataFrame, model: DomainModel, text: str = "text", into: tuple[str, str] = ("tokens", "chances")) -> DataFrame:
+    """Adds the words of a text and the posterior by domain to each row, as the columns ``into``; row-wise, no shuffle."""
+    kept = [c for c in documents.columns if c not in into]
     value = F.col(text)
-    return documents.select(*kept, F.size(words_of(value)).cast("long").alias("tokens"), posterior(value, model).alias("chances"))
+    return documents.select(*kept, F.size(words_of(value)).cast("long").alias(into[0]), posterior(value, model).alias(into[1]))
 
 
-def with_rates(members: DataFrame, steps: list[np.ndarray], draw: Column) -> DataFrame:
-    """Adds ``rate`` and ``copies``: the rate's whole part, and one more where ``draw`` falls below the rest."""
-    kept = [c for c in members.columns if c not in ("rate", "copies")]
-    rate = rate_of(F.col("chances"), steps)
-    members = members.select(*kept, rate.alias("rate"), draw.alias("_draw"))
-    copies = F.floor("rate") + F.when(F.col("_draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return members.select(*kept, "rate", copies.cast("long").alias("copies"))
+def with_rates(members: DataFrame, steps: list[np.ndarray], draw: Column, chances: str = "chances", into: tuple[str, str] = ("rate", "copies")) -> DataFrame:
+    """Adds rate and copies as the columns ``into``: a rate's whole part, and one more where ``draw`` falls below the rest."""
+    kept = [c for c in members.columns if c not in into]
+    drawn = free_name("_draw", kept, list(into))
+    rate = F.col(into[0])
+    members = members.select(*kept, rate_of(F.col(chances), steps).alias(into[0]), draw.alias(drawn))
+    copies = F.floor(rate) + F.when(F.col(drawn) < rate - F.floor(rate), 1).otherwise(0)
+    return members.select(*kept, rate, copies.cast("long").alias(into[1]))
 
 
-def fit_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", budget: float = 1.0, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DomainModel, list[np.ndarray]]:
-    """Fits classifier and rates. Returns the members' table (``keep``, ``tokens``, ``chances``), the model and the steps.
+def fit_mix(
+    documents: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", budget: float = 1.0, keep: tuple[str, ...] = (), into: tuple[str, str] = ("tokens", "chances")
+) -> tuple[DataFrame, DomainModel, list[np.ndarray]]:
+    """Fits classifier and rates. Returns the members' table (the columns ``keep`` and ``into``), the model and the steps.
 
     ``labels``: ``key, domain``. ``targets``: the wanted share of tokens by domain, of ``budget`` times all tokens.
     Null and empty texts have no tokens and the priors as chances. Labels with a null key or another domain are
@@ -229,9 +244,10 @@ def fit_mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float],
     domains = list(targets)
     share = np.array([targets[d] for d in domains], dtype=float)
     model = fit_domains(documents, labels, domains, key=key, text=text, domain=domain)
-    members = cut(memberships(documents.select(*dict.fromkeys((*keep, text))), model, text).select(*keep, "tokens", "chances"))
-    total = members.agg(F.sum("tokens")).first()[0] or 0
-    return members, model, fit_rates(members, share / share.sum() * total * budget)
+    members = cut(memberships(documents.select(*dict.fromkeys((*keep, text))), model, text, into).select(*keep, *into))
+    measured = members.select(F.col(into[0]).alias("tokens"), F.col(into[1]).alias("chances"))
+    total = measured.agg(F.sum("tokens")).first()[0] or 0
+    return members, model, fit_rates(measured, share / share.sum() * total * budget)
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", budget: float = 1.0, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
