@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embed_dedup, langid, minhash, mixing, pii, quality, secret_scan, url_rules
+from .common import cut
 from .spans import count_kind, listed
 
 URL_RULES = (
@@ -48,24 +49,28 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page; null urls and those without ``://`` get the default verdict."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and whether it stays; null texts and texts without words are classes of their own."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first scan (the ledger is empty): all distinct blobs, joined back to all documents."""
+    """A first scan (the ledger is empty) of all distinct blobs; what the ledger then holds is joined back to all documents."""
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.findings_by_path(versions, secret_scan.scan_unseen(versions))
+    scanned = cut(secret_scan.scan_unseen(versions))
+    found = secret_scan.findings_by_path(versions, secret_scan.ledger_rows(scanned))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.RULES if r.base]))
     counts = [count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every whole text; a null text has none."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin([k.kind for k in pii.KINDS if k.base]))
     counts = [count_kind(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
@@ -73,6 +78,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text; a null text has no words and fails the base."""
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), F.round("p_good", 6).alias("p_good"))
@@ -87,16 +93,19 @@ def fit_on_train(documents: DataFrame) -> langid.LanguageFilters:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every whole text; ``und`` with score 0 for null texts and those without a letter."""
     documents = table(spark, sf_dir, "documents")
     filters = fit_on_train(documents)
     return langid.identify(documents.select("doc_id", "text"), filters).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every whole text; a null text is empty."""
     return bpe.digest_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; unusable vectors link with nothing."""
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
