@@ -9,10 +9,10 @@ with a probability equal to their weighted Jaccard similarity. Points are only d
 Bands of the signature propose pairs, which are verified by the overlap of the multisets:
 
 1. Every text tries one partner: of its buckets' most popular members (that share most buckets) the most popular one.
-2. What is left are buckets that still hold texts of different components. Each is dealt in blocks, so that a task holds
-   one block of bounded size while the bucket's other texts stream past it, and all its pairs across components
-   are compared: by size and by their whole signatures first (pairs more than 4 standard deviations short of the
-   similarity are out), then exactly. Only links leave the task.
+2. What is left are buckets that still hold texts of different components. Those outside the bucket's largest component are
+   dealt in blocks, so that a task holds one block of bounded size while the bucket's texts stream past it, and all its
+   pairs across components are compared: by size and by their whole signatures first (pairs more than 4 standard
+   deviations short of the similarity are out), then exactly. Only links leave the task.
 
 So no pair is spelled out as a row, except one for each text.
 """
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, free_name
 from .components import connected_components
 
 WORDS = 5
@@ -36,9 +36,12 @@ BANDS = 40
 ROWS = 8
 #: Texts of a batch are worked on in parts of about so many bytes.
 PART_BYTES = 1_000_000
-#: Bounds of a block of a bucket.
+#: Shingles whose points are drawn together.
+ELEMENTS = 1 << 18
+#: Bounds of a block of a bucket, and how many texts stream past one block in one task.
 BLOCK_TEXTS = 1024
 BLOCK_SHINGLES = 1_000_000
+STREAM_TEXTS = 8192
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -55,19 +58,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all texts, sorted within each text, and where each text's part ends.
-
-    Words are parted by ASCII white space and lower-cased. A text of one to four words is one shingle; a text
-    without words has none.
-    """
-    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raws])
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where each begins."""
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
-    last = ~space[:-1] & space[1:]
+    last = ~space
+    last[:-1] &= space[1:]
     begin, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     powers = np.full(len(data) + 1, _BASE, dtype=_U)
     powers[0] = 1
@@ -76,7 +73,28 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     inverse = np.full(len(data) + 1, _BASE_INVERSE, dtype=_U)
     inverse[0] = 1
     inverse = np.cumprod(inverse)
-    hashed = _mix((total[stop] - total[begin]) * inverse[begin])
+    return _mix((total[stop] - total[begin]) * inverse[begin]), begin
+
+
+def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts, sorted within each text, and where each text's part ends.
+
+    Words are parted by ASCII white space and lower-cased. A text of one to four words is one shingle; a text
+    without words has none. Bytes are worked on in chunks that end between words, so that memory follows the words.
+    """
+    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    found, at = [], 0
+    while at < len(data):
+        end = at + PART_BYTES
+        while end < len(data) and not (space := _SPACE[data[end : end + PART_BYTES]]).any():
+            end += PART_BYTES
+        end = end + int(space.argmax()) if end < len(data) else len(data)
+        hashed, begin = _word_hashes(data[at:end])
+        found.append((hashed, begin + at))
+        at = end
+    hashed, begin = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64))
     owner = np.searchsorted(ends, begin, side="right")
     n = np.bincount(owner, minlength=len(texts))
     made = np.zeros(max(0, len(hashed) - words + 1), dtype=_U)
@@ -132,21 +150,23 @@ def bag_signatures(made: np.ndarray, stops: np.ndarray, size: int, slack: float
     mass = np.bincount(owner, minlength=texts)
     limit = size * (np.log(size) + slack) / np.maximum(mass, 1)
     signature = np.full(texts * size, np.inf)
-    active, time, k = np.arange(len(element)), np.zeros(len(element)), 0
-    while len(active):
-        ahead = int(np.clip(100_000 // len(active), 1, 64))
-        draw = _mix(seed[active][:, None] + _GOLD * np.arange(k + 1, k + ahead + 1, dtype=_U)[None, :])
-        step = -np.log(((draw >> _U(11)).astype(float) + 1) * 2.0**-53) / rate[active][:, None]
-        step[:, 0] += time
-        times = np.cumsum(step, axis=1)  # in this order whatever ``ahead`` is, so that equal points have equal times
-        other = _mix(draw + _M1)
-        level = low[active][:, None] + ((other >> _U(32)) & (rate[active][:, None].astype(_U) - _U(1))).astype(np.int64)
-        counts = (times <= limit[text[active]][:, None]) & (level < most[active][:, None])
-        slot = text[active][:, None] * size + ((other & _U(0xFFFFFFFF)) % _U(size)).astype(np.int64)
-        np.minimum.at(signature, slot[counts], times[counts])
-        time = times[:, -1]
-        go = time <= limit[text[active]]
-        active, time, k = active[go], time[go], k + ahead
+    for first in range(0, len(element), ELEMENTS):
+        active = np.arange(first, min(first + ELEMENTS, len(element)))
+        time, k = np.zeros(len(active)), 0
+        while len(active):
+            ahead = int(np.clip(100_000 // len(active), 1, 64))
+            draw = _mix(seed[active][:, None] + _GOLD * np.arange(k + 1, k + ahead + 1, dtype=_U)[None, :])
+            step = -np.log(((draw >> _U(11)).astype(float) + 1) * 2.0**-53) / rate[active][:, None]
+            step[:, 0] += time
+            times = np.cumsum(step, axis=1)  # in this order whatever ``ahead`` is, so that equal points have equal times
+            other = _mix(draw + _M1)
+            level = low[active][:, None] + ((other >> _U(32)) & (rate[active][:, None].astype(_U) - _U(1))).astype(np.int64)
+            counts = (times <= limit[text[active]][:, None]) & (level < most[active][:, None])
+            slot = text[active][:, None] * size + ((other & _U(0xFFFFFFFF)) % _U(size)).astype(np.int64)
+            np.minimum.at(signature, slot[counts], times[counts])
+            time = times[:, -1]
+            go = time <= limit[text[active]]
+            active, time, k = active[go], time[go], k + ahead
     signature = signature.reshape(texts, size)
     for d in np.flatnonzero((mass > 0) & np.isinf(signature).any(axis=1)):  # a component is still unset: draw further
         a, z = (stops[d - 1] if d else 0), stops[d]
@@ -180,7 +200,7 @@ def content_key(text: Column) -> Column:
 
 
 def band_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bands, marks`` (a byte for each component); texts without words are left out."""
+    """``key, text`` to ``key, bands, marks`` (a byte for each component) and ``n`` (all shingles); texts without words are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,13 +210,13 @@ def band_table(texts: DataFrame) -> DataFrame:
                 if len(full):
                     signature = bag_signatures(made, stops, BANDS * ROWS)[full]
                     marks = [m.tobytes() for m in _mix(signature.view(_U)).astype(np.uint8)]
-                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(band_hashes(signature)), "marks": marks})
+                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(band_hashes(signature)), "marks": marks, "n": np.diff(stops, prepend=0)[full]})
 
-    return texts.mapInPandas(run, "key binary, bands array<long>, marks binary")
+    return texts.mapInPandas(run, "key binary, bands array<long>, marks binary, n int")
 
 
 def bag_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bag`` (its different shingles, sorted), ``times`` (how often each) and ``n`` (all)."""
+    """``key, text`` to ``key, bag`` (its different shingles, sorted) and ``times`` (how often each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,10 +229,9 @@ def bag_table(texts: DataFrame) -> DataFrame:
                     "key": batch["key"].iloc[at : at + len(part)].to_numpy(),
                     "bag": np.split(made[starts].view(np.int64), ends),
                     "times": np.split(times, ends),
-                    "n": np.diff(stops, prepend=0),
                 })
 
-    return texts.mapInPandas(run, "key binary, bag array<long>, times array<int>, n int")
+    return texts.mapInPandas(run, "key binary, bag array<long>, times array<int>")
 
 
 def overlap(bag_a: np.ndarray, times_a: np.ndarray, bag_b: np.ndarray, times_b: np.ndarray) -> int:
@@ -239,15 +258,18 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
 def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Links ``u, v`` between texts of one bucket and different components.
 
-    ``open_members``: ``band, no`` (the band's number), ``key, root``. Every pair of a bucket meets once: each text is
-    held in its block, and streams past its own block and those of lower numbers.
+    ``open_members``: ``band, no`` (the band's number), ``key, root, outside`` (whether the root isn't the bucket's most
+    frequent one), ``blocks, streams``. At least one text of a pair is outside, so those are held in blocks and all texts of
+    the bucket stream past them: the work is their number times all, not all squared. A block's stream is dealt over
+    several tasks, which hold a copy of the block each. Every pair meets once: a text from outside streams past its own
+    block and those of lower numbers only.
     """
-    rows = open_members.join(bags, "key")
-    blocks = rows.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.size("bag")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    columns = ["band", "block", "role", "no", "key", "root", "bands", "marks", "bag", "times", "n"]
-    held = placed.withColumn("block", F.col("own")).withColumn("role", F.lit(0)).select(columns)
-    passing = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("role", F.when(F.col("own") == F.col("block"), 1).otherwise(2)).select(columns)
+    own, stream = F.pmod(F.xxhash64("key"), "blocks").cast("int"), F.pmod(F.xxhash64("key", F.lit(7)), "streams").cast("int")
+    placed = open_members.withColumn("own", F.when(F.col("outside"), own)).withColumn("stream", stream).join(bags, "key")
+    columns = ["band", "block", "stream", "role", "no", "key", "root", "bands", "marks", "bag", "times", "n"]
+    held = placed.where("outside").withColumn("block", F.col("own")).withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1))).withColumn("role", F.lit(0)).select(columns)
+    last = F.coalesce("own", F.col("blocks") - 1)
+    passing = placed.withColumn("block", F.explode(F.sequence(F.lit(0), last))).withColumn("role", F.when(F.col("own") == F.col("block"), 1).otherwise(2)).select(columns)
     alike = similarity - 4 * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
 
     def compare(here: dict, row, own: bool, joined: dict) -> Iterator[tuple]:
@@ -278,9 +300,9 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
         at, parts, here, joined = None, [], None, {}
         for batch in batches:
             found = []
-            for (band, block, role), part in batch.groupby(["band", "block", "role"], sort=False):
-                if (band, block) != at:
-                    at, parts, here, joined = (band, block), [], None, {}
+            for (band, block, stream, role), part in batch.groupby(["band", "block", "stream", "role"], sort=False):
+                if (band, block, stream) != at:
+                    at, parts, here, joined = (band, block, stream), [], None, {}
                 if role == 0:
                     parts.append(part)
                     continue
@@ -295,7 +317,7 @@ def _links_within(open_members: DataFrame, bags: DataFrame, similarity: float) -
                     found += compare(here, row, role == 1, joined)
             yield pd.DataFrame(found, columns=["u", "v"])
 
-    together = held.unionByName(passing).repartition("band", "block").sortWithinPartitions("band", "block", "role")
+    together = held.unionByName(passing).repartition("band", "block", "stream").sortWithinPartitions("band", "block", "stream", "role")
     return together.mapInPandas(run, "u binary, v binary").distinct()
 
 
@@ -308,23 +330,29 @@ def _roots(rows: DataFrame, similarity: float) -> DataFrame:
     bound_batches(rows.sparkSession)
     worded = rows.where(F.col("text").rlike(_WORDED)).select("key", "text")
     signed = band_table(worded)
-    bands = cut(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")))
-    placed = bands.select("key", F.posexplode("bands").alias("no", "band"))
-    shared = placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size")
+    bands = cut(signed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "marks", "n")]))
+    placed = bands.select("key", "n", F.posexplode("bands").alias("no", "band"))
+    # what is joined to a bucket's members is written first: a bucket may hold a third of all texts, and Spark splits such a
+    # key only if the other side isn't an aggregate of the same stage
+    shared = cut(placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size"))
     members = cut(placed.join(shared, "band"))
     popular = members.groupBy("key").agg(F.sum("size").alias("popular"))
     texts = worded.groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
     bags = cut(bag_table(texts).join(bands, "key"))
 
     known = members.join(popular, "key")
-    leads = known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead"))
+    leads = cut(known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead")))
     tries = known.join(leads, "band").where("key <> lead.key").groupBy("key").agg(F.max("lead").alias("lead"))
     links = cut(_verified(tries.select(F.col("key").alias("u"), F.col("lead.key").alias("v")), bags, similarity))
     roots = connected_components(links)
 
-    held = members.select("band", "no", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    several = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("band")
-    links = cut(links.union(_links_within(cut(held.join(several, "band", "left_semi")), bags, similarity)))
+    held = cut(members.select("band", "no", "key", "n").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    of_root = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    of_band = of_root.groupBy("band").agg(F.max(F.struct("texts", "shingles", "root")).alias("most"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles")).where("texts > most.texts")
+    blocks = F.ceil(F.greatest((F.col("texts") - F.col("most.texts")) / BLOCK_TEXTS, (F.col("shingles") - F.col("most.shingles")) / BLOCK_SHINGLES)).cast("int")
+    several = cut(of_band.select("band", F.col("most.root").alias("most"), blocks.alias("blocks"), F.ceil(F.col("texts") / STREAM_TEXTS).cast("int").alias("streams")))
+    open_members = held.join(several, "band").select("band", "no", "key", "root", (F.col("root") != F.col("most")).alias("outside"), "blocks", "streams")
+    links = cut(links.union(_links_within(cut(open_members), bags, similarity)))
     return connected_components(links)
 
 
@@ -341,8 +369,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
 
     # exact copies share a key already; texts without words have a class for each row
     named = rows.select("doc", F.when(F.col("text").rlike(_WORDED), F.col("key")).alias("key"))
-    named = named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc", F.coalesce("root", "key").alias("class"))
-    least = named.where("class is not null").groupBy("class").agg(F.min("doc").alias("class_id"))
+    named = cut(named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc", F.coalesce("root", "key").alias("class")))
+    least = cut(named.where("class is not null").groupBy("class").agg(F.min("doc").alias("class_id")))
     judged = named.join(least, "class", "left")
     alone = F.col("class").isNull()
     return judged.select(F.col("doc").alias(key), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("doc").eqNullSafe(F.col("class_id"))).alias("kept"))
@@ -354,12 +382,12 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, key: str =
     It is the row with the group's smallest key (null comes last); if several texts of the group have that key, the
     one with the smallest hash; of rows that repeat both, any. All rows with null texts or without words stay.
     """
-    named = documents.select("*", content_key(F.coalesce(text, F.lit(""))).alias("_key"), F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_doc"))
+    content, null, doc = by = [free_name(n, documents.columns) for n in ("_key", "_null", "_doc")]
+    named = documents.select("*", content_key(F.coalesce(text, F.lit(""))).alias(content), F.col(key).isNull().alias(null), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(doc))
     worded = F.coalesce(F.col(text).rlike(_WORDED), F.lit(False))
-    rows = named.where(worded).select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col("_key").alias("key"), "_null", "_doc")
+    rows = named.where(worded).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(content).alias("key"), F.col(null).alias("null"), F.col(doc).alias("doc"))
     roots = _roots(rows, similarity).select(F.col("node").alias("key"), "root")
-    least = rows.drop("text").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(F.struct("_null", "doc", "key", "_doc")).alias("least"))
-    chosen = least.select(F.col("least.key").alias("_key"), "least._null", "least._doc")
-    by = ["_key", "_null", "_doc"]
+    least = rows.drop("text").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(F.struct("null", "id", "key", "doc")).alias("least"))
+    chosen = cut(least.select(F.col("least.key").alias(content), F.col("least.null").alias(null), F.col("least.doc").alias(doc)))
     stay = named.where(worded).join(chosen, by).dropDuplicates(by)
     return stay.select(documents.columns).unionByName(named.where(~worded).select(documents.columns))
