@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sweep of one host is dealt over this many tasks; its bounds are copied to each.
-SPLITS = 64
+from .common import cut
+
+#: Urls of a host that one sweep takes; a host with more is dealt over as many sweeps as it needs, its bounds copied to each.
+SWEEP_URLS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -68,13 +70,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     path, which no rule fits. Repeated rows stay; an empty table or empty rules are fine. Null hosts or paths
     of rules are ignored, repeated rules count once.
 
-    Distinct ``(host, path)`` pairs are judged and joined back, so a hot url costs one sweep row.
+    Distinct ``(host, path)`` pairs are judged and joined back, so a hot url costs one sweep row. The verdicts are written
+    before that join, so that Spark can split a hot url's pages; pages without a host take no part in it.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     pages = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     bounds = rule_bounds(rules)
     deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).scalar()
-    keys = (
+    keys = cut(
         pages.select("host", "path").distinct()
         .where(F.col("host") != "")
         .withColumn("labels", F.split("host", r"\."))
@@ -83,20 +86,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         .select("host", "path", "labels", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("n"))
         .select("host", "path", _reversed(F.expr("slice(labels, -n, n)")).alias("rhost"), F.encode("path", "UTF-8").alias("at"), F.lit(2).alias("kind"))
         .join(bounds.select("rhost").distinct(), "rhost", "left_semi")
-        .withColumn("split", F.pmod(F.xxhash64("host", "path"), F.lit(SPLITS)).cast("int"))
     )
+    sweeps = cut(keys.groupBy("rhost").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SWEEP_URLS))).cast("int").alias("sweeps")))  # a row for a rule's host at most
+    keys = keys.join(sweeps, "rhost").withColumn("split", F.pmod(F.xxhash64("host", "path"), "sweeps").cast("int"))
     nothing = {"rule": "string", "verdict": "string", "size": "int"}
     events = keys.select("rhost", "split", "at", "kind", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "host", "path").unionByName(
-        bounds.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))).withColumn("host", F.lit(None).cast("string")).withColumn("path", F.lit(None).cast("string"))
+        bounds.join(sweeps, "rhost").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1))).drop("sweeps").withColumn("host", F.lit(None).cast("string")).withColumn("path", F.lit(None).cast("string"))
     )
     sweep = Window.partitionBy("rhost", "split").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     # a closing bound sets the stack's new top too, which may be none: hence the struct around it
     last = F.last(F.when(F.col("kind") < 2, F.struct("rule", "verdict", "size")), ignorenulls=True).over(sweep)
-    found = (
+    found = cut(
         events.withColumn("top", last)
         .where((F.col("kind") == 2) & F.col("top.rule").isNotNull())
         .groupBy("host", "path")
         .agg(F.max(F.struct("top.size", F.length("rhost").alias("host_size"), "top.rule", "top.verdict")).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
-    return pages.join(found, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = pages.where(F.col("host") != "").join(found, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(pages.where(F.col("host") == "").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default)))
