@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .components import connected_components
 
 SIMILARITY = 0.95
@@ -132,13 +132,14 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
     their own. An empty table gives no rows. Columns other than these two are ignored.
     """
     spark = embeddings.sparkSession
+    bound_batches(spark)
     plain = embeddings.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     kind = "float" if plain.schema["vector"].dataType.elementType.typeName() == "float" else "double"  # others fit into a double
     rows = plain.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     usual = rows.where("vector is not null").agg(F.mode(F.size("vector"), True)).first()[0] or 0
-    content = F.unhex(F.left(F.sha2(F.array_join(F.transform("vector", lambda x: F.hex(F.format_string("%s", x + F.lit(0.0).cast(kind)))), ","), 256), F.lit(32)))
+    content = F.unhex(F.left(F.sha2(F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)).cast("string"), 256), F.lit(32)))  # -0 is 0
     good = usable(F.col("vector"), F.lit(usual))
-    keyed = rows.select("id", "vector", F.when(good, content).alias("key"))
+    keyed = cut(rows.select("id", "vector", F.when(good, content).alias("key")))
     # exact copies are one row from here on
     distinct = cut(keyed.where("key is not null").groupBy("key").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies")))
     total = distinct.count()
@@ -148,7 +149,8 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
         found = cut(_search(distinct, index, similarity))
         counts = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
         roots = connected_components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")))
-        groups = (
+        # groups and least keys are written before they are joined, so that Spark can split copies of one vector
+        groups = cut(
             distinct.select("key", "copies")
             .join(counts, "key", "left")
             .join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
@@ -156,8 +158,8 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
         )
     else:
         groups = distinct.select("key", (F.col("copies") - 1).alias("n_links"), F.col("key").alias("root"))
-    named = keyed.select("id", "key").join(groups, "key", "left")
-    least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    named = cut(keyed.select("id", "key").join(groups, "key", "left").select("id", "n_links", "root"))
+    least = cut(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")))
     judged = named.join(least, "root", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return judged.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
