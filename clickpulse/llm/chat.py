@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 ESCAPE = "\\"
 
 
@@ -110,6 +112,7 @@ def format_chat(conversations: DataFrame, template: ChatTemplate | None = None)
             made = pd.DataFrame(out, columns=["conv_id", "turn_no", "role", "segment_no", "segment", "loss", "turn_ok", "last_state"])
             yield made.astype({"conv_id": "Int64"})
 
+    bound_batches(conversations.sparkSession)
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )

@@ -15,28 +15,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, text_chunks
 
+#: Characters of a text whose words are split at once.
+CHUNK = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long, n_letters long, n_distinct long, n_bare long"
 _BARE = re.compile(rb"(?<![^ \t\n\x0b\x0c\r])[^A-Za-z0-9\x80-\xff \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])")
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside 3-word windows that occur twice or more in the text, the first time included."""
-    n = len(words) - 2
+def repeated_words(w: np.ndarray, kinds: int) -> int:
+    """Words inside 3-word windows that occur twice or more in the text, the first time included; ``w``: words as numbers below ``kinds``."""
+    n = len(w) - 2
     if n < 2:
         return 0
-    ids: dict[bytes, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), dtype=np.int64, count=len(words))
-    pairs = w[:-1] * len(ids) + w[1:]
-    if len(ids) >= 1 << 20:  # a triple's code would not fit
+    pairs = w[:-1] * kinds + w[1:]
+    if kinds >= 1 << 20:  # a triple's code would not fit
         pairs = np.unique(pairs, return_inverse=True)[1]
-    triples = pairs[:-1] * len(ids) + w[2:]
+    triples = pairs[:-1] * kinds + w[2:]
     _, where, counts = np.unique(triples, return_inverse=True, return_counts=True)
     twice = counts[where] > 1
-    covered = np.zeros(len(words), dtype=bool)
+    covered = np.zeros(len(w), dtype=bool)
     for k in range(3):
         covered[k : k + n] |= twice
     return int(covered.sum())
@@ -46,22 +46,27 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     """The measures of one text, in the order of ``MEASURES``; null counts as no words."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # bytes.split parts at exactly these six white-space bytes
+    ids: dict[bytes, int] = {}
+    found = []
+    for chunk in text_chunks(text, CHUNK):  # bytes.split parts at exactly these six white-space bytes
+        words = chunk.encode("utf-8", "surrogatepass").split()
+        found.append(np.fromiter((ids.setdefault(x, len(ids)) for x in words), dtype=np.int64, count=len(words)))
+    w = np.concatenate(found)
     tight = raw.translate(None, _SPACES)
     lines = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
     upper = sum(map(tight.count, (bytes([c]) for c in range(65, 91))))
     lower = sum(map(tight.count, (bytes([c]) for c in range(97, 123))))
     continued = len(tight) - len(tight.translate(None, bytes(range(128, 192))))
     return (
-        len(words),
+        len(w),
         len(tight) - continued,
         len(tight) - len(tight.translate(None, _SYMBOLS)),
         len(lines) - len(set(lines)),
         len(lines),
-        repeated_words(words),
+        repeated_words(w, len(ids)),
         upper,
         upper + lower + len(tight) - continued - len(tight.translate(None, bytes(range(128, 256)))),  # beyond ASCII: letters
-        len(set(words)),
+        len(ids),
         len(_BARE.findall(raw)),
     )
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickpulse.llm import bpe, chat, components, embed_dedup, langid, minhash, mixing, pii, quality, secret_scan, url_rules
+from clickpulse.llm import bpe, chat, common, components, embed_dedup, langid, minhash, mixing, pii, quality, secret_scan, url_rules
+from clickpulse.llm.queries import MIX_TARGETS, label_domains
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, ids int, bands int, tokens int, pii int, spans int, blob int"
 LONG = "word and another word of prose " * 40_000
@@ -67,8 +68,10 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), nothing).count() == 0
 
 
-def test_url_stack(spark):
+@pytest.mark.parametrize("urls_of_sweep", [3, 100_000])
+def test_url_stack(spark, monkeypatch, urls_of_sweep):
     """Nested, sibling and repeated opening paths: the innermost rule decides, the outer one again after it."""
+    monkeypatch.setattr(url_rules, "SWEEP_URLS", urls_of_sweep)
     rules = [("a.b", p, p) for p in ("", "/", "/x", "/x/y", "/x/y/z", "/xx", "/y")]
     urls = ["/", "/w", "/x", "/x/", "/x/y", "/x/y/", "/x/y/z9", "/x/z", "/xx/y", "/xy", "/y/x", "/z", ""]
     pages = spark.createDataFrame([(i, f"http://s.a.b{u}") for i, u in enumerate(urls)], "page_id long, url string")
@@ -79,7 +82,7 @@ def test_url_stack(spark):
 
 def test_secret_ledger(spark, docs):
     first = secret_scan.scan_unseen(docs)
-    found = {r["doc_id"]: [s["found"] for s in r["spans"]] for r in secret_scan.findings_by_path(docs, first).collect()}
+    found = {r["doc_id"]: [s["found"] for s in r["spans"]] for r in secret_scan.findings_by_path(docs, secret_scan.ledger_rows(first)).collect()}
     assert found[10] == ["token=geheim99"] and found[3] == [] and len(found) == 11
     ledger = secret_scan.ledger_rows(first)
     assert first.count() == 9 and ledger.count() == 9 * len(secret_scan.RULES)
@@ -92,6 +95,28 @@ def test_secret_ledger(spark, docs):
     assert secret_scan.scan_unseen(docs.limit(0)).count() == 0
 
 
+def test_secret_ledger_of_two_runs(spark):
+    """Findings of an earlier run reach old and new paths of a blob; a new rule version supersedes the old one's findings."""
+    old = "x token=geheim99 AKIA" + "Z" * 16
+    one = spark.createDataFrame([(1, old), (2, "nothing"), (3, None)], "doc_id long, text string")
+    ledger = secret_scan.ledger_rows(secret_scan.scan_unseen(one))
+    two = one.union(spark.createDataFrame([(4, old), (5, "secret: abcdef1 " + "0a" * 12)], "doc_id long, text string"))
+    scanned = secret_scan.scan_unseen(two, ledger)
+    assert [r["blob"] for r in scanned.collect()] == [r["b"] for r in two.where("doc_id = 5").select(secret_scan.blob_of(F.col("text")).alias("b")).collect()]
+    both = ledger.unionByName(secret_scan.ledger_rows(scanned))
+
+    def kinds(table, rules=secret_scan.RULES):
+        got = secret_scan.findings_by_path(two, table, rules).collect()
+        assert len(got) == 5
+        return {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in got}
+
+    assert kinds(both) == {1: ["assign", "access"], 4: ["assign", "access"], 2: [], 3: [], 5: ["assign", "hex"]}
+    assert kinds(both.union(ledger)) == kinds(both)
+    newer = (secret_scan.SecretRule("access", r"AKIAY[A-Z]{16,}+", version=2), *secret_scan.RULES[:1])
+    again = secret_scan.scan_unseen(two, both, newer)
+    assert again.count() == 4 and kinds(both.unionByName(secret_scan.ledger_rows(again)), newer)[1] == ["assign"]
+
+
 def test_many_spans_and_runs(spark):
     texts = ["x@y.zz " * 3000, "a" * 300_000, "1" * 300_000, "1 " * 100_000, "+1" * 100_000, "a@" * 50_000, "1." * 50_000, "token" * 50_000, "password= " * 20_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -216,9 +241,12 @@ def test_minhash(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_minhash_hot_cloud(spark):
+@pytest.mark.parametrize(("seed", "texts_of_block", "texts_of_stream"), [(3, 1024, 8192), (4, 16, 50), (11, 8, 8192)])
+def test_minhash_hot_cloud(spark, monkeypatch, seed, texts_of_block, texts_of_stream):
     """Hundreds of texts around the similarity asked for, in shared buckets: no link of different components is lost."""
-    rng = np.random.default_rng(3)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", texts_of_block)
+    monkeypatch.setattr(minhash, "STREAM_TEXTS", texts_of_stream)
+    rng = np.random.default_rng(seed)
     base = [f"w{i}" for i in range(60)]
     texts = []
     for _ in range(300):
@@ -264,6 +292,19 @@ def test_minhash_near_the_threshold(spark):
     assert got == want
 
 
+def test_shingles_in_chunks(monkeypatch):
+    """Where bytes are cut and how many shingles are drawn together changes nothing."""
+    texts = ["", "one two three", " ".join(f"wörd{i % 37}" for i in range(300)), "x" * 400, " a  b\tc\nd e f " * 9]
+    made, stops = minhash.shingles(texts)
+    signature = minhash.bag_signatures(made, stops, 32)
+    monkeypatch.setattr(minhash, "ELEMENTS", 7)
+    for size in (1, 16, 100):
+        monkeypatch.setattr(minhash, "PART_BYTES", size)
+        again, ends = minhash.shingles(texts)
+        assert (again == made).all() and (ends == stops).all()
+    assert (minhash.bag_signatures(made, stops, 32) == signature).all()
+
+
 def test_minhash_empty_blocks(spark, monkeypatch):
     """Buckets are cut by the sum of shingles, so that some blocks hold no text (as with a few texts of some MB each)."""
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 50)
@@ -336,6 +377,21 @@ def test_mix(spark, docs):
     assert mixing.mix(docs, labels.limit(0), {"a": 0.5, "b": 0.5}).count() == docs.count()
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", (0.93, 0.65, 0.6)), ("sf0.1", (0.98, 0.7, 0.65))])
+def test_mix_on_held_out_labels(spark, sf_dir, sf, least):
+    """Fitted on one half of the labels, the classifier tells the other half apart, in both directions: recall by domain."""
+    table = sf_dir.rsplit("/", 1)[0] + "/" + sf
+    documents, labels = spark.read.parquet(f"{table}/documents.parquet"), label_domains(spark.read.parquet(f"{table}/labels.parquet"))
+    names, seen = list(MIX_TARGETS), []
+    for half in (0, 1):
+        mine = F.crc32(F.col("doc_id").cast("string")) % 2 == half
+        model = mixing.fit_domains(documents, labels.where(~mine), names)
+        seen.append(mixing.memberships(documents.join(labels.where(mine), "doc_id"), model).select("domain", "chances").toPandas())
+    for k, name in enumerate(names):
+        right = [np.argmax(p) == k for half in seen for p in half["chances"][half["domain"] == name]]
+        assert np.mean(right) >= least[k], (name, np.mean(right))
+
+
 def test_rates_against_plain_descent(spark):
     """The distributed fit meets feasible targets, with the same rates as the same steps in one process."""
     rng = np.random.default_rng(2)
@@ -388,3 +444,59 @@ def test_pipeline(spark, sf_dir):
     before = minhash.near_duplicates(corpus_pipeline.language(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)).where("kept").join(clean, "doc_id").count()
     after = docs.select("doc_id").distinct().join(clean, "doc_id").count()
     assert after >= 0.97 * before
+
+
+def test_language_is_evaluated_once(spark, docs):
+    """A filter on the prediction doesn't make a second Python evaluation; other columns keep their values."""
+    kept = corpus_pipeline.language(spark, docs, "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") + plan.count("ArrowEvalPython(") == 1 or plan.count("decide(") == 1
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {1.0}
+
+
+def test_language_of_long_texts(spark):
+    """Chunks of a text have the n-grams of the whole; a word longer than a chunk too."""
+    text = " ".join(f"wort{i} ΣΑΣ é" for i in range(200)) + "x" * 500 + " ende"
+    whole = np.sort(np.concatenate(list(langid.ngram_hashes(text))))
+    for size in (20, 64, 300):
+        parts = [langid._chunk_hashes(c) for c in langid.text_chunks(text, size)]
+        assert (np.sort(np.concatenate(parts)) == whole).all() and len(parts) > 3
+
+
+def test_pipeline_edges(spark, docs, sf_dir):
+    """Every stage on nulls, empty and long texts, repeated rows, clashing names and an empty table."""
+    clash = ("lang_pred", "tokens", "chances", "rate", "copies", "copy", "_found", "_draw", "_key", "_null", "_doc", "class", "pii", "text_")
+    rows = docs.union(docs.where("doc_id = 10")).select(*[c for c in docs.columns if c not in clash], *[F.lit(f"own {c}").alias(c) for c in clash])
+    names, size = rows.columns, rows.count()
+    for table in (rows, rows.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, table, sf_dir)
+            got = made.collect()
+            if name == "tokens":
+                assert made.columns[:3] == ["doc_id", "lang", "source"] and len(got) == (size if table is rows else 0)
+                continue
+            assert made.columns == names
+            assert all(r[c] == f"own {c}" for r in got for c in clash) and all(r["score"] == 1.0 and r["key"] == "k" for r in got)
+            if table is not rows:
+                assert not got
+            elif name == "private":
+                assert len(got) == size and not any("a.b@c.org" in (r["text"] or "") for r in got)
+            elif name == "deduplicate":
+                assert len(got) == size - 3  # ids 2, 7 and 10 had copies
+            elif name == "language":
+                assert {r["doc_id"] for r in got} >= {1, 2, 7, 8} and not {r["doc_id"] for r in got} & {3, 4, 5, 6}
+
+
+def test_pipeline_leaves_no_tables(spark, tmp_path):
+    """run() keeps only what its result reads, and gives what the stages give one by one."""
+    from pathlib import Path
+
+    sf_dir = "/root/testdata/sf0.001"
+    before = {p for p in Path(common.shared_dir(spark).removeprefix("file:")).iterdir()}
+    got = sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
+    made = {p for p in Path(common.shared_dir(spark).removeprefix("file:")).iterdir()} - before
+    assert len(made) == len(corpus_pipeline.STAGES) - 1
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir).persist()
+    assert got == sorted(map(str, docs.collect()))
