@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query, word_count
@@ -21,8 +23,22 @@ def catalog_articles(products: DataFrame) -> DataFrame:
     return products.select(F.trim(F.col("item_id").cast("string")).alias("text")).where("text is not null").distinct()
 
 
+#: The first bound that a number doesn't exceed gives its points; numbers beyond the last bound get one more.
+QUERY_STEPS = (1, 3, 7, 19)
+WORD_STEPS = (2, 4, 6)
+
+
+def points(value: Column, steps: tuple[int, ...]) -> Column:
+    """How many of the bounds a number exceeds."""
+    return reduce(lambda a, b: a + b, [(value > bound).cast("int") for bound in steps])
+
+
 def enrich_sessions(sessions: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds the columns ``ENRICHED``. The score of difficulty, 0 to 5, adds up steps and halves nothing: see the code."""
+    """Adds the columns ``ENRICHED``.
+
+    The score of difficulty runs from 0 to 5: points for many queries and for many words, one each for a query that the
+    catalogue lacks, for no click and for no cart; two less for an article's number.
+    """
     texts = catalog_texts(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("is_in_product_base"))
     articles = catalog_articles(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("is_article"))
     rows = (
@@ -33,15 +49,9 @@ def enrich_sessions(sessions: DataFrame, products: DataFrame) -> DataFrame:
         .withColumn("is_article", F.coalesce("is_article", F.lit(False)))
         .withColumn("query_len_words", word_count(F.col("query_clean")))
     )
-    queries, words = F.col("n_unique_queries"), F.col("query_len_words")
-    score = (
-        F.when(queries <= 1, 0).when(queries <= 3, 1).when(queries <= 7, 2).when(queries <= 19, 3).otherwise(4)
-        + F.when(words <= 2, 0).when(words <= 4, 1).when(words <= 6, 2).otherwise(3)
-        + F.when(F.col("is_in_product_base"), 0).otherwise(1)
-        + F.when(F.col("n_click") == 0, 1).otherwise(0)
-        + F.when(F.col("reached_cart"), 0).otherwise(1)
-        - F.when(F.col("is_article"), 2).otherwise(0)
-    )
+    misses = [~F.col("is_in_product_base"), F.col("n_click") == 0, ~F.col("reached_cart")]
+    score = points(F.col("n_unique_queries"), QUERY_STEPS) + points(F.col("query_len_words"), WORD_STEPS) - 2 * F.col("is_article").cast("int")
+    score = reduce(lambda a, b: a + b, [m.cast("int") for m in misses], score)
     return rows.withColumn("query_stratification_score", F.greatest(F.lit(0), F.least(F.lit(5), score)).cast("tinyint"))
 
 

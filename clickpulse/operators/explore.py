@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import detectable_effect, ratio
 
 
 def quantile_profile(sessions: DataFrame, columns: tuple[str, ...], quantiles: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
-    """``column, q90, q95, ..., max`` with discrete quantiles: values that occur."""
-    parts = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        found = [F.expr(f"percentile_disc({q}) within group (order by cast({c} as double))").alias(f"q{q * 100:g}") for q in quantiles]
-        parts.append(sessions.agg(*found, F.max(value).alias("max")).select(F.lit(c).alias("column"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    """``column, q90, q95, ..., max`` with discrete quantiles: values that occur. One aggregate over all columns."""
+    names = [f"q{q * 100:g}" for q in quantiles]
+
+    def found(c: str) -> Column:
+        each = [F.expr(f"percentile_disc({q}) within group (order by cast(`{c}` as double))").alias(n) for q, n in zip(quantiles, names, strict=True)]
+        return F.struct(F.lit(c).alias("column"), *each, F.max(F.col(c).cast("double")).alias("max"))
+
+    return sessions.agg(F.array(*[found(c) for c in columns]).alias("rows")).select(F.inline("rows"))
 
 
 def score_histogram(df: DataFrame, column: str) -> DataFrame:

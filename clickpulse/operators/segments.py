@@ -21,6 +21,7 @@ SEGMENTS: dict[str, tuple[str, list[int] | None]] = {
 }
 MIN_VOLUME = 200
 MIN_LIFT = -0.05
+#: The columns of an example, in the order of the output.
 EXAMPLE_COLUMNS = (
     "session_idx", "ts_start", "ts_end", "first_query", "query_clean", "n_unique_queries", "n_view", "n_click", "duration_s",
     "top_category_in_session", "first_widget", "query_stratification_score", "query_len_words", "is_in_product_base", "is_article",
@@ -52,7 +53,8 @@ def segment_breakdown(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEG
     """Per segment, value and day, and over the whole period (``date`` is ``ALL``): counts, rate, lift and medians.
 
     One pass: sessions are unpivoted and grouped by both grains with grouping sets. Every session has one value per
-    segment, so a day's total is a window sum over the segment's rows.
+    segment, so a day's total is a window sum over the segment's rows. Spark's exact median counts distinct values, in map-side
+    parts too, so a group's state follows the values of a count or of seconds, not the sessions.
     """
     rows = segment_rows(sessions, segments)
     grains = rows.groupingSets([["segment", "value", "date"], ["segment", "value"]], "segment", "value", "date").agg(

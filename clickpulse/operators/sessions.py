@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import ratio
 
 GAP_MIN = 35
+#: Keys over which events without an item are dealt in the join with the catalogue.
+SALTS = 4096
 
 
 def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None) -> DataFrame:
@@ -35,12 +37,17 @@ def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MI
     """One row for each session with a search: times, counts, first query and widget, categories, time to cart.
 
     ``first_query`` and ``first_widget`` are each the first that isn't null among searches. The modal category is the
-    smallest of equally frequent ones. Repeated ``item_id`` in ``products`` multiply events, as a left join does. The
-    join is left to Spark: it broadcasts the catalogue while its size allows and merges beyond that.
+    smallest of equally frequent ones. Repeated ``item_id`` in ``products`` multiply events, as a left join does.
+
+    The join comes first and is left to Spark, which broadcasts the catalogue while its size allows; beyond that, events
+    without an item (searches: a large part) are dealt over ``SALTS`` keys that no product has. One shuffle by user then
+    serves numbering and grouping.
     """
-    numbered = number_sessions(events, gap_min, chunk_days)
     keys = ["user_id", *(["chunk_start"] if chunk_days else []), "session_idx"]
-    rows = numbered.join(products.select("item_id", "category_name"), "item_id", "left")
+    salt = F.when(F.col("item_id").isNull(), 1 + F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).otherwise(0)
+    named = products.where("item_id is not null").select(F.col("item_id").alias("_item"), F.lit(0).cast("long").alias("_salt"), "category_name")
+    rows = events.withColumns({"_item": F.coalesce("item_id", F.lit(0)), "_salt": salt.cast("long")}).join(named, ["_item", "_salt"], "left")
+    rows = number_sessions(rows, gap_min, chunk_days)
     action = F.col("action_type")
     search = action == "search"
     order = F.struct("timestamp", "event_id")
