@@ -45,6 +45,14 @@ def baseline_window(summary: DataFrame, days: int = BASELINE_DAYS) -> DataFrame:
     return inside.agg(F.min("date").alias("baseline_start"), F.date_add(F.min("date"), days - 1).alias("baseline_end"), F.count_distinct("date").alias("n_days"))
 
 
+def default_baseline(summary: DataFrame, days: int = BASELINE_DAYS) -> tuple[str, str]:
+    """First and last day of :func:`baseline_window` as text; an error if the summary is empty."""
+    first = summary.agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("a"), F.date_format(F.date_add(F.min("date"), days - 1), "yyyy-MM-dd").alias("z")).first()
+    if first is None or first["a"] is None:
+        raise ValueError("the day summary is empty")
+    return first["a"], first["z"]
+
+
 def within(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of the baseline, both ends included."""
     return df.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

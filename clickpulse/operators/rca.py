@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 
+#: The output's columns, in order.
 COLUMNS = {
     "date": "date", "level": "string", "group": "string", "feature": "string", "category": "string",
     "today_value": "double", "baseline_value": "double", "direction": "int", "index_value": "double", "contribution": "double",
@@ -52,6 +53,14 @@ def ordered(decomposition: DataFrame) -> DataFrame:
     return decomposition.orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
 
 
+def load_decomposition(spark: SparkSession, path: str) -> DataFrame:
+    """A stored decomposition with ``date`` as text (``yyyy-MM-dd``), whichever type it was stored as; all views take it."""
+    rows = spark.read.parquet(path)
+    if rows.schema["date"].dataType.typeName() == "string":
+        return rows
+    return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 def additivity_violations(decomposition: DataFrame, health: DataFrame, close: float = 1e-4) -> DataFrame:
     """``date, level, total, expected`` where parts don't add up to the score; no rows if all is well."""
     sums = decomposition.groupBy("date", "level").agg(F.sum("contribution").alias("total"))

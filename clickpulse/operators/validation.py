@@ -86,30 +86,106 @@ def injection_suite(daily: DataFrame, baseline: DataFrame, state: DataFrame, wei
     return falls.join(hits, ["feature", "scenario"], "left").select("feature", "scenario", n.alias("n_alerts"), "first_alert_after", (n > 0).alias("detected"), "delta_health")
 
 
-def baseline_schemes(rows: DataFrame, weights: Weights, start: str, end: str, rolling: tuple[int, ...] = (14, 30)) -> DataFrame:
+RELATIVE = {"spike": 0.20, "step": 0.10, "drift": 0.01}
+
+
+def detection_quality(daily: DataFrame, state: DataFrame, day: str, drift_days: int = 10) -> DataFrame:
+    """``feature, scenario, n_alerts, n_injected, precision, recall, days_to_detect``: the detector on relative faults.
+
+    From ``day`` on each feature gets worse by 20 % for that day (spike), by 10 % from then on (step), or by 1 % more each day
+    for ``drift_days`` (drift). Precision: alerts on injected days over all alerts of the feature from ``day`` on (null without
+    alerts); recall: over injected days with a value; ``days_to_detect``: null where none is found.
+    """
+    offset = F.datediff("date", F.lit(day).cast("date"))
+    scenario = F.explode(F.array(*[F.lit(s) for s in RELATIVE]))
+    size = (
+        F.when((F.col("scenario") == "spike") & (F.col("o") == 0), RELATIVE["spike"])
+        .when(F.col("scenario") == "step", RELATIVE["step"])
+        .when((F.col("scenario") == "drift") & (F.col("o") < drift_days), RELATIVE["drift"] * (F.col("o") + 1))
+        .otherwise(0.0)
+    )
+    clean = daily.where(offset >= 0).join(F.broadcast(state.drop("version")), "feature")  # a row per feature
+    faulty = clean.select("*", offset.alias("o"), scenario.alias("scenario")).withColumn("size", size)
+    faulty = faulty.withColumn("value", F.col("value") * (1 - F.col("direction") * F.col("size")))
+    center = F.when(F.col("use_dow"), F.element_at("dow_means", F.weekday("date"))).otherwise(F.col("center"))
+    residual = F.col("value") - center
+    alert = F.coalesce(F.when(F.col("direction") == -1, residual > F.col("hi")).otherwise(residual < F.col("lo")), F.lit(False))
+    rows = faulty.select("feature", "scenario", "o", alert.alias("alert"), ((F.col("size") > 0) & F.col("value").isNotNull()).alias("injected"))
+    hit = F.col("alert") & F.col("injected")
+    found = rows.groupBy("feature", "scenario").agg(F.count_if("alert").alias("n_alerts"), F.count_if("injected").alias("n_injected"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("o"))).cast("long").alias("days_to_detect"))
+    return found.select("feature", "scenario", "n_alerts", "n_injected", ratio(F.col("hits"), F.col("n_alerts")).alias("precision"), ratio(F.col("hits"), F.col("n_injected")).alias("recall"), "days_to_detect")
+
+
+def stress_isolation(daily: DataFrame, baseline: DataFrame, weights: Weights, day: str, feature: str = "dead_search_rate", days: int = 5, worse: float = 0.20) -> DataFrame:
+    """``score, mean_delta, n_days``: how each group's score and ``health`` move on average when one feature grows by ``worse``.
+
+    The feature's values are multiplied on ``days`` days from ``day`` on; only these days are compared. Groups without the
+    feature should not move.
+    """
+    inside = daily.where(F.datediff("date", F.lit(day).cast("date")).between(0, days - 1))
+    stressed = inside.withColumn("value", F.when(F.col("feature") == feature, F.col("value") * (1 + worse)).otherwise(F.col("value")))
+
+    def scores(rows: DataFrame, name: str) -> DataFrame:
+        groups = group_scores(index_rows(rows, baseline, weights))
+        parts = groups.select("date", F.col("group").alias("part"), F.col("score").alias(name))
+        return parts.unionByName(health_of(groups).select("date", F.lit("health").alias("part"), F.col("health").alias(name)))
+
+    both = scores(inside, "was").join(scores(stressed, "now"), ["date", "part"])
+    return both.groupBy(F.col("part").alias("score")).agg(F.avg(F.col("now") - F.col("was")).alias("mean_delta"), F.count(F.col("now") - F.col("was")).alias("n_days"))
+
+
+def rolling_bands(daily: DataFrame, directions: list[tuple[str, int]], days: int = 7, k: float = 3.5, least: int = 3) -> DataFrame:
+    """``date, feature, value, median, sigma, lo, hi, n, is_anomaly``: each day against the median and MAD of the ``days`` before it.
+
+    A detector that follows weekdays and trends by itself, with noisier bands. Days with fewer than ``least`` earlier values
+    have no band and don't alert. Each day meets the days of its window, a range join of days.
+    """
+    direction = F.element_at(F.create_map(*[F.lit(x) for pair in directions for x in pair]), F.col("feature"))
+    past = daily.where("value is not null").select(F.col("date").alias("day"), "feature", F.col("value").alias("v"))
+    met = daily.select("date", "feature").join(past, "feature").where((F.col("day") < F.col("date")) & (F.datediff("date", "day") <= days))
+    bands = mad_bands(met, ("date", "feature"), "v", k).where(F.col("n") >= least)
+    rows = daily.where(direction.isNotNull()).join(bands, ["date", "feature"], "left")
+    alert = F.when(direction == -1, F.col("value") > F.col("hi")).otherwise(F.col("value") < F.col("lo"))
+    return rows.select("date", "feature", "value", "median", "sigma", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(alert, F.lit(False)).alias("is_anomaly"))
+
+
+def baseline_schemes(rows: DataFrame, weights: Weights, start: str, end: str, rolling: tuple[int, ...] = (14, 30), today: DataFrame | None = None) -> DataFrame:
     """``date, scheme, health``: the score against a fixed baseline and against the days just before each day.
 
-    ``rows``: :func:`~.health.feature_rows`. Each day meets the days of its window, a range join of days.
+    ``rows``: :func:`~.health.feature_rows`. ``today``: other daily values (``date, feature, value``) to score against the same
+    baselines. Each day meets the days of its window, a range join of days.
     """
     parts = rows.groupBy("date", "feature").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
-    today = parts.select("date", "feature", ratio(F.col("above"), F.col("below")).alias("value"))
+    if today is None:
+        today = parts.select("date", "feature", ratio(F.col("above"), F.col("below")).alias("value"))
     past = parts.select(F.col("date").alias("day"), "feature", "above", "below")
     value = ratio(F.sum("above"), F.sum("below")).alias("base_value")
     fixed = past.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).groupBy("feature").agg(value)
     out = [health_of(group_scores(index_rows(today, fixed, weights))).withColumn("scheme", F.lit("fixed"))]
+    named = F.create_map(*[x for w in weights for x in (F.lit(w.feature), F.struct(F.lit(w.group).alias("group"), F.lit(float(w.group_weight)).alias("group_weight"), F.lit(w.direction).alias("direction")))])
     for n in rolling:
         base = today.select("date", "feature").join(past, "feature").where((F.col("day") < F.col("date")) & (F.datediff("date", "day") <= n)).groupBy("date", "feature").agg(value)
-        marked = today.withColumn("scheme", F.lit(f"rolling_{n}"))
-        with_base = base.withColumn("scheme", F.lit(f"rolling_{n}"))
-        index = marked.join(with_base, ["date", "feature", "scheme"], "left")
-        of = {w.feature: w for w in weights}
-        named = F.create_map(*[x for f, w in of.items() for x in (F.lit(f), F.struct(F.lit(w.group).alias("group"), F.lit(float(w.group_weight)).alias("group_weight"), F.lit(w.direction).alias("direction")))])
-        index = index.withColumn("w", F.element_at(named, F.col("feature"))).select("date", "feature", "w.*", "value", "base_value")
+        index = today.join(base, ["date", "feature"], "left").withColumn("w", F.element_at(named, F.col("feature"))).select("date", "feature", "w.*", "value", "base_value")
         index = index.withColumn("index_value", feature_index(F.col("value"), F.col("base_value"), F.col("direction")))
         out.append(health_of(group_scores(index)).withColumn("scheme", F.lit(f"rolling_{n}")))
     return reduce(DataFrame.unionByName, out).select("date", "scheme", "health")
 
 
+def scheme_spread(rows: DataFrame, daily: DataFrame, state: DataFrame, weights: Weights, start: str, end: str, day: str, feature: str = "cart_per_click", rolling: tuple[int, ...] = (14, 30), sigmas: float = 5.0) -> DataFrame:
+    """``scheme, clean_health, injected_health, delta_health, spread``: one spike in the bad direction under each baseline scheme.
+
+    ``spread``: the largest change of health over the smallest; a small one means that the choice of the scheme hardly matters.
+    """
+    size = state.where(F.col("feature") == feature).select("feature", (F.col("direction") * F.col("sigma") * sigmas).alias("fall"))
+    that = daily.where(F.col("date") == F.lit(day).cast("date")).join(F.broadcast(size), "feature", "left")  # one row
+    hurt = that.select("date", "feature", (F.col("value") - F.coalesce("fall", F.lit(0.0))).alias("value"))
+    clean, injected = (baseline_schemes(rows, weights, start, end, rolling, x).select("scheme", F.col("health").alias(name)) for x, name in ((that.select("date", "feature", "value"), "clean_health"), (hurt, "injected_health")))
+    delta = F.col("injected_health") - F.col("clean_health")
+    both = clean.join(injected, "scheme").withColumn("delta_health", delta)
+    every = Window.partitionBy(F.lit(0))  # a row per scheme
+    return both.withColumn("spread", F.max("delta_health").over(every) - F.min("delta_health").over(every))
+
+
 def weight_set_scores(correlations: DataFrame, candidates: dict[str, dict[str, float]]) -> DataFrame:
     """``candidate, feature, r``, with the candidate's ``mean_r`` and ``min_r``: how a weighted sum of z-scores goes with each feature.
 
@@ -131,7 +207,7 @@ def weight_set_scores(correlations: DataFrame, candidates: dict[str, dict[str, f
 def _pc1(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
     values, vectors = np.linalg.eigh(np.corrcoef(rows.to_numpy(), rowvar=False))
     top = vectors[:, -1] * (-1 if vectors[:, -1].sum() < 0 else 1)
-    return np.abs(top) / np.abs(top).sum(), float(values[-1] / values.sum())
+    return top / np.abs(top).sum(), float(values[-1] / values.sum())
 
 
 def pc1_weights(scores: DataFrame) -> DataFrame:
@@ -180,7 +256,9 @@ def delta_score(daily: DataFrame, start: str, end: str, alpha: float = 1.0, k: f
     scaled = wide.select("date", *[z[c].alias(c) for c in (*features, *targets)]).withColumn("y", reduce(lambda a, b: a + b, [F.col(t) for t in targets]) / len(targets))
     inside = scaled.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     vectors = VectorAssembler(inputCols=list(features), outputCol="x")
-    fit = LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.0, regParam=alpha / stats["n"], standardization=False, solver="normal").fit(vectors.transform(inside))
+    # Spark divides the penalty by the label's deviation
+    penalty = alpha / stats["n"] * (inside.agg(F.stddev_pop("y")).first()[0] or 1.0)
+    fit = LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.0, regParam=penalty, standardization=False, solver="normal").fit(vectors.transform(inside))
     weights = dict(zip(features, fit.coefficients.toArray(), strict=True))
     score = reduce(lambda a, b: a + b, [F.col(f) * float(w) for f, w in weights.items()])
     rows = scaled.withColumn("score", score)
@@ -236,28 +314,56 @@ def ridge_sweep(daily: DataFrame, alphas: tuple[float, ...] = (0.1, 0.3, 1.0, 3.
     return scored.withColumn("best", F.col("alpha") == best)
 
 
-def weight_stability(scores: DataFrame, resamples: int = 50) -> DataFrame:
-    """``variant, feature, weight``: PC1 weights of bootstrap resamples, of both halves of time, and without each feature.
+STABILITY = "group string, variant string, feature string, equal double, weight double, loading double, explained double"
 
-    ``scores``: :func:`~.explore.oriented`. Variants are rows, so they are fitted in parallel; each holds a row per day.
+
+def weight_stability(scores: DataFrame, weights: Weights = WEIGHTS, resamples: int = 50) -> DataFrame:
+    """``group, variant, feature, equal, weight, loading, explained``: a group's equal and PC1 weights under changes of the data.
+
+    Variants: ``all`` days, bootstrap resamples of days, both halves of time, and without each feature. ``equal``: 1 over the
+    number of the group's features; ``loading``: of the first principal component of z-scores, signs turned so that they add
+    up to a positive number; ``weight``: sizes of loadings, normalised; ``explained``: the component's part of the variance.
+    ``scores``: :func:`~.explore.oriented`. Groups and variants are fitted in parallel; each holds a row per day.
     """
     days = scores.where("z is not null").select("date").distinct()
     by = Window.partitionBy(F.lit(0)).orderBy("date")  # a row per day
     numbered = days.select("date", (F.row_number().over(by) - 1).cast("long").alias("pick"))
     n = days.count()
-    names = [w.feature for w in WEIGHTS]
+    groups: dict[str, list[str]] = {}
+    for w in weights:
+        groups.setdefault(w.group, []).append(w.feature)
+    names = [w.feature for w in weights]
     samples = draws(scores.sparkSession, resamples, max(n, 1)).join(numbered, "pick").select(F.concat(F.lit("resample-"), F.col("b").cast("string")).alias("variant"), "date")
     halves = numbered.select(F.when(F.col("pick") < n / 2, "first half").otherwise("second half").alias("variant"), "date")
     without = numbered.select(F.explode(F.array(*[F.lit(f"without {f}") for f in names])).alias("variant"), "date")
     wide = scores.groupBy("date").pivot("feature", names).agg(F.first("z"))
-    grid = samples.union(halves).union(without).union(numbered.select(F.lit("all").alias("variant"), "date")).join(wide, "date")
+    grid = samples.union(halves).union(without).union(numbered.select(F.lit("all").alias("variant"), "date")).join(wide, "date").withColumn("group", F.explode(F.array(*[F.lit(g) for g in groups])))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        variant = part["variant"].iloc[0]
-        used = [f for f in names if f"without {f}" != variant and part[f].notna().all() and part[f].std() > 0]
+        group, variant = part["group"].iloc[0], part["variant"].iloc[0]
+        if variant.startswith("without ") and variant[8:] not in groups[group]:
+            return pd.DataFrame(columns=[c.split()[0] for c in STABILITY.split(", ")])  # another group's variant
+        used = [f for f in groups[group] if f"without {f}" != variant and part[f].notna().all() and part[f].std() > 0]
         if len(used) < 2 or len(part) < 3:
-            return pd.DataFrame({"variant": [], "feature": [], "weight": []}).astype({"variant": str, "feature": str, "weight": float})
-        weight, _ = _pc1(part[used])
-        return pd.DataFrame({"variant": variant, "feature": used, "weight": weight})
+            return pd.DataFrame(columns=[c.split()[0] for c in STABILITY.split(", ")])
+        loading, explained = _pc1(part[used])
+        return pd.DataFrame({"group": group, "variant": variant, "feature": used, "equal": 1 / len(used), "weight": np.abs(loading), "loading": loading, "explained": explained})
+
+    return grid.groupBy("group", "variant").applyInPandas(fit, STABILITY)
 
-    return grid.groupBy("variant").applyInPandas(fit, "variant string, feature string, weight double")
+
+def weight_choice(stability: DataFrame, stable: float = 1.0) -> DataFrame:
+    """``group, explained, least_loading, widest_interval, time_split, equal_inside, choice``: one row per group.
+
+    ``widest_interval``: the widest 95 % interval of a weight over resamples, relative to its median; ``time_split``: the largest
+    difference of a weight between both halves; ``equal_inside``: all intervals hold the equal weight. ``choice``: ``pc1`` if
+    the component explains over half, all loadings are positive and the widest interval is below ``stable``; else ``equal``.
+    """
+    whole = stability.where("variant = 'all'").groupBy("group").agg(F.first("explained").alias("explained"), F.min("loading").alias("least_loading"))
+    drawn = stability.where("variant like 'resample-%'").groupBy("group", "feature").agg(F.percentile("weight", F.lit(0.025)).alias("lo"), F.percentile("weight", F.lit(0.975)).alias("hi"), F.median("weight").alias("mid"), F.first("equal").alias("equal"))
+    spread = drawn.groupBy("group").agg(F.max(ratio(F.col("hi") - F.col("lo"), F.col("mid"))).alias("widest_interval"), F.bool_and(F.col("equal").between(F.col("lo"), F.col("hi"))).alias("equal_inside"))
+    half = lambda v: F.max(F.when(F.col("variant") == v, F.col("weight")))
+    halves = stability.groupBy("group", "feature").agg((half("first half") - half("second half")).alias("d")).groupBy("group").agg(F.max(F.abs("d")).alias("time_split"))
+    rows = whole.join(spread, "group", "left").join(halves, "group", "left")
+    pc1 = (F.col("explained") > 0.5) & (F.col("least_loading") > 0) & (F.col("widest_interval") < stable)
+    return rows.select("group", "explained", "least_loading", "widest_interval", "time_split", "equal_inside", F.when(pc1, "pc1").otherwise("equal").alias("choice"))

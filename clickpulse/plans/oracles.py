@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.segments import SEGMENTS
-from .queries import CATEGORY, DAY, DAY_FROM, END, START, candidates
+from .queries import ALERT_DAY, CATEGORY, DAY, DAY_FROM, END, INJECT_FROM, START, candidates
 from .tables import SHOP
 from .weights import FEATURES, GROUPS, WEIGHTS
 
@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
         round((SELECT coalesce(sum(contribution), 0) FROM decomp WHERE level = 'feature' AND date = '{DAY}') - (SELECT coalesce(sum(contribution), 0) FROM decomp WHERE level = 'feature' AND date = '{DAY_FROM}'), 6), 0,
         (SELECT count(*) FROM parts WHERE level = 'feature' AND (from_index IS NULL) <> (to_index IS NULL))
       WHERE EXISTS (SELECT 1 FROM decomp WHERE date = '{DAY}') AND EXISTS (SELECT 1 FROM decomp WHERE date = '{DAY_FROM}')""",
-    "anomaly_summary": f"SELECT feature, {_r('today_value', 'residual', 'sigma', 'corridor_lo', 'corridor_hi')} FROM decomp WHERE level = 'feature' AND date = '{DAY}' AND is_anomaly",
+    "anomaly_summary": f"SELECT feature, {_r('today_value', 'residual', 'sigma', 'corridor_lo', 'corridor_hi')} FROM decomp WHERE level = 'feature' AND date = '{ALERT_DAY}' AND is_anomaly",
     "category_drilldown": f"""SELECT q.category, {_r('index_value', 'contribution')}, n_sessions_today, {_r('base_weight', 'today_share')}, included, skip_reason, d.category IS NOT NULL AS found
       FROM (SELECT '{CATEGORY}' AS category) q LEFT JOIN (SELECT * FROM decomp WHERE level = 'category' AND date = '{DAY}') d ON d.category = q.category""",
     "day_view": f"""SELECT level, "group", feature, category, {_r('index_value', 'contribution')}, round(residual / CASE WHEN sigma > 0 THEN sigma END, 6) AS residual_sigmas, included, skip_reason FROM decomp WHERE date = '{DAY}'""",
@@ -328,11 +328,30 @@ ORACLES: dict[str, str] = {
       mv AS (SELECT al.*, g.group_weight / total / n_used * ((CASE WHEN al.direction = -1 THEN 200 - 100 * bad / base_value ELSE 100 * bad / base_value END) - index_value) AS delta
         FROM al JOIN idx i ON i.date = al.date AND i.feature = al.feature JOIN groups g ON g.date = al.date AND g.grp = i.grp JOIN totals t ON t.date = al.date)
       SELECT feature, scenario, count(*) FILTER (WHERE hit) AS n_alerts, min(o) FILTER (WHERE hit) AS first_alert_after, bool_or(hit) AS detected, round(min(delta), 6) AS delta_health FROM mv GROUP BY feature, scenario""",
-    "baseline_schemes": f"SELECT {_DATE}, scheme, {_r('health')} FROM ({_scheme('fixed', 'SELECT date, feature, value, base_value FROM daily LEFT JOIN base_v USING (feature)')} UNION ALL {_scheme('rolling_7', _rolling(7))} UNION ALL {_scheme('rolling_14', _rolling(14))})",
+    "baseline_schemes": f"SELECT {_DATE}, scheme, {_r('health')} FROM ({_scheme('fixed', 'SELECT date, feature, value, base_value FROM daily LEFT JOIN base_v USING (feature)')} UNION ALL {_scheme('rolling_14', _rolling(14))} UNION ALL {_scheme('rolling_30', _rolling(30))})",
+    "scheme_spread": f""", hd AS (SELECT date, feature, value, value - CASE WHEN feature = 'cart_per_click' THEN direction * 5.0 * sigma ELSE 0 END AS bad FROM centred WHERE date = '{DAY}'),
+      bs AS (SELECT 'fixed' AS scheme, feature, base_value FROM base_v UNION ALL SELECT 'rolling_14', feature, base_value FROM ({_rolling(14)}) WHERE date = '{DAY}' UNION ALL SELECT 'rolling_30', feature, base_value FROM ({_rolling(30)}) WHERE date = '{DAY}'),
+      gs AS (SELECT scheme, grp, group_weight, avg({_index('value', 'base_value')}) AS a, avg({_index('bad', 'base_value')}) AS b FROM hd JOIN bs USING (feature) JOIN w USING (feature) GROUP BY ALL),
+      sc AS (SELECT scheme, sum(group_weight * a) / nullif(sum(group_weight) FILTER (WHERE a IS NOT NULL), 0) AS clean_health, sum(group_weight * b) / nullif(sum(group_weight) FILTER (WHERE b IS NOT NULL), 0) AS injected_health FROM gs GROUP BY scheme)
+      SELECT scheme, {_r('clean_health', 'injected_health')}, round(injected_health - clean_health, 6) AS delta_health, round(max(injected_health - clean_health) OVER () - min(injected_health - clean_health) OVER (), 6) AS spread FROM sc""",
+    "stress_isolation": f""", st AS (SELECT date, grp, group_weight, avg(index_value) AS a, avg(CASE WHEN feature = 'dead_search_rate' THEN {_index('value * 1.2', 'base_value')} ELSE index_value END) AS b
+        FROM idx WHERE date_diff('day', DATE '{INJECT_FROM}', date) BETWEEN 0 AND 4 GROUP BY ALL),
+      hs AS (SELECT date, sum(group_weight * a) / nullif(sum(group_weight) FILTER (WHERE a IS NOT NULL), 0) AS a, sum(group_weight * b) / nullif(sum(group_weight) FILTER (WHERE b IS NOT NULL), 0) AS b FROM st GROUP BY date)
+      SELECT score, round(avg(b - a), 6) AS mean_delta, count(b - a) AS n_days FROM (SELECT grp AS score, a, b FROM st UNION ALL SELECT 'health', a, b FROM hs) GROUP BY score""",
+    "detection_quality": f""", cl AS (SELECT c.*, date_diff('day', DATE '{INJECT_FROM}', date) AS o FROM centred c WHERE date >= '{INJECT_FROM}'),
+      fa AS (SELECT *, CASE WHEN scenario = 'spike' AND o = 0 THEN 0.2 WHEN scenario = 'step' THEN 0.1 WHEN scenario = 'drift' AND o < 10 THEN 0.01 * (o + 1) ELSE 0 END AS size FROM cl, (VALUES ('spike'), ('step'), ('drift')) sc(scenario)),
+      al AS (SELECT feature, scenario, o, size > 0 AND value IS NOT NULL AS injected, coalesce(CASE WHEN direction = -1 THEN value * (1 + size) - mid > hi ELSE value * (1 - size) - mid < lo END, false) AS hit FROM fa)
+      SELECT feature, scenario, count(*) FILTER (WHERE hit) AS n_alerts, count(*) FILTER (WHERE injected) AS n_injected, round(count(*) FILTER (WHERE hit AND injected) / nullif(count(*) FILTER (WHERE hit), 0), 6) AS precision,
+        round(count(*) FILTER (WHERE hit AND injected) / nullif(count(*) FILTER (WHERE injected), 0), 6) AS recall, min(o) FILTER (WHERE hit AND injected) AS days_to_detect FROM al GROUP BY ALL""",
+    "rolling_mad": f""", met AS (SELECT t.date, t.feature, p.value AS v, median(p.value) OVER (PARTITION BY t.date, t.feature) AS m FROM daily t JOIN daily p ON p.feature = t.feature AND p.date < t.date AND date_diff('day', p.date, t.date) <= 7 WHERE p.value IS NOT NULL),
+      rb AS (SELECT date, feature, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s, count(*) AS n FROM met GROUP BY date, feature HAVING count(*) >= 3)
+      SELECT strftime(d.date, '%Y-%m-%d') AS date, d.feature, round(value, 6) AS value, round(m, 6) AS median, round(s, 6) AS sigma, round(m - 3.5 * s, 6) AS lo, round(m + 3.5 * s, 6) AS hi, coalesce(n, 0) AS n,
+        coalesce(CASE WHEN direction = -1 THEN value > m + 3.5 * s ELSE value < m - 3.5 * s END, false) AS is_anomaly FROM daily d JOIN w USING (feature) LEFT JOIN rb ON rb.date = d.date AND rb.feature = d.feature""",
     "weight_set_scores": f""", cw(candidate, feature, wt) AS (VALUES {_CANDIDATES}),
       fl AS (SELECT feature_a AS a, feature_b AS b, coalesce(r, 0) AS r FROM corrs UNION ALL SELECT DISTINCT feature_a, feature_a, 1.0 FROM corrs),
       rw AS (SELECT candidate, a, sum(r * CAST(wt AS DOUBLE)) AS rw FROM fl JOIN cw ON cw.feature = fl.b GROUP BY ALL),
       rr AS (SELECT rw.candidate, a, rw / sqrt(sum(coalesce(wt, 0) * rw) OVER (PARTITION BY rw.candidate)) AS r FROM rw LEFT JOIN cw ON cw.candidate = rw.candidate AND cw.feature = rw.a)
       SELECT candidate, a AS feature, round(r, 6) AS r, round(avg(r) OVER (PARTITION BY candidate), 6) AS mean_r, round(min(r) OVER (PARTITION BY candidate), 6) AS min_r FROM rr""",
 }
+ORACLES["health_default_baseline"] = ORACLES["health_daily"]  # the data begin on the day that the fixed baseline begins on
 ORACLES = {name: BASE + sql if not sql.startswith(",") else BASE.rstrip() + sql for name, sql in ORACLES.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .weights import WEIGHTS, directions
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = SHOP.baseline
 DAY_FROM, DAY = "2024-01-20", "2024-01-25"
+INJECT_FROM = "2024-01-21"
+ALERT_DAY = "2024-01-01"
 CATEGORY = "LARGE"
 QUERIES: dict[str, Query] = {}
 
@@ -120,8 +123,8 @@ def enriched_contract(a: Analysis) -> DataFrame:
 @query
 def verify_enriched(a: Analysis) -> DataFrame:
     """Against a copy in which queries of even users lost their last character."""
-    changed = a.sessions.withColumn("first_query", F.when(F.col("user_id") % 2 == 0, F.expr("left(first_query, length(first_query) - 1)")).otherwise(F.col("first_query")))
-    return enrich.verify_against(a.enriched, enrich.enrich_sessions(changed, a.products))
+    changed = a.kept_sessions.withColumn("first_query", F.when(F.col("user_id") % 2 == 0, F.expr("left(first_query, length(first_query) - 1)")).otherwise(F.col("first_query")))
+    return enrich.verify_against(enrich.enrich_sessions(a.kept_sessions, a.products), enrich.enrich_sessions(changed, a.products))
 
 
 @query
@@ -170,6 +173,12 @@ def health_daily(a: Analysis) -> DataFrame:
     return a.health
 
 
+@query
+def health_default_baseline(a: Analysis) -> DataFrame:
+    """Against the first 20 days with data, found from the summary."""
+    return Analysis(a.events, a.products, replace(SHOP, baseline=None, baseline_days=20)).health
+
+
 @query
 def health_indices(a: Analysis) -> DataFrame:
     return a.indices
@@ -234,7 +243,7 @@ def explain_delta(a: Analysis) -> DataFrame:
 
 @query
 def anomaly_summary(a: Analysis) -> DataFrame:
-    return rca.anomalies_of(a.decomposition, DAY).select("feature", "today_value", "residual", "sigma", "corridor_lo", "corridor_hi")
+    return rca.anomalies_of(a.decomposition, ALERT_DAY).select("feature", "today_value", "residual", "sigma", "corridor_lo", "corridor_hi")
 
 
 @query
@@ -358,12 +367,32 @@ def health_bootstrap(a: Analysis) -> DataFrame:
 
 @query
 def injection_suite(a: Analysis) -> DataFrame:
-    return validation.injection_suite(a.daily, a.base_values, a.detector, SHOP.weights, "2024-01-21")
+    return validation.injection_suite(a.daily, a.base_values, a.detector, SHOP.weights, INJECT_FROM)
 
 
 @query
 def baseline_schemes(a: Analysis) -> DataFrame:
-    return validation.baseline_schemes(a.features, SHOP.weights, START, END, (7, 14))
+    return validation.baseline_schemes(a.features, SHOP.weights, START, END)
+
+
+@query
+def scheme_spread(a: Analysis) -> DataFrame:
+    return validation.scheme_spread(a.features, a.daily, a.detector, SHOP.weights, START, END, DAY)
+
+
+@query
+def stress_isolation(a: Analysis) -> DataFrame:
+    return validation.stress_isolation(a.daily, a.base_values, SHOP.weights, INJECT_FROM)
+
+
+@query
+def detection_quality(a: Analysis) -> DataFrame:
+    return validation.detection_quality(a.daily, a.detector, INJECT_FROM)
+
+
+@query
+def rolling_mad(a: Analysis) -> DataFrame:
+    return validation.rolling_bands(a.daily, directions())
 
 
 def candidates() -> dict[str, dict[str, float]]:
@@ -404,3 +433,8 @@ def ridge_sweep(a: Analysis) -> DataFrame:
 @query
 def weight_stability(a: Analysis) -> DataFrame:
     return validation.weight_stability(explore.oriented(a.daily, directions()))
+
+
+@query
+def weight_choice(a: Analysis) -> DataFrame:
+    return validation.weight_choice(validation.weight_stability(explore.oriented(a.daily, directions())))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,15 @@ from .weights import WEIGHTS, FeatureWeight, directions
 
 @dataclass(frozen=True)
 class Settings:
-    """Library defaults; ``baseline`` defaults to the first 30 days where a caller asks for it."""
+    """Library defaults. Without a ``baseline``, it is the first ``baseline_days`` days from the first day with data on."""
 
     gap_min: int = sessions.GAP_MIN
     chunk_days: int | None = None
     min_category_sessions: int = summary.MIN_CATEGORY_SESSIONS
     km_min_events: int = summary.KM_MIN_EVENTS
     min_sessions_per_category: int = health.MIN_SESSIONS_PER_CATEGORY
-    baseline: tuple[str, str] = ("2024-03-01", "2024-03-30")
+    baseline: tuple[str, str] | None = None
+    baseline_days: int = health.BASELINE_DAYS
     mad_k: float = anomaly.K
     dow_threshold: float = anomaly.DOW_THRESHOLD
     min_volume_period: int = segments.MIN_VOLUME
@@ -68,6 +71,11 @@ class Analysis:
     def summary(self) -> DataFrame:
         return summary.day_summary(self.kept_sessions, self.settings.min_category_sessions, self.settings.km_min_events).persist()
 
+    @cached_property
+    def baseline(self) -> tuple[str, str]:
+        """The settings' baseline, or the default one, which takes a look at the day summary and fails if that is empty."""
+        return self.settings.baseline or health.default_baseline(self.summary, self.settings.baseline_days)
+
     @cached_property
     def features(self) -> DataFrame:
         return health.feature_rows(self.summary)
@@ -78,13 +86,13 @@ class Analysis:
 
     @cached_property
     def baseline_daily(self) -> DataFrame:
-        return health.within(self.daily, *self.settings.baseline)
+        return health.within(self.daily, *self.baseline)
 
     @cached_property
     def base_values(self) -> DataFrame:
         from ..functions.numbers import ratio
 
-        return health.within(self.features, *self.settings.baseline).groupBy("feature").agg(ratio(F.sum("above"), F.sum("below")).alias("base_value"))
+        return health.within(self.features, *self.baseline).groupBy("feature").agg(ratio(F.sum("above"), F.sum("below")).alias("base_value"))
 
     @cached_property
     def indices(self) -> DataFrame:
@@ -92,7 +100,7 @@ class Analysis:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return health.category_health(self.summary, self.settings.weights, *self.settings.baseline, self.settings.min_sessions_per_category).persist()
+        return health.category_health(self.summary, self.settings.weights, *self.baseline, self.settings.min_sessions_per_category).persist()
 
     @cached_property
     def health(self) -> DataFrame:
@@ -109,8 +117,7 @@ class Analysis:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        s = self.settings
-        return health.daily_metrics(self.summary, self.indices, self.health, self.checked, *s.baseline)
+        return health.daily_metrics(self.summary, self.indices, self.health, self.checked, *self.baseline)
 
     @cached_property
     def decomposition(self) -> DataFrame:
@@ -130,10 +137,37 @@ class Analysis:
         stored = Analysis(self.events, self.products, self.settings, spark.read.parquet(f"{path}/sessions"))
         stored.summary.orderBy("date", "category").write.mode("overwrite").parquet(f"{path}/day_summary")
         stored.__dict__["summary"] = spark.read.parquet(f"{path}/day_summary")
+        if health.within(stored.summary, *stored.baseline).isEmpty():
+            raise ValueError("the baseline window has no rows")
         anomaly.save_detector(stored.detector, f"{path}/detector")
         wrong = rca.additivity_violations(stored.decomposition, stored.health)
         if not wrong.isEmpty():
             raise ValueError(f"parts do not add up to the score: {wrong.limit(5).collect()}")
         stored.metrics.write.mode("overwrite").parquet(f"{path}/daily_metrics")
         rca.ordered(stored.decomposition).write.mode("overwrite").parquet(f"{path}/decomposition")
-        write_by_date(stored.breakdown, f"{path}/segment_breakdown")
+        write_segments(spark, f"{path}/sessions", f"{path}/segment_breakdown", self.products)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, products: DataFrame | None = None, settings: Settings = SHOP) -> Analysis:
+        """A written run: explanations and views start from its tables, nothing is computed again."""
+        run = cls(None, products, settings, spark.read.parquet(f"{path}/sessions"))
+        tables = {"summary": "day_summary", "metrics": "daily_metrics", "breakdown": "segment_breakdown"}
+        run.__dict__.update({name: spark.read.parquet(f"{path}/{table}") for name, table in tables.items()})
+        run.__dict__["breakdown"] = run.breakdown.withColumn("date", F.col("date").cast("string"))
+        run.__dict__["decomposition"] = rca.load_decomposition(spark, f"{path}/decomposition")
+        run.__dict__["detector"] = anomaly.load_detector(spark, f"{path}/detector")
+        return run
+
+
+def write_segments(spark: SparkSession, sessions_path: str, path: str, products: DataFrame) -> bool:
+    """Writes the segment breakdown of stored sessions; warns, writes nothing and returns False if they are missing or empty."""
+    try:
+        rows = spark.read.parquet(sessions_path)
+    except AnalysisException:
+        warnings.warn(f"{sessions_path} not found: no segment breakdown", stacklevel=2)
+        return False
+    if rows.isEmpty():
+        warnings.warn(f"{sessions_path} is empty: no segment breakdown", stacklevel=2)
+        return False
+    write_by_date(segments.segment_breakdown(enrich.enrich_sessions(rows, products)), path)
+    return True

@@ -1,6 +1,7 @@
 """The analysis on tiny tables: sessions, medians, scores, detector, explanations, segments."""
 
 import datetime as dt
+import os
 import random
 
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from clickpulse.functions.numbers import feature_index
 from clickpulse.functions.text import bucket_label, normalize_query, word_count
 from clickpulse.operators import anomaly, enrich, health, rca, segments, sessions, summary
-from clickpulse.plans.tables import Analysis, Settings
+from clickpulse.plans.tables import Analysis, Settings, write_segments
 from clickpulse.plans.weights import FeatureWeight
+from clickpulse.sources.events import EVENT_COLUMNS, PRODUCT_COLUMNS, normal_timestamps, read_daily, read_events, read_products
 from clickpulse.streaming.sessions import stream_sessions
 
 WEIGHTS = (
@@ -267,8 +269,65 @@ def test_batch_run(spark, sf_dir, tmp_path):
     a = Analysis.of_shop(spark, sf_dir)
     a.write(str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/daily_metrics").count() == 30
-    stored = Analysis(a.events, a.products, a.settings, spark.read.parquet(f"{tmp_path}/sessions"))
-    assert stored.summary.count() == spark.read.parquet(f"{tmp_path}/day_summary").count() == 150
+    fresh = Analysis(a.events, a.products, a.settings, spark.read.parquet(f"{tmp_path}/sessions"))
+    assert fresh.summary.count() == spark.read.parquet(f"{tmp_path}/day_summary").count() == 150
+    stored = Analysis.stored(spark, str(tmp_path), a.products)
+    assert stored.decomposition.schema["date"].dataType.typeName() == "string"
+    for make in (lambda x: rca.day_view(x, "2024-01-25"), lambda x: rca.explain_drop(x, "2024-01-20", "2024-01-25")):
+        columns = [c for c in make(stored.decomposition).columns if c != "date"]
+        got, want = (sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in make(x.decomposition).select(columns).collect()) for x in (stored, a))
+        assert got == want and got
+    assert stored.breakdown.count() == a.breakdown.count() and stored.detector.count() == a.detector.count() and stored.metrics.count() == 30
+    parts = [f.path for f in sorted(os.scandir(f"{tmp_path}/decomposition"), key=lambda f: f.name) if f.name.endswith(".parquet")]
+    rows = [tuple(r) for p in parts for r in spark.read.parquet(p).select(*rca.ORDER).collect()]
+    assert rows == sorted(rows, key=lambda r: tuple((x is None, x or "" if i else x) for i, x in enumerate(r))) and len(rows) == a.decomposition.count()
+
+
+def test_default_baseline(spark, products):
+    days = [(1, 86400 * i, "search") for i in range(3, 8)]
+    a = Analysis(events(spark, days), products, Settings(baseline_days=3))
+    assert a.baseline == ("2024-03-04", "2024-03-06") and health.within(a.daily, *a.baseline).select("date").distinct().count() == 3
+    with pytest.raises(ValueError, match="empty"):
+        Analysis(events(spark, []), products, Settings()).baseline  # noqa: B018
+
+
+def test_no_segments_without_sessions(spark, products, tmp_path):
+    with pytest.warns(UserWarning, match="not found"):
+        assert not write_segments(spark, f"{tmp_path}/none", f"{tmp_path}/out", products)
+    session_rows(spark).limit(0).write.parquet(f"{tmp_path}/empty")
+    with pytest.warns(UserWarning, match="empty"):
+        assert not write_segments(spark, f"{tmp_path}/empty", f"{tmp_path}/out", products)
+    assert not (tmp_path / "out").exists()
+
+
+def test_readers(spark, tmp_path):
+    """The log is pruned by date and column, nanoseconds become microseconds; the catalogue and daily files are read."""
+    made = events(spark, [(1, 86400 * i, "search" if i % 2 else "view", "q", "w", None if i % 2 else i) for i in range(6)])
+    made.withColumn("more", F.lit(1)).write.partitionBy("date", "action_type").parquet(f"{tmp_path}/log")
+    read = read_events(spark, f"{tmp_path}/log", "2024-03-02", "2024-03-04")
+    assert sorted(r["event_id"] for r in read.collect()) == [1, 2, 3] and tuple(read.columns) == EVENT_COLUMNS
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "more" not in plan
+    nanos = spark.createDataFrame([(1_709_251_200_123_456_789,)], "timestamp long")
+    assert str(normal_timestamps(nanos).first()["timestamp"]) == "2024-03-01 00:00:00.123456"
+    spark.createDataFrame([(1, "n", "b", "t", "c", 5)], "item_id long, name string, brand string, type string, category_name string, price long").write.parquet(f"{tmp_path}/products")
+    assert tuple(read_products(spark, f"{tmp_path}/products").columns) == PRODUCT_COLUMNS
+    for i in (1, 2):
+        spark.createDataFrame([(i, 0.5)], "day long, a double" if i == 1 else "day long, b double").write.parquet(f"{tmp_path}/day{i}")
+    daily = read_daily(spark, f"{tmp_path}/day1", f"{tmp_path}/day2")
+    assert sorted(daily.columns) == ["a", "b", "day"] and sorted((r["day"], r["a"], r["b"]) for r in daily.collect()) == [(1, 0.5, None), (2, None, 0.5)]
+
+
+def test_events_without_item_are_dealt_out(spark, products):
+    """A catalogue too large to broadcast: the join still gives the same sessions, and no key holds all searches."""
+    rows = [(u, 60 * i, "search" if i % 3 else "click", "q", "w", None if i % 3 else 1 + i % 2) for u in range(20) for i in range(30)]
+    want = sorted(map(str, sessions.build_sessions(events(spark, rows), products).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, sessions.build_sessions(events(spark, rows), products).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_streaming_sessions(spark, tmp_path):
