@@ -44,11 +44,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+#: Files per core that a table of short rows is written as at most.
+FILES_PER_CORE = 4
+
+
+def cut(df: DataFrame, short: bool = False) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    ``short``: rows of a few numbers. Such a table is written by no more tasks than a small multiple of the cores there are,
+    each of which takes several partitions one after another, instead of as a great many tiny files.
+    """
     spark = df.sparkSession
     path = f"{_FOLDER.get() or shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    (df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism) if short else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

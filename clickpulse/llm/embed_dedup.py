@@ -154,12 +154,13 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
             distinct.select("key", "copies")
             .join(counts, "key", "left")
             .join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-            .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
+            .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")),
+            short=True,
         )
     else:
         groups = distinct.select("key", (F.col("copies") - 1).alias("n_links"), F.col("key").alias("root"))
-    named = cut(keyed.select("id", "key").join(groups, "key", "left").select("id", "n_links", "root"))
-    least = cut(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")))
+    named = cut(keyed.select("id", "key").join(groups, "key", "left").select("id", "n_links", "root"), short=True)
+    least = cut(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), short=True)
     judged = named.join(least, "root", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return judged.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -123,7 +123,7 @@ def bounded_sample(labelled: DataFrame, per_group: int, group: str, key: str) ->
     Counting the groups reads ``group`` alone; a row is then kept or not on its own, so no group is gathered. The counts are
     written first, so that Spark knows their size and broadcasts them only if it is small.
     """
-    counts = cut(labelled.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
+    counts = cut(labelled.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), short=True)
     return labelled.join(counts, group).where(hash_share(F.col(key).cast("string"), 17) * F.col("_n") < per_group).drop("_n")
 
 

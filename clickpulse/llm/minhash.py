@@ -334,25 +334,25 @@ def _roots(rows: DataFrame, similarity: float) -> DataFrame:
     placed = bands.select("key", "n", F.posexplode("bands").alias("no", "band"))
     # what is joined to a bucket's members is written first: a bucket may hold a third of all texts, and Spark splits such a
     # key only if the other side isn't an aggregate of the same stage
-    shared = cut(placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size"))
+    shared = cut(placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size"), short=True)
     members = cut(placed.join(shared, "band"))
     popular = members.groupBy("key").agg(F.sum("size").alias("popular"))
     texts = worded.groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
     bags = cut(bag_table(texts).join(bands, "key"))
 
     known = members.join(popular, "key")
-    leads = cut(known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead")))
+    leads = cut(known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead")), short=True)
     tries = known.join(leads, "band").where("key <> lead.key").groupBy("key").agg(F.max("lead").alias("lead"))
     links = cut(_verified(tries.select(F.col("key").alias("u"), F.col("lead.key").alias("v")), bags, similarity))
     roots = connected_components(links)
 
-    held = cut(members.select("band", "no", "key", "n").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    held = cut(members.select("band", "no", "key", "n").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), short=True)
     of_root = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
     of_band = of_root.groupBy("band").agg(F.max(F.struct("texts", "shingles", "root")).alias("most"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles")).where("texts > most.texts")
     blocks = F.ceil(F.greatest((F.col("texts") - F.col("most.texts")) / BLOCK_TEXTS, (F.col("shingles") - F.col("most.shingles")) / BLOCK_SHINGLES)).cast("int")
-    several = cut(of_band.select("band", F.col("most.root").alias("most"), blocks.alias("blocks"), F.ceil(F.col("texts") / STREAM_TEXTS).cast("int").alias("streams")))
+    several = cut(of_band.select("band", F.col("most.root").alias("most"), blocks.alias("blocks"), F.ceil(F.col("texts") / STREAM_TEXTS).cast("int").alias("streams")), short=True)
     open_members = held.join(several, "band").select("band", "no", "key", "root", (F.col("root") != F.col("most")).alias("outside"), "blocks", "streams")
-    links = cut(links.union(_links_within(cut(open_members), bags, similarity)))
+    links = cut(links.union(_links_within(cut(open_members, short=True), bags, similarity)), short=True)
     return connected_components(links)
 
 
@@ -369,8 +369,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, key: s
 
     # exact copies share a key already; texts without words have a class for each row
     named = rows.select("doc", F.when(F.col("text").rlike(_WORDED), F.col("key")).alias("key"))
-    named = cut(named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc", F.coalesce("root", "key").alias("class")))
-    least = cut(named.where("class is not null").groupBy("class").agg(F.min("doc").alias("class_id")))
+    named = cut(named.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("doc", F.coalesce("root", "key").alias("class")), short=True)
+    least = cut(named.where("class is not null").groupBy("class").agg(F.min("doc").alias("class_id")), short=True)
     judged = named.join(least, "class", "left")
     alone = F.col("class").isNull()
     return judged.select(F.col("doc").alias(key), F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("doc").eqNullSafe(F.col("class_id"))).alias("kept"))
@@ -388,6 +388,6 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, key: str =
     rows = named.where(worded).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(content).alias("key"), F.col(null).alias("null"), F.col(doc).alias("doc"))
     roots = _roots(rows, similarity).select(F.col("node").alias("key"), "root")
     least = rows.drop("text").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(F.struct("null", "id", "key", "doc")).alias("least"))
-    chosen = cut(least.select(F.col("least.key").alias(content), F.col("least.null").alias(null), F.col("least.doc").alias(doc)))
+    chosen = cut(least.select(F.col("least.key").alias(content), F.col("least.null").alias(null), F.col("least.doc").alias(doc)), short=True)
     stay = named.where(worded).join(chosen, by).dropDuplicates(by)
     return stay.select(documents.columns).unionByName(named.where(~worded).select(documents.columns))

@@ -87,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         .select("host", "path", _reversed(F.expr("slice(labels, -n, n)")).alias("rhost"), F.encode("path", "UTF-8").alias("at"), F.lit(2).alias("kind"))
         .join(bounds.select("rhost").distinct(), "rhost", "left_semi")
     )
-    sweeps = cut(keys.groupBy("rhost").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SWEEP_URLS))).cast("int").alias("sweeps")))  # a row for a rule's host at most
+    sweeps = cut(keys.groupBy("rhost").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SWEEP_URLS))).cast("int").alias("sweeps")), short=True)  # a row for a rule's host at most
     keys = keys.join(sweeps, "rhost").withColumn("split", F.pmod(F.xxhash64("host", "path"), "sweeps").cast("int"))
     nothing = {"rule": "string", "verdict": "string", "size": "int"}
     events = keys.select("rhost", "split", "at", "kind", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "host", "path").unionByName(
