@@ -42,11 +42,21 @@ class Analysis:
     """All derived tables, built once per object and lazily; ``sessions`` may be an earlier run's table.
 
     From the day summary on, tables have a row per day and category or feature. They are read several times by what
-    follows, so the session keeps them (on disk where memory is short; a lost part is computed again).
+    follows, so the session keeps them (on disk where memory is short; a lost part is computed again) until ``release``.
     """
 
     def __init__(self, events: DataFrame | None, products: DataFrame | None, settings: Settings = SHOP, sessions: DataFrame | None = None):
         self.events, self.products, self.settings, self._sessions = events, products, settings, sessions
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """The session lets go of the tables that it keeps for this object; they are built again if they are read again."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
     @classmethod
     def of_shop(cls, spark: SparkSession, sf_dir: str) -> Analysis:
@@ -61,7 +71,7 @@ class Analysis:
     @cached_property
     def kept_sessions(self) -> DataFrame:
         """For what reads sessions more than once: a stored table as it is, else built once and kept by the session."""
-        return self.sessions if self._sessions is not None else self.sessions.persist()
+        return self.sessions if self._sessions is not None else self._keep(self.sessions)
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -69,7 +79,7 @@ class Analysis:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return summary.day_summary(self.kept_sessions, self.settings.min_category_sessions, self.settings.km_min_events).persist()
+        return self._keep(summary.day_summary(self.kept_sessions, self.settings.min_category_sessions, self.settings.km_min_events))
 
     @cached_property
     def baseline(self) -> tuple[str, str]:
@@ -82,7 +92,7 @@ class Analysis:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return health.daily_features(self.features).persist()  # a row per day and feature
+        return self._keep(health.daily_features(self.features))  # a row per day and feature
 
     @cached_property
     def baseline_daily(self) -> DataFrame:
@@ -96,16 +106,16 @@ class Analysis:
 
     @cached_property
     def indices(self) -> DataFrame:
-        return health.index_rows(self.daily, self.base_values, self.settings.weights).persist()
+        return self._keep(health.index_rows(self.daily, self.base_values, self.settings.weights))
 
     @cached_property
     def categories(self) -> DataFrame:
-        return health.category_health(self.summary, self.settings.weights, *self.baseline, self.settings.min_sessions_per_category).persist()
+        return self._keep(health.category_health(self.summary, self.settings.weights, *self.baseline, self.settings.min_sessions_per_category))
 
     @cached_property
     def health(self) -> DataFrame:
         raw = health.health_of(health.group_scores(self.indices))
-        return raw.join(health.stratified(self.categories), "date", "left").withColumn("drift", F.col("stratified") - F.col("health")).persist()
+        return self._keep(raw.join(health.stratified(self.categories), "date", "left").withColumn("drift", F.col("stratified") - F.col("health")))
 
     @cached_property
     def detector(self) -> DataFrame:
@@ -113,7 +123,7 @@ class Analysis:
 
     @cached_property
     def checked(self) -> DataFrame:
-        return anomaly.check_days(self.daily, self.detector).persist()
+        return self._keep(anomaly.check_days(self.daily, self.detector))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -121,7 +131,7 @@ class Analysis:
 
     @cached_property
     def decomposition(self) -> DataFrame:
-        return rca.decompose(self.indices, self.checked, self.categories).persist()
+        return self._keep(rca.decompose(self.indices, self.checked, self.categories))
 
     @cached_property
     def breakdown(self) -> DataFrame:
@@ -146,6 +156,7 @@ class Analysis:
         stored.metrics.write.mode("overwrite").parquet(f"{path}/daily_metrics")
         rca.ordered(stored.decomposition).write.mode("overwrite").parquet(f"{path}/decomposition")
         write_segments(spark, f"{path}/sessions", f"{path}/segment_breakdown", self.products)
+        stored.release()
 
     @classmethod
     def stored(cls, spark: SparkSession, path: str, products: DataFrame | None = None, settings: Settings = SHOP) -> Analysis:
