@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,31 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+
+
+def map_texts(documents: DataFrame, start: Callable[[], Callable[[str | None], tuple]], into: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns of every row with the columns ``into`` that a function makes of its whole text, one text at a time.
+
+    ``start()`` runs once for each task and returns the function. ``into``: names and types (long, int, double, string, boolean).
+    Kept columns pass through as Arrow columns, untouched: ids of any size and type stay exact beside nulls.
+    """
+    bound_batches(documents.sparkSession)
+    rows = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    kinds = [_ARROW[f.rsplit(" ", 1)[1]] for f in into.split(", ")]
+    names = [*keep, *[f.rsplit(" ", 1)[0].strip("`") for f in into.split(", ")]]
+    kept = "".join(f"`{c}` {f.dataType.simpleString()}, " for c, f in zip(keep, rows.schema.fields, strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            *others, texts = batch.columns
+            made = [make(x.as_py()) for x in texts]
+            yield pa.RecordBatch.from_arrays([*others, *[pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]], names)
+
+    return rows.mapInArrow(run, kept + into)
+
+
 def free_name(name: str, *taken: list[str]) -> str:
     """``name``, with underscores added until no column of ``taken`` has it (in any case of letters)."""
     used = {c.lower() for columns in taken for c in columns}

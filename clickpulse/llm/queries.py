@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, langid, minhash, mixing, pii, quality, secret_scan, url_rules
+from . import bpe, chat, embed_dedup, langid, minhash, mixing, pii, quality, runs, secret_scan, spelling, url_rules
 from .common import cut
 from .spans import count_kind, listed
 
@@ -109,6 +109,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text, of which every tenth is made to repeat; null texts have none."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digest_runs(documents.withColumn("text", runs.plant_runs(F.col("text"), F.col("doc_id"))))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all whole texts, of which a known share lacks a letter."""
+    words = spelling.letter_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "word")
+    return spelling.group_variants(spelling.count_words(words.withColumn("word", spelling.plant_misspellings(F.col("word"), F.col("doc_id")))))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_chat": op2_chat,
@@ -120,4 +132,6 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_embeddings": op10_embeddings,
+    "op12_runs": op12_runs,
+    "op13_spelling": op13_spelling,
 }
