@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import contextlib
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, map_texts
 
 #: Entries after which a worker's memory of pieces becomes the older generation and a new one starts. Pieces that are tokens
 #: themselves are known from the vocabulary and take no part in it. What is remembered changes the speed only.
@@ -182,21 +182,17 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, text: str =
 def digest_tokens(documents: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encodes and decodes every whole text: ``keep`` columns, ``n_tokens, ids_sha256, decoded_sha256``.
 
-    Works on one text at a time, so the ids of a batch are never held together.
+    Works on one text at a time, so the ids of a batch are never held together. Kept columns pass through untouched.
     """
-    bound_batches(documents.sparkSession)
-    from_text = documents.select(*keep, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in from_text.schema.fields[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[str | None], tuple]:
         coder = _coder(path, pattern)
-        for batch in batches:
-            rows = []
-            for x in batch["_text"]:
-                ids = coder.encode(x or "")
-                listed = " ".join(map(coder.names.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), made], axis=1)
-
-    return from_text.mapInPandas(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def digest(value: str | None) -> tuple[int, str, str]:
+            ids = coder.encode(value or "")
+            listed = " ".join(map(coder.names.__getitem__, ids))
+            return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+
+        return digest
+
+    return map_texts(documents, start, "n_tokens long, ids_sha256 string, decoded_sha256 string", text, keep)

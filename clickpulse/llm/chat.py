@@ -5,7 +5,7 @@ ordered pass per conversation runs a finite-state machine over the roles and emi
 with a loss flag. Control strings inside texts and roles are escaped, so that the formatted text can be
 parsed back without loss.
 
-The pass is a ``mapInPandas`` over rows that Spark has dealt by conversation and sorted by turn. It keeps
+The pass is a ``mapInArrow`` over rows that Spark has dealt by conversation and sorted by turn. It keeps
 the state of one conversation only, so a conversation of any length needs bounded memory.
 """
 
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import ARROW, bound_batches
 
 ESCAPE = "\\"
 
@@ -76,6 +76,17 @@ class ChatTemplate:
 SEGMENTS = "conv_id long, turn_no long, role string, segment_no int, segment string, loss boolean, turn_ok boolean, last_state string"
 
 
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """A batch's rows as Python values, one at a time; ids stay whole numbers beside nulls."""
+    for values in zip(*(batch.column(c) for c in columns), strict=True):
+        yield tuple(v.as_py() for v in values)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
 def format_chat(conversations: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
     """Formats every conversation; one row per segment.
 
@@ -92,12 +103,11 @@ def format_chat(conversations: DataFrame, template: ChatTemplate | None = None)
     template = template or ChatTemplate()
     template.controls  # noqa: B018  checks the template on the driver
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, turn_no = object(), "", 0
         for batch in batches:
             out = []
-            for conv_id, role, text in zip(batch["conv_id"].astype(object), batch["role"], batch["text"], strict=True):
-                conv_id = None if pd.isna(conv_id) else int(conv_id)
+            for conv_id, role, text in _rows(batch, "conv_id", "role", "text"):
                 if conv_id != conv:
                     conv, state, turn_no = conv_id, "", 0
                 ok = role in template.allowed.get(state, ())
@@ -109,14 +119,13 @@ def format_chat(conversations: DataFrame, template: ChatTemplate | None = None)
                 )
                 out += [(conv_id, turn_no, role, i, piece, loss, ok, state) for i, (piece, loss) in enumerate(pieces)]
                 turn_no += 1
-            made = pd.DataFrame(out, columns=["conv_id", "turn_no", "role", "segment_no", "segment", "loss", "turn_ok", "last_state"])
-            yield made.astype({"conv_id": "Int64"})
+            yield _batch(out, SEGMENTS)
 
     bound_batches(conversations.sparkSession)
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, SEGMENTS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
 
 
 DIGESTS = (
@@ -135,7 +144,7 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
     template = template or ChatTemplate()
     turn = re.compile(f"{re.escape(template.open)}(.*?){re.escape(template.says)}(.*?){re.escape(template.close)}", re.DOTALL)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = object(), None
         done = []
 
@@ -147,8 +156,7 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
 
         for batch in batches:
             done = []
-            for conv_id, piece, loss, ok in zip(batch["conv_id"].astype(object), batch["segment"], batch["loss"], batch["turn_ok"], strict=True):
-                conv_id = None if pd.isna(conv_id) else int(conv_id)
+            for conv_id, piece, loss, ok in _rows(batch, "conv_id", "segment", "loss", "turn_ok"):
                 if conv_id != conv:
                     finish()
                     conv = conv_id
@@ -165,9 +173,9 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
                     state["role"], state["rest"] = role, ""
-            yield pd.DataFrame(done, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]).astype({"conv_id": "Int64"})
+            yield _batch(done, DIGESTS)
         done = []
         finish()
-        yield pd.DataFrame(done, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]).astype({"conv_id": "Int64"})
+        yield _batch(done, DIGESTS)
 
-    return segments.mapInPandas(run, DIGESTS)
+    return segments.mapInArrow(run, DIGESTS)

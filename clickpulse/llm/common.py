@@ -45,19 +45,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Files per core that a table of short rows is written as at most.
+#: Files per core that a table of short rows is written as at most, or shuffle partitions per file, whichever are more files.
 FILES_PER_CORE = 4
+PARTITIONS_PER_FILE = 4
 
 
 def cut(df: DataFrame, short: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    ``short``: rows of a few numbers. Such a table is written by no more tasks than a small multiple of the cores there are,
-    each of which takes several partitions one after another, instead of as a great many tiny files.
+    ``short``: rows of a few numbers. Such a table is written by no more tasks than a small multiple of the cores there are or a
+    quarter of the session's shuffle partitions, each of which takes several partitions one after another, instead of as a great many
+    tiny files. Shuffle partitions are set for the data's size, so a plan that is built while few executors are there isn't bound to these.
     """
     spark = df.sparkSession
+    few = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE)
     path = f"{_FOLDER.get() or shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    (df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism) if short else df).write.parquet(path)
+    (df.coalesce(few) if short else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +78,8 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+#: Arrow types of the column types that Python code returns.
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
 def map_texts(documents: DataFrame, start: Callable[[], Callable[[str | None], tuple]], into: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -86,7 +90,7 @@ def map_texts(documents: DataFrame, start: Callable[[], Callable[[str | None], t
     """
     bound_batches(documents.sparkSession)
     rows = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    kinds = [_ARROW[f.rsplit(" ", 1)[1]] for f in into.split(", ")]
+    kinds = [ARROW[f.rsplit(" ", 1)[1]] for f in into.split(", ")]
     names = [*keep, *[f.rsplit(" ", 1)[0].strip("`") for f in into.split(", ")]]
     kept = "".join(f"`{c}` {f.dataType.simpleString()}, " for c, f in zip(keep, rows.schema.fields, strict=False))
 

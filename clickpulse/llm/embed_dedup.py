@@ -25,8 +25,12 @@ from .components import connected_components
 SIMILARITY = 0.95
 #: Of pairs at exactly the similarity asked for, seen from one side; pairs seen from either side count.
 TARGET_RECALL = 0.97
-#: Vectors that codebooks and the number of cells to visit are fitted on.
-FIT_SAMPLE = 4096
+#: Vectors that codebooks and the number of cells to visit are fitted on: at least, and at most where many rows want many codewords.
+FIT_SAMPLE, FIT_MOST = 4096, 16384
+#: Rows that a cell should have, and vectors of the sample that a codeword should have.
+CELL_ROWS_WANTED, VECTORS_PER_CODEWORD = 512, 8
+#: Vectors whose distances to all codewords the driver holds at once.
+SLICE = 512
 #: Vectors of a block.
 BLOCK = 2048
 
@@ -57,11 +61,17 @@ class MultiIndex:
         return np.take_along_axis(ranked[0][:, i] * len(self.books[1]) + ranked[1][:, j], best, 1).astype(np.int32)
 
 
+def _distances(points: np.ndarray, book: np.ndarray) -> Iterator[np.ndarray]:
+    """Squared distances to all codewords, without the points' own squares, in slices of the points."""
+    for i in range(0, len(points), SLICE):
+        yield (book**2).sum(1)[None, :] - 2 * points[i : i + SLICE] @ book.T
+
+
 def _codebook(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """Lloyd's algorithm from evenly spaced points of the sample."""
     book = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = ((book**2).sum(1)[None, :] - 2 * points @ book.T).argmin(1)
+        near = np.concatenate([d.argmin(1) for d in _distances(points, book)])
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(book)
         np.add.at(total, near, points)
@@ -69,26 +79,52 @@ def _codebook(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return book
 
 
+def codewords(rows: int) -> int:
+    """Codewords of a half, so that cells have ``CELL_ROWS_WANTED`` rows on average."""
+    return max(1, round((rows / CELL_ROWS_WANTED) ** 0.5))
+
+
+def sample_size(rows: int) -> int:
+    """Vectors to fit on: as many as the codewords need, three in four of them, within both bounds."""
+    return min(FIT_MOST, max(FIT_SAMPLE, codewords(rows) * VECTORS_PER_CODEWORD * 4 // 3))
+
+
+def _ranks(books: tuple[np.ndarray, np.ndarray], sample: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """How many cells are nearer to each sample vector than the cell that its partner lies in.
+
+    A cell's distance is a sum of one of each half, so with one half sorted the nearer ones are counted by binary search.
+    """
+    half = books[0].shape[1]
+    at = [np.concatenate([d.argmin(1) for d in _distances(part, book)]) for part, book in zip((partner[:, :half], partner[:, half:]), books, strict=True)]
+    ranks, i = np.zeros(len(sample), dtype=np.int64), 0
+    for first, second in zip(_distances(sample[:, :half], books[0]), _distances(sample[:, half:], books[1]), strict=True):
+        for a, b in zip(first, second, strict=True):
+            left = a[at[0][i]] + b[at[1][i]] - a
+            left[at[0][i]] = b[at[1][i]]  # exactly
+            ranks[i] = np.searchsorted(np.sort(b), left, "left").sum()
+            i += 1
+    return ranks
+
+
 def fit_index(sample: np.ndarray, rows: int, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> MultiIndex:
     """Codebooks of a size that follows the number of ``rows`` to index, and the cells to visit.
 
     Every fourth sample vector is held out from the codebooks. For each of these a partner is drawn at the cosine
     ``similarity`` in a random direction (the hardest that must be found); ``visits`` is the rank of the partner's cell
-    that ``recall`` of them stay within.
+    that ``recall`` of them stay within. Memory is the sample, the codebooks and ``SLICE`` rows of distances, however many cells
+    there are. A sample of ``FIT_MOST`` gives 1,536 codewords; beyond 1.2 billion rows, cells grow with the rows.
     """
     held = np.arange(len(sample)) % 4 == 3
     train, sample = (sample[~held], sample[held]) if held.any() else (sample, sample)
-    k = int(np.clip(round((rows / 512) ** 0.5), 1, max(1, len(train) // 8)))
+    k = min(codewords(rows), max(1, len(train) // VECTORS_PER_CODEWORD))
     half = (sample.shape[1] + 1) // 2
     books = (_codebook(train[:, :half], k), _codebook(train[:, half:], k))
-    index = MultiIndex(books, 1)
     rng = np.random.default_rng(20_011)
     away = rng.standard_normal(sample.shape)
     away -= (away * sample).sum(1, keepdims=True) * sample
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
     partner = similarity * sample + (1 - similarity**2) ** 0.5 * away
-    ranks = index.order(sample, k * k) == index.order(partner, 1)
-    visits = int(np.quantile(ranks.argmax(1), recall, method="higher")) + 1
+    visits = int(np.quantile(_ranks(books, sample, partner), recall, method="higher")) + 1
     return MultiIndex(books, visits)
 
 
@@ -144,7 +180,7 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
     distinct = cut(keyed.where("key is not null").groupBy("key").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies")))
     total = distinct.count()
     if total > 1:
-        sample = distinct.orderBy("key").limit(FIT_SAMPLE).select("vector").toPandas()["vector"]  # keys are hashes: any rows
+        sample = distinct.orderBy("key").limit(sample_size(total)).select("vector").toPandas()["vector"]  # keys are hashes: any rows
         index = spark.sparkContext.broadcast(fit_index(_unit(sample), total, similarity, recall))
         found = cut(_search(distinct, index, similarity))
         counts = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
@@ -159,7 +195,7 @@ def near_vectors(embeddings: DataFrame, similarity: float = SIMILARITY, recall:
         )
     else:
         groups = distinct.select("key", (F.col("copies") - 1).alias("n_links"), F.col("key").alias("root"))
-    named = cut(keyed.select("id", "key").join(groups, "key", "left").select("id", "n_links", "root"), short=True)
+    named = cut(keyed.select("id", "key").join(groups, "key", "left").select("id", "n_links", "root"))
     least = cut(named.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), short=True)
     judged = named.join(least, "root", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return judged.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -99,26 +99,60 @@ def find_pii(documents: DataFrame, kinds: tuple[PiiKind, ...] = KINDS, least_sco
     return documents.withColumn(into, F.concat(*found))
 
 
+#: Code points of the blocks that a text is cut into to be put together again, and spans that are merged at once.
+BLOCK = 512
+CHUNK = 256
+_SPAN = "struct<start:int,end:int,kind:string>"
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans as disjoint ones, each named after its first part; chunked, so that growing arrays stay short."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def one(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        apart = F.struct(s.alias("last"), F.when(last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"))
+        return F.when(s["start"] < last["end"], F.struct(joined.alias("last"), acc["done"].alias("done"))).otherwise(apart)
+
+    def chunk(acc: Column, first: Column, all_of: Column) -> Column:
+        step = F.aggregate(F.slice(all_of, first, CHUNK), F.struct(acc["last"].alias("last"), none.alias("done")), one)
+        # bound to a variable, as an expression used twice in a lambda would run twice
+        return F.get(F.transform(F.array(step), lambda s: F.struct(s["last"].alias("last"), F.array_append(acc["chunks"], s["done"]).alias("chunks"))), F.lit(0))
+
+    def all_chunks(all_of: Column) -> Column:
+        start = F.struct(F.lit(None).cast(_SPAN).alias("last"), F.array().cast(f"array<array<{_SPAN}>>").alias("chunks"))
+        done = F.aggregate(F.sequence(F.lit(1), F.size(all_of), F.lit(CHUNK)), start, lambda acc, first: chunk(acc, first, all_of))
+        return F.get(F.transform(F.array(done), lambda d: F.array_append(F.flatten(d["chunks"]), d["last"])), F.lit(0))
+
+    return F.get(F.transform(F.array(spans), all_chunks), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in blocks, without a walk from the text's head."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda at: F.coalesce(F.get(blocks, at), F.lit(""))
+    inner = F.substring(block(i), start % BLOCK + 1, end - start)
+    across = F.concat(F.substring(block(i), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.left(block(j), end % BLOCK))
+    return F.when(i == j, inner).otherwise(across)
+
+
 def redact(documents: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """Replaces each span by its kind in angle brackets; overlapping spans become one, named after the first.
 
-    A null text stays null; texts without spans stay as they are.
+    A null text stays null; texts without spans stay as they are. Time follows the text's length and its spans: both are
+    gone through once, the text in blocks.
     """
     ordered = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, s))
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    merged = F.aggregate(ordered, empty, merge)
-    width = F.length(text)
+    def put_together(x: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(x["spans"], i - 1)["end"]).otherwise(0)
+            return F.concat(_between(x["blocks"], before, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
 
-    def piece(m: Column) -> Column:
-        parts = F.transform(m, lambda s, i: F.concat(F.substring(F.col(text), F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        tail = F.substring(F.col(text), F.get(m, F.size(m) - 1)["end"] + 1, width)
-        return F.concat(F.array_join(parts, ""), tail)
+        last = F.get(x["spans"], F.size(x["spans"]) - 1)["end"]
+        return F.concat(F.array_join(F.transform(x["spans"], piece), ""), _between(x["blocks"], last, x["size"]))
 
-    clean = F.element_at(F.transform(F.array(merged), piece), 1)
+    clean = F.get(F.transform(F.array(F.struct(blocks.alias("blocks"), _merged(ordered).alias("spans"), F.char_length(text).alias("size"))), put_together), F.lit(0))
     return documents.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text)))

@@ -8,14 +8,12 @@ probability of being good then replaces a filter that demands that all rules pas
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, text_chunks
+from .common import cut, map_texts, text_chunks
 
 #: Characters of a text whose words are split at once.
 CHUNK = 1 << 20
@@ -72,18 +70,8 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 
 def measure(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Measures every whole text; one row per row of ``documents``, with its columns ``keep``."""
-    bound_batches(documents.sparkSession)
-    schema = documents.select(*keep, F.lit("").alias("_text")).schema
-    names = [f.split()[0] for f in MEASURES.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = pd.DataFrame([measure_text(x) for x in batch["_text"]], columns=names)
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), made], axis=1)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in keep)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInPandas(run, f"{kept}, {MEASURES}")
+    """Measures every whole text; one row per row of ``documents``, with its columns ``keep``, which pass through untouched."""
+    return map_texts(documents, lambda: measure_text, MEASURES, text, keep)
 
 
 def _vote(bad: Column, good: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, langid, minhash, mixing, pii, quality, runs, secret_scan, spelling, url_rules
+from . import bpe, chat, embed_dedup, langid, minhash, mixing, pii, quality, runs, secret_scan, spelling, toxicity, url_rules
 from .common import cut
 from .spans import count_kind, listed
 
@@ -109,6 +109,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _toxic_held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text by what labels of the rows that aren't held out teach."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(documents, labels.where(~_toxic_held_out()))
+    scored = toxicity.score_toxicity(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", _toxic_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every whole text, of which every tenth is made to repeat; null texts have none."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -132,6 +144,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_embeddings": op10_embeddings,
+    "op11_toxicity": op11_toxicity,
     "op12_runs": op12_runs,
     "op13_spelling": op13_spelling,
 }
