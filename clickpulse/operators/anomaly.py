@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MAD_TO_SIGMA, ratio
+from ..sources.folders import write_file
 
 K = 3.5
 DOW_THRESHOLD = 0.70
@@ -56,18 +57,63 @@ def load_detector(spark: SparkSession, path: str) -> DataFrame:
     return state.withColumn("version", F.when(F.col("version") == STATE_VERSION, F.col("version")).otherwise(wrong.cast("int")))
 
 
-def check_days(daily: DataFrame, state: DataFrame) -> DataFrame:
+#: The names and the version of the JSON form, in its order.
+JSON_VERSION = "v1"
+JSON_STATE = (
+    "version string, directions map<string,int>, k double, dow_means map<string,array<double>>, use_dow map<string,boolean>, "
+    "thresholds map<string,struct<lo:double,hi:double,median:double,mad:double,sigma:double,n:bigint>>, global_centers map<string,double>"
+)
+
+
+def detector_json(state: DataFrame) -> DataFrame:
+    """``json``: one row with the whole state (features are few), which other programs read; NaN and missing numbers are null."""
+    number = lambda c: F.when(~F.isnan(c), c)
+    by_feature = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", value.alias("value")))))
+    means = F.array(*[number(F.try_element_at("dow_means", F.lit(d))) for d in range(7)])
+    limits = F.struct(*[number(F.col(c)).alias(c) for c in ("lo", "hi", "median", "mad", "sigma")], "n")
+    whole = state.agg(
+        F.concat(F.lit("v"), F.coalesce(F.max("version"), F.lit(STATE_VERSION)).cast("string")).alias("version"),
+        by_feature(F.col("direction")).alias("directions"),
+        F.max("k").alias("k"),
+        by_feature(means).alias("dow_means"),
+        by_feature(F.col("use_dow")).alias("use_dow"),
+        by_feature(limits).alias("thresholds"),
+        by_feature(number(F.col("center"))).alias("global_centers"),
+    )
+    return whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def save_detector_json(state: DataFrame, path: str) -> None:
+    """One JSON file; fails if it exists."""
+    write_file(state.sparkSession, path, detector_json(state).first()["json"])
+
+
+def load_detector_json(spark: SparkSession, path: str) -> DataFrame:
+    """The state of a JSON file, in the columns of ``STATE``; fails on another version. Null numbers load as null."""
+    read = spark.read.schema(JSON_STATE).json(path, multiLine=True)
+    wrong = F.raise_error(F.concat(F.lit("detector state of version "), F.coalesce("version", F.lit("null"))))
+    version = F.when(F.col("version") == JSON_VERSION, F.lit(STATE_VERSION)).otherwise(wrong.cast("int"))
+    rows = read.select(version.alias("version"), "directions", "k", "dow_means", "use_dow", "global_centers", F.explode("thresholds").alias("feature", "t"))
+    of = lambda column: F.try_element_at(column, F.col("feature"))
+    days = F.filter(F.transform(of("dow_means"), lambda m, i: F.struct(i.alias("dow"), m.alias("mean"))), lambda d: d["mean"].isNotNull())
+    return rows.select(
+        "version", "feature", of("directions").alias("direction"), "k", of("use_dow").alias("use_dow"), of("global_centers").alias("center"),
+        F.map_from_entries(days).alias("dow_means"), "t.median", "t.mad", "t.sigma", "t.lo", "t.hi", "t.n",
+    )
+
+
+def check_days(daily: DataFrame, state: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each day's features against the detector: residual, alerts and corridor in the feature's own scale.
 
     ``is_anomaly``: above the corridor where smaller is better, below it where larger is; ``is_two_sided``: either.
-    Null values never alert. Days of the baseline are checked like others.
+    Null values never alert. Days of the baseline are checked like others. ``keep``: further columns of ``daily`` to carry along.
     """
     rows = daily.join(F.broadcast(state.drop("version")), "feature")  # a row per feature
     center: Column = F.when(F.col("use_dow"), F.element_at("dow_means", F.weekday("date"))).otherwise(F.col("center"))
     rows = rows.withColumn("_center", center).withColumn("residual", F.col("value") - F.col("_center"))
     above, below = F.coalesce(F.col("residual") > F.col("hi"), F.lit(False)), F.coalesce(F.col("residual") < F.col("lo"), F.lit(False))
     return rows.select(
-        "date", "feature", "direction", "value",
+        *keep, "date", "feature", "direction", "value",
         F.col("use_dow").alias("dow_used"), "residual", "sigma",
         ratio(F.col("residual"), F.when(F.col("sigma") > 0, F.col("sigma"))).alias("residual_sigmas"),
         F.when(F.col("direction") == -1, above).otherwise(below).alias("is_anomaly"),

@@ -33,22 +33,52 @@ def points(value: Column, steps: tuple[int, ...]) -> Column:
     return reduce(lambda a, b: a + b, [(value > bound).cast("int") for bound in steps])
 
 
+#: A query that at least one in this many sessions start with is popular. There are this many popular queries at most.
+POPULAR = 1000
+#: Keys over which sessions without a query or with a popular one are dealt.
+SALTS = 4096
+
+
+def catalog_matches(products: DataFrame) -> DataFrame:
+    """``query_clean, is_in_product_base, is_article``: one row for each text that the catalogue has as a name or as an id."""
+    texts = catalog_texts(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("a"), F.lit(False).alias("b"))
+    articles = catalog_articles(products).select(F.col("text").alias("query_clean"), F.lit(False).alias("a"), F.lit(True).alias("b"))
+    return texts.unionByName(articles).groupBy("query_clean").agg(F.bool_or("a").alias("is_in_product_base"), F.bool_or("b").alias("is_article"))
+
+
+def popular_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
+    """``query_clean, popular`` (its matches): queries that many sessions share, ``POPULAR`` rows at most, whatever the data.
+
+    Counted by a narrow aggregate; a query that k in ``POPULAR`` sessions share is found for every k of one or more.
+    """
+    counts = queries.groupBy("query_clean").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("query_clean").isNotNull() & (F.col("n") * POPULAR >= queries.agg(F.count(F.lit(1))).scalar())).select("query_clean")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_in_product_base", "is_article")]
+    return often.join(matches, "query_clean", "left").select("query_clean", F.struct(*flags).alias("popular"))
+
+
 def enrich_sessions(sessions: DataFrame, products: DataFrame) -> DataFrame:
     """Adds the columns ``ENRICHED``.
 
     The score of difficulty runs from 0 to 5: points for many queries and for many words, one each for a query that the
     catalogue lacks, for no click and for no cart; two less for an article's number.
+
+    Popular queries are matched once each and broadcast, ``POPULAR`` rows at most. The other sessions meet the catalogue's texts in
+    one join, in which those without a query and those with a popular one are dealt over keys that no text has: no key holds more
+    than one in ``POPULAR`` of them. Sessions are read twice, so they should be stored or kept.
     """
-    texts = catalog_texts(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("is_in_product_base"))
-    articles = catalog_articles(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("is_article"))
-    rows = (
-        sessions.withColumn("query_clean", normalize_query(F.col("first_query")))
-        .join(texts, "query_clean", "left")
-        .join(articles, "query_clean", "left")
-        .withColumn("is_in_product_base", F.coalesce("is_in_product_base", F.lit(False)))
-        .withColumn("is_article", F.coalesce("is_article", F.lit(False)))
-        .withColumn("query_len_words", word_count(F.col("query_clean")))
-    )
+    rows = sessions.withColumn("query_clean", normalize_query(F.col("first_query")))
+    matches = catalog_matches(products)
+    popular = popular_matches(rows.select("query_clean"), matches)
+    dealt = F.col("query_clean").isNull() | F.col("popular").isNotNull()
+    salt = F.when(dealt, 1 + F.pmod(F.xxhash64("user_id", "session_idx"), F.lit(SALTS))).otherwise(0)
+    # one key of both: of two keys, Spark would see that one is always 0 on the catalogue's side, and shuffle by the other
+    key = lambda text, n: F.struct(text.alias("text"), n.cast("long").alias("salt"))
+    rows = rows.join(F.broadcast(popular), "query_clean", "left").withColumn("_key", key(F.when(~dealt, F.col("query_clean")).otherwise(""), salt))
+    matches = matches.select(key(F.col("query_clean"), F.lit(0)).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("is_in_product_base", "is_article")])
+    rows = rows.join(matches, "_key", "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(f"popular.{c}"), F.col(f"_{c}"), F.lit(False)) for c in ("is_in_product_base", "is_article")})
+    rows = rows.drop("_key", "popular", "_is_in_product_base", "_is_article").withColumn("query_len_words", word_count(F.col("query_clean")))
     misses = [~F.col("is_in_product_base"), F.col("n_click") == 0, ~F.col("reached_cart")]
     score = points(F.col("n_unique_queries"), QUERY_STEPS) + points(F.col("query_len_words"), WORD_STEPS) - 2 * F.col("is_article").cast("int")
     score = reduce(lambda a, b: a + b, [m.cast("int") for m in misses], score)
@@ -64,6 +94,16 @@ def enriched_contract(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count(F.lit(1)).alias("n_rows"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.count_if(score.isNull() | ~score.between(0, 5)).alias("n_bad"))
 
 
+def required(enriched: DataFrame) -> DataFrame:
+    """The same rows; the job that reads them fails at a score that is null or out of range. Raises on missing columns at once."""
+    missing = [c for c in ENRICHED if c not in enriched.columns]
+    if missing:
+        raise ValueError(f"enriched sessions lack {missing}")
+    score = F.col("query_stratification_score")
+    wrong = F.raise_error(F.concat(F.lit("score of difficulty out of 0 to 5: "), F.coalesce(score.cast("string"), F.lit("null"))))
+    return enriched.withColumn("query_stratification_score", F.when(score.between(0, 5), score).otherwise(wrong.cast("tinyint")))
+
+
 def verify_against(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = ENRICHED, keys: tuple[str, ...] = ("user_id", "session_idx")) -> DataFrame:
     """``column, n_different``: rows of either table whose values differ, aligned by key; a missing row differs in all."""
     a = left.select(*keys, F.struct(*columns).alias("a"))

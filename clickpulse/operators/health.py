@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,21 @@ BASELINE_DAYS = 30
 TO_CART = ("mean_searches_to_cart", "mean_unique_queries_to_cart", "mean_time_to_cart_s")
 
 
+def warn_absent(summary: DataFrame, features: tuple[str, ...]) -> list[str]:
+    """Features that the day summary lacks; a warning names them, as a misspelt one would count for nothing unnoticed."""
+    absent = [f for f in features if f not in summary.columns]
+    if absent:
+        warnings.warn(f"the day summary lacks features, which are left out: {absent}", stacklevel=3)
+    return absent
+
+
 def feature_rows(summary: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """``date, category, feature, above, below, n_sessions``: the day summary unpivoted into weighted parts.
 
     A feature of any set of rows is ``sum(above) / sum(below)``: values weighted by sessions where they aren't null.
-    Conversion is carts over sessions. Features that the summary lacks are left out.
+    Conversion is carts over sessions. Features that the summary lacks are left out, with a warning that names them.
     """
+    warn_absent(summary, features)
     present = [f for f in features if f in summary.columns]
     rows = summary.select("date", "category", "n_sessions", "is_cart", *[no_nan(F.col(f)).alias(f) for f in present]).unpivot(["date", "category", "n_sessions", "is_cart"], present, "feature", "value")
     conversion = F.col("feature") == "session_conversion_rate"

@@ -49,20 +49,39 @@ def segment_rows(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS
     return rows.select("s.segment", "s.value", "date", "reached_cart", "n_unique_queries", "n_view", "duration_s")
 
 
-def segment_breakdown(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
-    """Per segment, value and day, and over the whole period (``date`` is ``ALL``): counts, rate, lift and medians.
+MEASURES = ("n_unique_queries", "n_view", "duration_s")
+
+
+def segment_counts(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
+    """``segment, value, date, measure, x, n, n_success``: how many sessions have which number, and how many of these succeed.
 
-    One pass: sessions are unpivoted and grouped by both grains with grouping sets. Every session has one value per
-    segment, so a day's total is a window sum over the segment's rows. Spark's exact median counts distinct values, in map-side
-    parts too, so a group's state follows the values of a count or of seconds, not the sessions.
+    Counts of several days or runs add up, so a stored table of them gives every later breakdown without the sessions. Its rows
+    follow the distinct numbers of a day's segment value (counts, whole seconds), not the sessions.
     """
     rows = segment_rows(sessions, segments)
-    grains = rows.groupingSets([["segment", "value", "date"], ["segment", "value"]], "segment", "value", "date").agg(
-        F.count(F.lit(1)).alias("n_sessions"),
-        F.count_if("reached_cart").alias("n_success"),
-        F.median("n_unique_queries").alias("median_n_queries"),
-        F.median("n_view").alias("median_n_views"),
-        F.median("duration_s").alias("median_time_s"),
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("x")) for m in MEASURES])
+    each = rows.select("segment", "value", "date", "reached_cart", F.explode(measures).alias("m")).select("segment", "value", "date", "reached_cart", "m.*")
+    return each.groupBy("segment", "value", "date", "measure", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if("reached_cart").alias("n_success"))
+
+
+def breakdown_of_counts(counts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The breakdown of what was counted (:func:`segment_counts`; rows may repeat), of the days from ``start`` to ``end`` only if given.
+
+    Days and the whole period come from one pass with grouping sets; medians are percentiles weighted by counts. Every session
+    has one value per segment, so a day's total is a window sum over the segment's rows.
+    """
+    if start:
+        counts = counts.where(F.col("date") >= start)
+    if end:
+        counts = counts.where(F.col("date") <= end)
+    once = F.col("measure") == MEASURES[0]
+    median = lambda m: F.percentile("x", F.lit(0.5), F.when((F.col("measure") == m) & F.col("x").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long")))
+    grains = counts.groupingSets([["segment", "value", "date"], ["segment", "value"]], "segment", "value", "date").agg(
+        F.sum(F.when(once, F.col("n"))).alias("n_sessions"),
+        F.sum(F.when(once, F.col("n_success"))).alias("n_success"),
+        median("n_unique_queries").alias("median_n_queries"),
+        median("n_view").alias("median_n_views"),
+        median("duration_s").alias("median_time_s"),
         F.grouping("date").alias("_all"),
     )
     grains = grains.withColumn("date", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("date")))
@@ -76,6 +95,11 @@ def segment_breakdown(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEG
     )
 
 
+def segment_breakdown(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
+    """Per segment, value and day, and over the whole period (``date`` is ``ALL``): counts, rate, lift and medians."""
+    return breakdown_of_counts(segment_counts(sessions, segments))
+
+
 def weak_spots(breakdown: DataFrame, min_volume: int = MIN_VOLUME, min_lift: float = MIN_LIFT, top_n: int = 20) -> DataFrame:
     """Values of the whole period that fall short of the overall rate, most failures first."""
     rows = breakdown.where((F.col("date") == "ALL") & (F.col("n_sessions") >= min_volume) & (F.col("lift_vs_overall") <= min_lift))

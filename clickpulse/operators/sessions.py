@@ -8,72 +8,166 @@ from pyspark.sql import functions as F
 from ..functions.numbers import ratio
 
 GAP_MIN = 35
+#: Seconds of a block: a user's events are scanned block by block, and blocks are put together by one small row each.
+BLOCK_S = 3600
 #: Keys over which events without an item are dealt in the join with the catalogue.
 SALTS = 4096
+_ACTIONS = {"n_search": "search", "n_view": "view", "n_click": "click", "n_cart": "to_cart", "n_fav": "favorite"}
+_SUMS = ("n_events", *_ACTIONS)
+#: Columns of a piece of a session, all of which can be merged.
+PIECE = ("ts_start", "ts_end", *_SUMS, "ts_first_cart", "first_query", "first_widget", "queries", "categories")
 
 
-def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None) -> DataFrame:
+def _owner(events: DataFrame, chunk_days: int | None) -> tuple[list[str], DataFrame]:
+    if not chunk_days:
+        return ["user_id"], events
+    first = events.agg(F.min("date")).scalar()
+    return ["user_id", "chunk_start"], events.withColumn("chunk_start", F.date_sub("date", F.pmod(F.datediff("date", first), F.lit(chunk_days))))
+
+
+def _seconds(column: str | Column) -> Column:
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, column)
+
+
+def _begins(gap: Column, gap_min: int) -> Column:
+    return F.when(gap.isNull() | (gap > gap_min * 60), 1).otherwise(0)
+
+
+def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int) -> DataFrame:
+    """Adds ``_owner, _block``, ``gap_s`` (null for a block's first event) and ``_local``: sessions begun in the block before the event or at it.
+
+    A block's first event counts as none: whether it begins a session is decided at the border.
+    """
+    rows = events.withColumns({"_owner": F.struct(*keys), "_block": F.floor(_seconds(F.col("timestamp")) / block_s)})
+    in_block = Window.partitionBy("_owner", "_block").orderBy("timestamp", "event_id")
+    gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp"))
+    begins = F.when(F.col("gap_s").isNull(), 0).otherwise(_begins(F.col("gap_s"), gap_min))
+    return rows.withColumn("gap_s", gap).withColumn("_local", F.sum(begins).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
     """Adds ``gap_s`` (whole seconds since the user's event before) and ``session_idx`` (from 1 for each user).
 
     A session starts at a user's first event and after a gap of more than ``gap_min`` minutes; tied timestamps
     go by ``event_id``. With ``chunk_days``, days are grouped into chunks from the first day on, sessions end with
-    their chunk and numbering restarts in each (``chunk_start`` then belongs to the key).
+    their chunk and numbering restarts in each (``chunk_start`` then belongs to the key). Events with a null user are one user's.
 
-    One window over the user's events gives both columns, and grouping by user and session needs no other shuffle.
-    A window can't be split by user, so rows are narrow before it; the widest user must fit a task's disk, not memory.
+    A segmented scan: events are numbered within blocks of ``block_s`` seconds of a user, so a task holds a user's events of
+    one block, however many the user has. One row per block then gives the gap over each border and the number of sessions before it;
+    it comes from a second, narrow pass over the log (user, time and id) and meets the events in their blocks.
     """
-    keys = ["user_id"]
-    if chunk_days:
-        first = events.agg(F.min("date")).scalar()
-        events = events.withColumn("chunk_start", F.date_sub("date", F.pmod(F.datediff("date", first), F.lit(chunk_days))))
-        keys.append("chunk_start")
-    by_user = Window.partitionBy(*keys).orderBy("timestamp", "event_id")
-    gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(by_user), F.col("timestamp"))
-    starts = F.when(F.col("gap_s").isNull() | (F.col("gap_s") > gap_min * 60), 1).otherwise(0)
-    return events.withColumn("gap_s", gap).withColumn("session_idx", F.sum(starts).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None) -> DataFrame:
-    """One row for each session with a search: times, counts, first query and widget, categories, time to cart.
+    keys, events = _owner(events, chunk_days)
+    narrow = _scan_blocks(events.select(*keys, "timestamp", "event_id"), keys, gap_min, block_s)
+    blocks = narrow.groupBy("_owner", "_block").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_local").alias("_inner"))
+    by_owner = Window.partitionBy("_owner").orderBy("_block")
+    border = F.timestamp_diff("SECOND", F.lag("_last").over(by_owner), F.col("_first"))
+    blocks = blocks.withColumn("_border", border).withColumn("_starts", _begins(F.col("_border"), gap_min))
+    before = F.sum(F.col("_starts") + F.col("_inner")).over(by_owner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
+    blocks = blocks.select("_owner", "_block", "_border", before.alias("_before"))
+    rows = _scan_blocks(events, keys, gap_min, block_s).join(blocks, ["_owner", "_block"])
+    rows = rows.withColumns({"gap_s": F.coalesce("gap_s", "_border"), "session_idx": F.col("_before") + F.col("_local")})
+    return rows.drop("_owner", "_block", "_local", "_border", "_before")
+
+
+def _merged_counts(categories: Column) -> Column:
+    """Counts by category as one struct for each category; ``categories``: such structs, categories repeated."""
+    names = F.array_distinct(F.transform(categories, lambda c: c["category"]))
+    total = lambda x: F.aggregate(F.filter(categories, lambda c: c["category"] == x), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    return F.transform(names, lambda x: F.struct(x.alias("category"), total(x).alias("n")))
+
+
+def _merge(rows: DataFrame, *keys: str) -> DataFrame:
+    """Pieces with equal keys as one piece."""
+    merged = rows.groupBy(*keys).agg(
+        F.min("ts_start").alias("ts_start"),
+        F.max("ts_end").alias("ts_end"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.min("ts_first_cart").alias("ts_first_cart"),
+        F.min("first_query").alias("first_query"),
+        F.min("first_widget").alias("first_widget"),
+        F.array_distinct(F.flatten(F.collect_list("queries"))).alias("queries"),
+        F.flatten(F.collect_list("categories")).alias("categories"),
+    )
+    return merged.withColumn("categories", _merged_counts(F.col("categories")))
 
-    ``first_query`` and ``first_widget`` are each the first that isn't null among searches. The modal category is the
-    smallest of equally frequent ones. Repeated ``item_id`` in ``products`` multiply events, as a left join does.
 
-    The join comes first and is left to Spark, which broadcasts the catalogue while its size allows; beyond that, events
-    without an item (searches: a large part) are dealt over ``SALTS`` keys that no product has. One shuffle by user then
-    serves numbering and grouping.
+def session_pieces(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
+    """``_owner, _block, _local`` and the columns ``PIECE``: what each session holds of each block of its user.
+
+    The join with the catalogue comes first and is left to Spark, which broadcasts the catalogue while its size allows; beyond that,
+    events without an item (searches: a large part) are dealt over ``SALTS`` keys that no product has. One shuffle by user and block
+    then serves the scan and both groupings. Repeated ``item_id`` in ``products`` multiply events, as a left join does.
     """
-    keys = ["user_id", *(["chunk_start"] if chunk_days else []), "session_idx"]
+    keys, events = _owner(events, chunk_days)
     salt = F.when(F.col("item_id").isNull(), 1 + F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).otherwise(0)
-    named = products.where("item_id is not null").select(F.col("item_id").alias("_item"), F.lit(0).cast("long").alias("_salt"), "category_name")
-    rows = events.withColumns({"_item": F.coalesce("item_id", F.lit(0)), "_salt": salt.cast("long")}).join(named, ["_item", "_salt"], "left")
-    rows = number_sessions(rows, gap_min, chunk_days)
+    # one key of both: of two keys, Spark would see that one is always 0 on the catalogue's side, and shuffle by the other
+    key = lambda item, n: F.struct(item.alias("item"), n.cast("long").alias("salt"))
+    named = products.where("item_id is not null").select(key(F.col("item_id"), F.lit(0)).alias("_key"), "category_name")
+    rows = events.withColumn("_key", key(F.coalesce("item_id", F.lit(0)), salt)).join(named, "_key", "left")
+    rows = _scan_blocks(rows, keys, gap_min, block_s)
     action = F.col("action_type")
     search = action == "search"
-    order = F.struct("timestamp", "event_id")
 
     def first(column: str) -> Column:
-        return F.min_by(column, F.when(search & F.col(column).isNotNull(), order))
+        return F.min(F.when(search & F.col(column).isNotNull(), F.struct("timestamp", "event_id", F.col(column).alias("value"))))
 
-    counts = {"n_search": "search", "n_view": "view", "n_click": "click", "n_cart": "to_cart", "n_fav": "favorite"}
-    sessions = rows.groupBy(*keys).agg(
+    of_category = rows.groupBy("_owner", "_block", "_local", "category_name").agg(
         F.min("timestamp").alias("ts_start"),
         F.max("timestamp").alias("ts_end"),
         F.count(F.lit(1)).alias("n_events"),
-        *[F.count_if(action == kind).alias(name) for name, kind in counts.items()],
-        F.size(F.collect_set(F.when(search, F.col("search_query")))).cast("long").alias("n_unique_queries"),
+        *[F.count_if(action == kind).alias(name) for name, kind in _ACTIONS.items()],
+        F.min(F.when(action == "to_cart", F.col("timestamp"))).alias("ts_first_cart"),
         first("search_query").alias("first_query"),
         first("widget_name").alias("first_widget"),
-        F.size(F.collect_set("category_name")).cast("long").alias("n_unique_categories"),
-        F.mode("category_name", True).alias("top_category_in_session"),
-        F.min(F.when(action == "to_cart", F.col("timestamp"))).alias("ts_first_cart"),
-    )
-    return (
-        sessions.where("n_search > 0")
-        .withColumn("duration_s", F.timestamp_diff("SECOND", "ts_start", "ts_end"))
-        .withColumn("reached_cart", F.col("n_cart") > 0)
-        .withColumn("time_to_cart_s", F.timestamp_diff("SECOND", "ts_start", "ts_first_cart"))
+        F.collect_set(F.when(search, F.col("search_query"))).alias("queries"),
     )
+    counted = F.struct(F.col("category_name").alias("category"), F.col("n_events").alias("n"))
+    return _merge(of_category.withColumn("categories", F.when(F.col("category_name").isNotNull(), F.array(counted)).otherwise(F.array().cast("array<struct<category:string,n:bigint>>"))), "_owner", "_block", "_local")
+
+
+def stitch(pieces: DataFrame, gap_min: int = GAP_MIN) -> DataFrame:
+    """Sessions of pieces: one row per session, ``_owner, session_idx`` and the merged columns ``PIECE``.
+
+    A piece goes on with the user's session before if the gap between them allows it. A piece with a number in ``_number`` (a
+    column that may be missing) comes before the user's others and has that number. A user has a few rows per block here, whatever
+    its number of events. Sessions without a search are among them; a session's distinct queries are held by one aggregate.
+    """
+    by_owner = Window.partitionBy("_owner").orderBy("_block", "_local")
+    gap = F.timestamp_diff("SECOND", F.lag("ts_end").over(by_owner), F.col("ts_start"))
+    begins = _begins(gap, gap_min)
+    if "_number" in pieces.columns:
+        begins = F.coalesce("_number", begins)
+    numbered = pieces.withColumn("_begins", begins).withColumn("session_idx", F.sum("_begins").over(by_owner.rowsBetween(Window.unboundedPreceding, 0)))
+    return _merge(numbered, "_owner", "session_idx")
+
+
+def finished(sessions: DataFrame) -> DataFrame:
+    """Session columns of what :func:`stitch` gives; sessions without a search go."""
+    top = F.array_min(F.transform("categories", lambda c: F.struct((-c["n"]).alias("minus"), c["category"].alias("category"))))["category"]
+    return sessions.where("n_search > 0").select(
+        "_owner.*", "session_idx", "ts_start", "ts_end", *_SUMS,
+        F.size("queries").cast("long").alias("n_unique_queries"),
+        F.col("first_query.value").alias("first_query"),
+        F.col("first_widget.value").alias("first_widget"),
+        F.size("categories").cast("long").alias("n_unique_categories"),
+        top.alias("top_category_in_session"),
+        "ts_first_cart",
+        F.timestamp_diff("SECOND", "ts_start", "ts_end").alias("duration_s"),
+        (F.col("n_cart") > 0).alias("reached_cart"),
+        F.timestamp_diff("SECOND", "ts_start", "ts_first_cart").alias("time_to_cart_s"),
+    )
+
+
+def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
+    """One row for each session with a search: times, counts, first query and widget, categories, time to cart.
+
+    ``first_query`` and ``first_widget`` are each the first that isn't null among searches. The modal category is the
+    smallest of equally frequent ones.
+
+    The log is shuffled once, by user and block of time; pieces of sessions, which are small, are shuffled by user.
+    """
+    return finished(stitch(session_pieces(events, products, gap_min, chunk_days, block_s), gap_min))
 
 
 def session_violations(sessions: DataFrame) -> DataFrame:
@@ -92,11 +186,17 @@ def session_violations(sessions: DataFrame) -> DataFrame:
     return broken.unpivot([], list(rules), "rule", "n").unionByName(repeated)
 
 
-def gap_histogram(events: DataFrame) -> DataFrame:
-    """``log10_gap_bin, n``: gaps between a user's events in minutes, by 1/40 of a decade; gaps of 0 are left out."""
-    by_user = Window.partitionBy("user_id").orderBy("timestamp", "event_id")
-    gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(by_user), F.col("timestamp")) / 60.0
-    gaps = events.select(gap.alias("gap_min")).where("gap_min > 0")
+def gap_histogram(events: DataFrame, block_s: int = BLOCK_S) -> DataFrame:
+    """``log10_gap_bin, n``: gaps between a user's events in minutes, by 1/40 of a decade; gaps of 0 are left out.
+
+    Gaps within a block of time come from a window over it, gaps between a user's blocks from their ends.
+    """
+    rows = events.select(F.struct("user_id").alias("_owner"), F.floor(_seconds(F.col("timestamp")) / block_s).alias("_block"), "timestamp")
+    in_block = Window.partitionBy("_owner", "_block").orderBy("timestamp")
+    inner = rows.select(F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp")).alias("gap_s"))
+    ends = rows.groupBy("_owner", "_block").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    border = ends.select(F.timestamp_diff("SECOND", F.lag("last").over(Window.partitionBy("_owner").orderBy("_block")), F.col("first")).alias("gap_s"))
+    gaps = inner.unionByName(border).select((F.col("gap_s") / 60.0).alias("gap_min")).where("gap_min > 0")
     return gaps.groupBy((F.floor(F.log10("gap_min") * 40) / 40).alias("log10_gap_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

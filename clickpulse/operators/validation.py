@@ -6,31 +6,53 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MAD_TO_SIGMA, feature_index, ratio
 from ..plans.weights import WEIGHTS
-from .anomaly import check_days, mad_bands
+from .anomaly import check_days
 from .explore import daily_delta
 from .health import Weights, group_scores, health_of, index_rows
 
 TARGETS = ("cart_rate", "session_conversion_rate", "km_median_time_to_cart_s")
 
 
-def loo_false_positives(daily: DataFrame, ks: tuple[float, ...] = (3.0, 3.5)) -> DataFrame:
-    """``feature, k, n_days, false_rate``: how often a day falls out of the band that all other days give.
+def _without(values: Column, n: Column, rank: Column) -> Column:
+    """The median of ``n`` sorted values without the one of this rank (from 0); null for one value."""
+    other = lambda i: F.get(values, (i + (i >= rank).cast("long")).cast("int"))
+    low, high = F.floor((n - 2) / 2), F.floor((n - 1) / 2)
+    return F.when(n > 1, (other(low) + other(high)) / 2)
+
+
+def left_out_bands(daily: DataFrame) -> DataFrame:
+    """``feature, date, value, median, sigma``: for each day with a value, the median and robust sigma of all other days of its feature.
 
-    Each day meets every other of its feature, so the work is days squared for a feature: days, not events.
+    By order statistics. With one day left out, the median of n sorted values can be one of three at most; for each of these the
+    deviations are sorted once, and a day's rank among them tells which deviation is in the middle without it. So a
+    feature's days are sorted four times and never meet each other; its values are one array (a number per day).
     """
-    others = daily.select("feature", F.col("date").alias("other"), F.col("value").alias("v"))
-    pairs = daily.where("value is not null").join(others, "feature").where("other <> date and v is not null")
-    bands = mad_bands(pairs.select("feature", "date", "value", "v"), ("feature", "date", "value"), "v", 1.0)
-    out = []
-    for k in ks:
-        apart = F.abs(F.col("value") - F.col("median")) > k * F.col("sigma")
-        out.append(bands.groupBy("feature").agg(F.count(F.lit(1)).alias("n_days"), F.avg(apart.cast("double")).alias("false_rate")).select("feature", F.lit(float(k)).alias("k"), "n_days", "false_rate"))
-    return reduce(DataFrame.union, out)
+    days = daily.where("value is not null").select("feature", "date", "value")
+    by_value = Window.partitionBy("feature").orderBy("value", "date")
+    ranked = days.withColumn("rank", F.row_number().over(by_value) - 1)
+    sorted_ = days.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("values"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a day below, in or above the middle: which of the medians is left without it
+    side = sum(((F.floor((F.col("n") - i) / 2) >= F.col("rank")).cast("int") for i in (2, 1)), F.lit(0))
+    ranked = ranked.join(sorted_, "feature").select("feature", "date", "value", side.alias("side"), _without(F.col("values"), F.col("n"), F.col("rank")).alias("median"))
+    medians = ranked.groupBy("feature", "side").agg(F.first("median").alias("median"))  # three a feature at most
+    apart = medians.join(days, "feature").select("feature", "side", "date", F.abs(F.col("value") - F.col("median")).alias("apart"))
+    of_side = apart.groupBy("feature", "side").agg(F.sort_array(F.collect_list("apart")).alias("values"), F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("feature", "side").orderBy("apart", "date")) - 1
+    placed = apart.withColumn("rank", place).join(of_side, ["feature", "side"])
+    sigma = MAD_TO_SIGMA * _without(F.col("values"), F.col("n"), F.col("rank"))
+    return ranked.join(placed.select("feature", "side", "date", sigma.alias("sigma")), ["feature", "side", "date"]).select("feature", "date", "value", "median", "sigma")
+
+
+def loo_false_positives(daily: DataFrame, ks: tuple[float, ...] = (3.0, 3.5)) -> DataFrame:
+    """``feature, k, n_days, false_rate``: how often a day falls out of the band that all other days give. A feature of one day is left out."""
+    bands = left_out_bands(daily).withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in ks])))
+    apart = F.abs(F.col("value") - F.col("median")) > F.col("k") * F.col("sigma")
+    return bands.groupBy("feature", "k").agg(F.count(F.lit(1)).alias("n_days"), F.avg(apart.cast("double")).alias("false_rate"))
 
 
 def draws(spark, resamples: int, n: int) -> DataFrame:
@@ -71,9 +93,11 @@ def injection_suite(daily: DataFrame, baseline: DataFrame, state: DataFrame, wei
     )
     clean = daily.where(offset >= 0).join(F.broadcast(state.select("feature", "direction", "sigma")), "feature")  # a row per feature
     faulty = clean.withColumn("scenario", scenarios).select("date", "feature", "scenario", F.col("value").alias("was"), (F.col("value") - F.col("direction") * size * F.col("sigma")).alias("value"))
-    before = check_days(clean.select("date", "feature", "value"), state).select("date", "feature", F.col("is_anomaly").alias("was_anomaly"))
-    after = check_days(faulty.select("date", "feature", "value"), state).distinct()
-    alerts = faulty.join(after.select("date", "feature", "value", "is_anomaly"), ["date", "feature", "value"]).join(before, ["date", "feature"]).where("is_anomaly and not was_anomaly")
+    # a row carries both its values through the check: what was, and what the fault makes of it
+    both = F.array(F.struct(F.lit(True).alias("clean"), F.col("was").alias("value")), F.struct(F.lit(False).alias("clean"), F.col("value").alias("value")))
+    twice = faulty.select("date", "feature", "scenario", F.explode(both).alias("v")).select("date", "feature", "scenario", "v.*")
+    checked = check_days(twice, state, keep=("scenario", "clean")).groupBy("date", "feature", "scenario")
+    alerts = checked.agg(F.bool_or(F.col("is_anomaly") & ~F.col("clean")).alias("now"), F.bool_or(F.col("is_anomaly") & F.col("clean")).alias("before")).where("now and not before")
     # one feature changes: the score moves by its part of its group
     index = index_rows(daily.where(offset >= 0), baseline, weights)
     groups = index.groupBy("date", "group").agg(F.count("index_value").alias("used"), F.first("group_weight").alias("gw"))
@@ -134,26 +158,40 @@ def stress_isolation(daily: DataFrame, baseline: DataFrame, weights: Weights, da
     return both.groupBy(F.col("part").alias("score")).agg(F.avg(F.col("now") - F.col("was")).alias("mean_delta"), F.count(F.col("now") - F.col("was")).alias("n_days"))
 
 
+def _days_before(days: int) -> Window:
+    """The ``days`` days before a row's day, of its feature: a frame of dates, so days without a row take no place."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    return Window.partitionBy("feature").orderBy(day).rangeBetween(-days, -1)
+
+
+def _median(values: Column) -> Column:
+    """Of sorted values without nulls; null without any."""
+    n = F.size(values)
+    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
+
+
 def rolling_bands(daily: DataFrame, directions: list[tuple[str, int]], days: int = 7, k: float = 3.5, least: int = 3) -> DataFrame:
     """``date, feature, value, median, sigma, lo, hi, n, is_anomaly``: each day against the median and MAD of the ``days`` before it.
 
     A detector that follows weekdays and trends by itself, with noisier bands. Days with fewer than ``least`` earlier values
-    have no band and don't alert. Each day meets the days of its window, a range join of days.
+    have no band and don't alert. A day's window is a frame of dates, ``days`` values at most; no day is joined to another.
     """
     direction = F.element_at(F.create_map(*[F.lit(x) for pair in directions for x in pair]), F.col("feature"))
-    past = daily.where("value is not null").select(F.col("date").alias("day"), "feature", F.col("value").alias("v"))
-    met = daily.select("date", "feature").join(past, "feature").where((F.col("day") < F.col("date")) & (F.datediff("date", "day") <= days))
-    bands = mad_bands(met, ("date", "feature"), "v", k).where(F.col("n") >= least)
-    rows = daily.where(direction.isNotNull()).join(bands, ["date", "feature"], "left")
+    rows = daily.where(direction.isNotNull()).select("date", "feature", "value").withColumn("past", F.sort_array(F.collect_list("value").over(_days_before(days))))
+    rows = rows.withColumn("n", F.size("past").cast("long")).withColumn("median", F.when(F.col("n") >= least, _median(F.col("past"))))
+    apart = F.sort_array(F.transform("past", lambda v: F.abs(v - F.col("median"))))
+    rows = rows.withColumn("apart", F.when(F.col("median").isNotNull(), apart)).withColumn("sigma", MAD_TO_SIGMA * _median(F.col("apart")))
+    rows = rows.withColumns({"lo": F.col("median") - k * F.col("sigma"), "hi": F.col("median") + k * F.col("sigma")})
     alert = F.when(direction == -1, F.col("value") > F.col("hi")).otherwise(F.col("value") < F.col("lo"))
-    return rows.select("date", "feature", "value", "median", "sigma", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(alert, F.lit(False)).alias("is_anomaly"))
+    seen = F.when(F.col("n") >= least, F.col("n")).otherwise(F.lit(0).cast("long"))
+    return rows.select("date", "feature", "value", "median", "sigma", "lo", "hi", seen.alias("n"), F.coalesce(alert, F.lit(False)).alias("is_anomaly"))
 
 
 def baseline_schemes(rows: DataFrame, weights: Weights, start: str, end: str, rolling: tuple[int, ...] = (14, 30), today: DataFrame | None = None) -> DataFrame:
     """``date, scheme, health``: the score against a fixed baseline and against the days just before each day.
 
     ``rows``: :func:`~.health.feature_rows`. ``today``: other daily values (``date, feature, value``) to score against the same
-    baselines. Each day meets the days of its window, a range join of days.
+    baselines. A day's window is a frame of dates: sums over it need no join of days.
     """
     parts = rows.groupBy("date", "feature").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
     if today is None:
@@ -164,8 +202,12 @@ def baseline_schemes(rows: DataFrame, weights: Weights, start: str, end: str, ro
     out = [health_of(group_scores(index_rows(today, fixed, weights))).withColumn("scheme", F.lit("fixed"))]
     named = F.create_map(*[x for w in weights for x in (F.lit(w.feature), F.struct(F.lit(w.group).alias("group"), F.lit(float(w.group_weight)).alias("group_weight"), F.lit(w.direction).alias("direction")))])
     for n in rolling:
-        base = today.select("date", "feature").join(past, "feature").where((F.col("day") < F.col("date")) & (F.datediff("date", "day") <= n)).groupBy("date", "feature").agg(value)
-        index = today.join(base, ["date", "feature"], "left").withColumn("w", F.element_at(named, F.col("feature"))).select("date", "feature", "w.*", "value", "base_value")
+        # days to score have no parts of their own, and may have no row among the parts
+        asked = today.select("date", "feature", "value", F.lit(True).alias("asked"), *[F.lit(None).cast("double").alias(c) for c in ("above", "below")])
+        all_days = parts.select("date", "feature", F.lit(None).cast("double").alias("value"), F.lit(False).alias("asked"), "above", "below").unionByName(asked)
+        frame = _days_before(n)
+        base = all_days.withColumn("base_value", ratio(F.sum("above").over(frame), F.sum("below").over(frame))).where("asked")
+        index = base.select("date", "feature", "value", "base_value").withColumn("w", F.element_at(named, F.col("feature"))).select("date", "feature", "w.*", "value", "base_value")
         index = index.withColumn("index_value", feature_index(F.col("value"), F.col("base_value"), F.col("direction")))
         out.append(health_of(group_scores(index)).withColumn("scheme", F.lit(f"rolling_{n}")))
     return reduce(DataFrame.unionByName, out).select("date", "scheme", "health")

@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 START, END = SHOP.baseline
 DAY_FROM, DAY = "2024-01-20", "2024-01-25"
 INJECT_FROM = "2024-01-21"
+BORDER, AFTER_BORDER = "2024-01-15", "2024-01-16"
 ALERT_DAY = "2024-01-01"
 CATEGORY = "LARGE"
 QUERIES: dict[str, Query] = {}
@@ -72,6 +73,19 @@ def sessionize(a: Analysis) -> DataFrame:
     return a.sessions
 
 
+@query
+def sessions_in_two_runs(a: Analysis) -> DataFrame:
+    """The first half of the days and then the rest, each read once, with sessions that go on over the border."""
+    from ..sources.events import date_range
+    from ..sources.folders import shared_folder
+    from .store import RunStore
+
+    store = RunStore(a.events.sparkSession, shared_folder(a.events.sparkSession))
+    for days in ((None, BORDER), (AFTER_BORDER, None)):
+        store.append(date_range(a.events, *days), a.products, tables=False)
+    return store.sessions().drop("date")
+
+
 @query
 def session_invariants(a: Analysis) -> DataFrame:
     return sessions.session_violations(a.sessions)

@@ -75,7 +75,7 @@ class Analysis:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return enrich.enrich_sessions(self.sessions, self.products)
+        return enrich.enrich_sessions(self.kept_sessions, self.products)  # reads sessions twice
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -138,25 +138,33 @@ class Analysis:
         return segments.segment_breakdown(self.enriched)
 
     def write(self, path: str) -> None:
-        """The batch run: stages that later ones read are written and read back, the rest written once.
+        """The batch run into one folder: stages that later ones read are written and read back, the rest written once.
 
-        Scores are checked before they are written: parts that don't add up fail the run.
+        :class:`~.store.RunStore` writes runs that add days, and replaces a run as a whole.
         """
         spark = self.sessions.sparkSession
         write_by_date(self.sessions.withColumn("date", F.to_date("ts_end")), f"{path}/sessions")
-        stored = Analysis(self.events, self.products, self.settings, spark.read.parquet(f"{path}/sessions"))
-        stored.summary.orderBy("date", "category").write.mode("overwrite").parquet(f"{path}/day_summary")
-        stored.__dict__["summary"] = spark.read.parquet(f"{path}/day_summary")
-        if health.within(stored.summary, *stored.baseline).isEmpty():
+        Analysis(self.events, self.products, self.settings, spark.read.parquet(f"{path}/sessions")).write_tables(path)
+        write_segments(spark, f"{path}/sessions", f"{path}/segment_breakdown", self.products)
+
+    def write_tables(self, path: str) -> None:
+        """All that follows from stored sessions, but for the segments.
+
+        Scores are checked before they are written: parts that don't add up fail the run.
+        """
+        spark = self.sessions.sparkSession
+        self.summary.orderBy("date", "category").write.mode("overwrite").parquet(f"{path}/day_summary")
+        self.__dict__["summary"] = spark.read.parquet(f"{path}/day_summary")
+        health.warn_absent(self.summary, tuple(w.feature for w in self.settings.weights))
+        if health.within(self.summary, *self.baseline).isEmpty():
             raise ValueError("the baseline window has no rows")
-        anomaly.save_detector(stored.detector, f"{path}/detector")
-        wrong = rca.additivity_violations(stored.decomposition, stored.health)
+        anomaly.save_detector(self.detector, f"{path}/detector")
+        wrong = rca.additivity_violations(self.decomposition, self.health)
         if not wrong.isEmpty():
             raise ValueError(f"parts do not add up to the score: {wrong.limit(5).collect()}")
-        stored.metrics.write.mode("overwrite").parquet(f"{path}/daily_metrics")
-        rca.ordered(stored.decomposition).write.mode("overwrite").parquet(f"{path}/decomposition")
-        write_segments(spark, f"{path}/sessions", f"{path}/segment_breakdown", self.products)
-        stored.release()
+        self.metrics.write.mode("overwrite").parquet(f"{path}/daily_metrics")
+        rca.ordered(self.decomposition).write.mode("overwrite").parquet(f"{path}/decomposition")
+        self.release()
 
     @classmethod
     def stored(cls, spark: SparkSession, path: str, products: DataFrame | None = None, settings: Settings = SHOP) -> Analysis:
@@ -180,5 +188,5 @@ def write_segments(spark: SparkSession, sessions_path: str, path: str, products:
     if rows.isEmpty():
         warnings.warn(f"{sessions_path} is empty: no segment breakdown", stacklevel=2)
         return False
-    write_by_date(segments.segment_breakdown(enrich.enrich_sessions(rows, products)), path)
+    write_by_date(segments.segment_breakdown(enrich.required(enrich.enrich_sessions(rows, products))), path)
     return True
