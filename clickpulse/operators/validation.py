@@ -246,6 +246,66 @@ def weight_set_scores(correlations: DataFrame, candidates: dict[str, dict[str, f
     return rows.select("candidate", F.col("a").alias("feature"), "r", F.avg("r").over(by).alias("mean_r"), F.min("r").over(by).alias("min_r"))
 
 
+def _on_simplex(w: np.ndarray) -> np.ndarray:
+    """The nearest weights that are at least 0 and add up to 1."""
+    high = np.sort(w)[::-1]
+    over = (np.cumsum(high) - 1) / np.arange(1, len(w) + 1)
+    return np.maximum(w - over[np.flatnonzero(high > over)[-1]], 0)
+
+
+def _ascend(gram: np.ndarray, objective: str, rounds: int = 400) -> np.ndarray:
+    """Projected ascent; a step that doesn't gain is halved. The least correlation is approached by ever sharper smooth minima."""
+
+    def value(w: np.ndarray, sharp: float) -> tuple[float, np.ndarray]:
+        """The objective of ``gram @ w / sqrt(w' gram w)`` and its gradient."""
+        rw = gram @ w
+        size = np.sqrt(max(w @ rw, 1e-12))
+        r = rw / size
+        if objective == "mean":
+            share, found = np.full(len(w), 1 / len(w)), r.mean()
+        else:
+            share = np.exp(-sharp * (r - r.min()))
+            found, share = r.min() - np.log(share.mean()) / sharp, share / share.sum()
+        return float(found), gram @ share / size - (share @ rw) * rw / size**3
+
+    w = np.full(len(gram), 1 / len(gram))
+    for sharp in (10.0, 100.0, 1e3, 1e4, 1e5):
+        found, slope = value(w, sharp)
+        step = 1.0
+        for _ in range(rounds):
+            moved = _on_simplex(w + step * slope)
+            now, next_slope = value(moved, sharp)
+            if now > found:
+                w, found, slope, step = moved, now, next_slope, 2 * step
+            else:
+                step /= 2
+                if step < 1e-12:
+                    break
+    return w
+
+
+def best_weights(correlations: DataFrame, objectives: tuple[str, ...] = ("mean", "min")) -> DataFrame:
+    """``candidate, feature, weight, mean_r, min_r``: the weights whose sum of z-scores goes best with the features.
+
+    ``mean``: with all of them on average; ``min``: with the one that it goes with least. Weights are at least 0 and add up to 1.
+    ``correlations``: :func:`~.explore.feature_correlation`, an aggregate over all days with a row per pair of features; only
+    that reaches the driver. Both objectives have one maximum where all correlations with the sum are positive. Pairs without
+    a correlation count as 0.
+    """
+    if any(o not in ("mean", "min") for o in objectives):
+        raise ValueError("an objective is mean or min")
+    pairs = correlations.select("feature_a", "feature_b", F.coalesce("r", F.lit(0.0)).alias("r")).collect()  # features squared, a short list
+    names = sorted({p["feature_a"] for p in pairs})
+    if not names:
+        return correlations.sparkSession.createDataFrame([], "candidate string, feature string, weight double, mean_r double, min_r double")
+    gram = np.eye(len(names))
+    for p in pairs:
+        gram[names.index(p["feature_a"]), names.index(p["feature_b"])] = p["r"]
+    found = {o: dict(zip(names, map(float, _ascend(gram, o)), strict=True)) for o in objectives}
+    weights = correlations.sparkSession.createDataFrame([(o, f, w) for o, ws in found.items() for f, w in ws.items()], "candidate string, feature string, weight double")
+    return weights.join(weight_set_scores(correlations, found).select("candidate", "feature", "mean_r", "min_r"), ["candidate", "feature"])
+
+
 def _pc1(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
     values, vectors = np.linalg.eigh(np.corrcoef(rows.to_numpy(), rowvar=False))
     top = vectors[:, -1] * (-1 if vectors[:, -1].sum() < 0 else 1)

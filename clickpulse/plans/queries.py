@@ -424,6 +424,11 @@ def weight_set_scores(a: Analysis) -> DataFrame:
     return validation.weight_set_scores(explore.feature_correlation(explore.oriented(a.daily, directions())), candidates())
 
 
+@query
+def best_weights(a: Analysis) -> DataFrame:
+    return validation.best_weights(explore.feature_correlation(explore.oriented(a.daily, directions())))
+
+
 @query
 def pc1_weights(a: Analysis) -> DataFrame:
     return validation.pc1_weights(explore.oriented(a.daily, directions()))

@@ -146,3 +146,33 @@ def test_choice_of_one_strong_component(spark):
     scores = explore.oriented(spark.createDataFrame(rows, "date string, feature string, value double"), directions())
     got = {r["group"]: r["choice"] for r in validation.weight_choice(validation.weight_stability(scores)).collect()}
     assert got["quality"] == "pc1" and got["engagement"] == "equal"
+
+
+def test_best_weights_beat_all_others(spark):
+    """Against a fine grid over three features, and against random weights and their corners over seven."""
+    rng = np.random.default_rng(9)
+    grid = np.array([(a, b, 100 - a - b) for a in range(101) for b in range(101 - a)]) / 100
+    for trial in range(4):
+        k = 3 if trial < 2 else 7
+        x = rng.standard_normal((60, k)) + 1.2 * rng.standard_normal((60, 1))
+        gram = np.corrcoef(x, rowvar=False)
+        others = grid if k == 3 else np.vstack((rng.dirichlet(np.ones(k), 20_000), np.eye(k)))
+        r = others @ gram / np.sqrt(np.einsum("ij,jk,ik->i", others, gram, others))[:, None]
+        for objective, best in (("mean", r.mean(1).max()), ("min", r.min(1).max())):
+            w = validation._ascend(gram, objective)
+            mine = gram @ w / np.sqrt(w @ gram @ w)
+            assert w.min() >= 0 and w.sum() == pytest.approx(1)
+            assert (mine.mean() if objective == "mean" else mine.min()) >= best - 1e-6
+
+
+def test_best_weights_as_a_table(spark):
+    pairs = [("a", "b", 0.5), ("a", "c", 0.1), ("b", "c", None)]
+    rows = spark.createDataFrame([*pairs, *((b, a, r) for a, b, r in pairs)], "feature_a string, feature_b string, r double")
+    found = validation.best_weights(rows).toPandas()
+    assert len(found) == 6 and np.allclose(found.groupby("candidate")["weight"].sum(), 1)
+    others = validation.weight_set_scores(rows, {"equal": dict.fromkeys("abc", 1 / 3), "one": {"a": 1.0, "b": 0.0, "c": 0.0}}).toPandas()
+    assert found[found["candidate"] == "min"]["min_r"].iloc[0] >= others["min_r"].max() - 1e-9
+    assert found[found["candidate"] == "mean"]["mean_r"].iloc[0] >= others["mean_r"].max() - 1e-9
+    assert validation.best_weights(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="objective"):
+        validation.best_weights(rows, ("most",))

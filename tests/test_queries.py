@@ -10,7 +10,7 @@ from clickpulse.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Models and resamples that SQL can't express.
-ROWS_ONLY = {"pc1_weights", "delta_score", "delta_holdout", "ridge_sweep", "weight_stability", "weight_choice"}
+ROWS_ONLY = {"best_weights", "pc1_weights", "delta_score", "delta_holdout", "ridge_sweep", "weight_stability", "weight_choice"}
 
 
 @pytest.fixture(scope="module")
