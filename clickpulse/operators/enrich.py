@@ -33,10 +33,11 @@ def points(value: Column, steps: tuple[int, ...]) -> Column:
     return reduce(lambda a, b: a + b, [(value > bound).cast("int") for bound in steps])
 
 
-#: A query that at least one in this many sessions start with is popular. There are this many popular queries at most.
-POPULAR = 1000
+#: A query that at least one in this many sessions start with is popular, if it starts this many; there are so many popular queries at most.
+POPULAR, POPULAR_LEAST = 1000, 10_000
 #: Keys over which sessions without a query or with a popular one are dealt.
 SALTS = 4096
+_FLAGS = ("is_in_product_base", "is_article")
 
 
 def catalog_matches(products: DataFrame) -> DataFrame:
@@ -46,39 +47,43 @@ def catalog_matches(products: DataFrame) -> DataFrame:
     return texts.unionByName(articles).groupBy("query_clean").agg(F.bool_or("a").alias("is_in_product_base"), F.bool_or("b").alias("is_article"))
 
 
-def popular_matches(queries: DataFrame, matches: DataFrame) -> DataFrame:
-    """``query_clean, popular`` (its matches): queries that many sessions share, ``POPULAR`` rows at most, whatever the data.
-
-    Counted by a narrow aggregate; a query that k in ``POPULAR`` sessions share is found for every k of one or more.
-    """
-    counts = queries.groupBy("query_clean").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where(F.col("query_clean").isNotNull() & (F.col("n") * POPULAR >= queries.agg(F.count(F.lit(1))).scalar())).select("query_clean")
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_in_product_base", "is_article")]
-    return often.join(matches, "query_clean", "left").select("query_clean", F.struct(*flags).alias("popular"))
+def popular_queries(queries: DataFrame, share: int = POPULAR, least: int = POPULAR_LEAST) -> list[str]:
+    """Values of ``query_clean`` that many rows share, ``share`` of them at most; null isn't one."""
+    counts = queries.where("query_clean is not null").groupBy("query_clean").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    most = counts.orderBy(F.desc("n"), "query_clean").limit(share).collect()
+    if not most:
+        return []
+    total = queries.count()
+    return [r["query_clean"] for r in most if r["n"] * share >= total]
 
 
-def enrich_sessions(sessions: DataFrame, products: DataFrame) -> DataFrame:
+def enrich_sessions(sessions: DataFrame, products: DataFrame, popular: list[str] | None = None) -> DataFrame:
     """Adds the columns ``ENRICHED``.
 
     The score of difficulty runs from 0 to 5: points for many queries and for many words, one each for a query that the
     catalogue lacks, for no click and for no cart; two less for an article's number.
 
-    Popular queries are matched once each and broadcast, ``POPULAR`` rows at most. The other sessions meet the catalogue's texts in
-    one join, in which those without a query and those with a popular one are dealt over keys that no text has: no key holds more
-    than one in ``POPULAR`` of them. Sessions are read twice, so they should be stored or kept.
+    Sessions meet the catalogue's names and ids in one join, in which those without a query, and those with a ``popular`` one
+    (by default those that :func:`popular_queries` finds in a look at the sessions), are dealt over keys that no text has; so no key holds
+    more than one in ``POPULAR`` sessions. Popular queries, ``POPULAR`` at most, are matched once each and broadcast. Sessions
+    are read twice, so they should be stored or kept.
     """
     rows = sessions.withColumn("query_clean", normalize_query(F.col("first_query")))
-    matches = catalog_matches(products)
-    popular = popular_matches(rows.select("query_clean"), matches)
-    dealt = F.col("query_clean").isNull() | F.col("popular").isNotNull()
+    popular = popular_queries(rows.select("query_clean")) if popular is None else popular
+    texts = catalog_matches(products)
+    dealt = F.col("query_clean").isNull() | F.col("query_clean").isin(popular) if popular else F.col("query_clean").isNull()
     salt = F.when(dealt, 1 + F.pmod(F.xxhash64("user_id", "session_idx"), F.lit(SALTS))).otherwise(0)
     # one key of both: of two keys, Spark would see that one is always 0 on the catalogue's side, and shuffle by the other
     key = lambda text, n: F.struct(text.alias("text"), n.cast("long").alias("salt"))
-    rows = rows.join(F.broadcast(popular), "query_clean", "left").withColumn("_key", key(F.when(~dealt, F.col("query_clean")).otherwise(""), salt))
-    matches = matches.select(key(F.col("query_clean"), F.lit(0)).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("is_in_product_base", "is_article")])
-    rows = rows.join(matches, "_key", "left")
-    rows = rows.withColumns({c: F.coalesce(F.col(f"popular.{c}"), F.col(f"_{c}"), F.lit(False)) for c in ("is_in_product_base", "is_article")})
-    rows = rows.drop("_key", "popular", "_is_in_product_base", "_is_article").withColumn("query_len_words", word_count(F.col("query_clean")))
+    matches = texts.select(key(F.col("query_clean"), F.lit(0)).alias("_key"), *[F.col(c).alias(f"_{c}") for c in _FLAGS])
+    rows = rows.withColumn("_key", key(F.when(~dealt, F.col("query_clean")).otherwise(""), salt)).join(matches, "_key", "left")
+    found = {c: F.col(f"_{c}") for c in _FLAGS}
+    if popular:
+        often = texts.where(F.col("query_clean").isin(popular)).select("query_clean", *[F.col(c).alias(f"_often_{c}") for c in _FLAGS])
+        rows = rows.join(F.broadcast(often), "query_clean", "left")  # POPULAR rows at most
+        found = {c: F.coalesce(F.col(f"_often_{c}"), F.col(f"_{c}")) for c in _FLAGS}
+    rows = rows.withColumns({c: F.coalesce(value, F.lit(False)) for c, value in found.items()})
+    rows = rows.drop("_key", *[f"{p}{c}" for p in ("_", "_often_") for c in _FLAGS]).withColumn("query_len_words", word_count(F.col("query_clean")))
     misses = [~F.col("is_in_product_base"), F.col("n_click") == 0, ~F.col("reached_cart")]
     score = points(F.col("n_unique_queries"), QUERY_STEPS) + points(F.col("query_len_words"), WORD_STEPS) - 2 * F.col("is_article").cast("int")
     score = reduce(lambda a, b: a + b, [m.cast("int") for m in misses], score)

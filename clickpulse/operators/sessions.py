@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import ratio
 
 GAP_MIN = 35
-#: Seconds of a block: a user's events are scanned block by block, and blocks are put together by one small row each.
+#: Seconds of a block: a busy user's events are scanned block by block, and blocks are put together by one small row each.
 BLOCK_S = 3600
+#: A user is busy who has at least one in this many of all events (so there are as many busy users at most), and this many events.
+BUSY_SHARE, BUSY_LEAST = 1000, 10_000
 #: Keys over which events without an item are dealt in the join with the catalogue.
 SALTS = 4096
 _ACTIONS = {"n_search": "search", "n_view": "view", "n_click": "click", "n_cart": "to_cart", "n_fav": "favorite"}
@@ -34,30 +36,55 @@ def _begins(gap: Column, gap_min: int) -> Column:
     return F.when(gap.isNull() | (gap > gap_min * 60), 1).otherwise(0)
 
 
-def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int) -> DataFrame:
+def busy_users(events: DataFrame, share: int = BUSY_SHARE, least: int = BUSY_LEAST) -> list:
+    """Users whose events should be split, ``share`` of them at most; null may be one. Counts events by user, reading that column alone."""
+    counts = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    most = counts.orderBy(F.desc("n"), "user_id").limit(share).collect()
+    if not most:
+        return []
+    total = events.count()
+    return [r["user_id"] for r in most if r["n"] * share >= total]
+
+
+def _is_busy(users: list) -> Column:
+    named = F.coalesce(F.col("user_id").isin([u for u in users if u is not None]), F.lit(False))
+    return named | F.col("user_id").isNull() if None in users else named
+
+
+def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int, busy: list | None = None) -> DataFrame:
     """Adds ``_owner, _block``, ``gap_s`` (null for a block's first event) and ``_local``: sessions begun in the block before the event or at it.
 
-    A block's first event counts as none: whether it begins a session is decided at the border.
+    A block's first event counts as none: whether it begins a session is decided at the border. All events of users who aren't in
+    ``busy`` are one block; without a list, all users have blocks.
     """
-    rows = events.withColumns({"_owner": F.struct(*keys), "_block": F.floor(_seconds(F.col("timestamp")) / block_s)})
+    block = F.floor(_seconds(F.col("timestamp")) / block_s)
+    if busy is not None:
+        block = F.when(_is_busy(busy), block).otherwise(F.lit(0).cast("long"))
+    rows = events.withColumns({"_owner": F.struct(*keys), "_block": block})
     in_block = Window.partitionBy("_owner", "_block").orderBy("timestamp", "event_id")
     gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp"))
     begins = F.when(F.col("gap_s").isNull(), 0).otherwise(_begins(F.col("gap_s"), gap_min))
     return rows.withColumn("gap_s", gap).withColumn("_local", F.sum(begins).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
+def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S, busy: list | None = None) -> DataFrame:
     """Adds ``gap_s`` (whole seconds since the user's event before) and ``session_idx`` (from 1 for each user).
 
     A session starts at a user's first event and after a gap of more than ``gap_min`` minutes; tied timestamps
     go by ``event_id``. With ``chunk_days``, days are grouped into chunks from the first day on, sessions end with
     their chunk and numbering restarts in each (``chunk_start`` then belongs to the key). Events with a null user are one user's.
 
-    A segmented scan: events are numbered within blocks of ``block_s`` seconds of a user, so a task holds a user's events of
-    one block, however many the user has. One row per block then gives the gap over each border and the number of sessions before it;
-    it comes from a second, narrow pass over the log (user, time and id) and meets the events in their blocks.
+    A user's events are one window, but for ``busy`` users (by default those that :func:`busy_users` finds in a look at the log): a
+    segmented scan numbers theirs within blocks of ``block_s`` seconds, so a task holds one block of such a user. One row per block
+    then gives the gap over each border and the number of sessions before it; it comes from a second, narrow pass over these events
+    (user, time and id) and meets them in their blocks.
     """
+    busy = busy_users(events) if busy is None else busy
     keys, events = _owner(events, chunk_days)
+    rows = _number(events.where(~_is_busy(busy)) if busy else events, keys, gap_min)
+    if not busy:
+        return rows
+    events = events.where(_is_busy(busy))
     narrow = _scan_blocks(events.select(*keys, "timestamp", "event_id"), keys, gap_min, block_s)
     blocks = narrow.groupBy("_owner", "_block").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_local").alias("_inner"))
     by_owner = Window.partitionBy("_owner").orderBy("_block")
@@ -65,9 +92,29 @@ def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int |
     blocks = blocks.withColumn("_border", border).withColumn("_starts", _begins(F.col("_border"), gap_min))
     before = F.sum(F.col("_starts") + F.col("_inner")).over(by_owner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
     blocks = blocks.select("_owner", "_block", "_border", before.alias("_before"))
-    rows = _scan_blocks(events, keys, gap_min, block_s).join(blocks, ["_owner", "_block"])
-    rows = rows.withColumns({"gap_s": F.coalesce("gap_s", "_border"), "session_idx": F.col("_before") + F.col("_local")})
-    return rows.drop("_owner", "_block", "_local", "_border", "_before")
+    split = _scan_blocks(events, keys, gap_min, block_s).join(blocks, ["_owner", "_block"])
+    split = split.withColumns({"gap_s": F.coalesce("gap_s", "_border"), "session_idx": F.col("_before") + F.col("_local")})
+    return rows.unionByName(split.drop("_owner", "_block", "_local", "_border", "_before"))
+
+
+def _number(events: DataFrame, keys: list[str], gap_min: int) -> DataFrame:
+    """The same by one window per user."""
+    by_user = Window.partitionBy(*keys).orderBy("timestamp", "event_id")
+    gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(by_user), F.col("timestamp"))
+    rows = events.withColumn("gap_s", gap)
+    return rows.withColumn("session_idx", F.sum(_begins(F.col("gap_s"), gap_min)).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _with_category(events: DataFrame, products: DataFrame) -> DataFrame:
+    """Events with ``category_name``. The join is left to Spark, which broadcasts the catalogue while its size allows; beyond that,
+    events without an item (searches: a large part) are dealt over ``SALTS`` keys that no product has. Repeated ``item_id`` in
+    ``products`` multiply events, as a left join does.
+    """
+    salt = F.when(F.col("item_id").isNull(), 1 + F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).otherwise(0)
+    # one key of both: of two keys, Spark would see that one is always 0 on the catalogue's side, and shuffle by the other
+    key = lambda item, n: F.struct(item.alias("item"), n.cast("long").alias("salt"))
+    named = products.where("item_id is not null").select(key(F.col("item_id"), F.lit(0)).alias("_key"), "category_name")
+    return events.withColumn("_key", key(F.coalesce("item_id", F.lit(0)), salt)).join(named, "_key", "left").drop("_key")
 
 
 def _merged_counts(categories: Column) -> Column:
@@ -92,20 +139,15 @@ def _merge(rows: DataFrame, *keys: str) -> DataFrame:
     return merged.withColumn("categories", _merged_counts(F.col("categories")))
 
 
-def session_pieces(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
+def session_pieces(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S, busy: list | None = None) -> DataFrame:
     """``_owner, _block, _local`` and the columns ``PIECE``: what each session holds of each block of its user.
 
-    The join with the catalogue comes first and is left to Spark, which broadcasts the catalogue while its size allows; beyond that,
-    events without an item (searches: a large part) are dealt over ``SALTS`` keys that no product has. One shuffle by user and block
-    then serves the scan and both groupings. Repeated ``item_id`` in ``products`` multiply events, as a left join does.
+    One shuffle by user and block serves the scan and both groupings. Users who aren't in ``busy`` have one block; without a
+    list all have blocks of ``block_s`` seconds.
     """
     keys, events = _owner(events, chunk_days)
-    salt = F.when(F.col("item_id").isNull(), 1 + F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).otherwise(0)
-    # one key of both: of two keys, Spark would see that one is always 0 on the catalogue's side, and shuffle by the other
-    key = lambda item, n: F.struct(item.alias("item"), n.cast("long").alias("salt"))
-    named = products.where("item_id is not null").select(key(F.col("item_id"), F.lit(0)).alias("_key"), "category_name")
-    rows = events.withColumn("_key", key(F.coalesce("item_id", F.lit(0)), salt)).join(named, "_key", "left")
-    rows = _scan_blocks(rows, keys, gap_min, block_s)
+    rows = _with_category(events, products)
+    rows = _scan_blocks(rows, keys, gap_min, block_s, busy)
     action = F.col("action_type")
     search = action == "search"
 
@@ -159,15 +201,50 @@ def finished(sessions: DataFrame) -> DataFrame:
     )
 
 
-def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S) -> DataFrame:
+def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S, busy: list | None = None) -> DataFrame:
     """One row for each session with a search: times, counts, first query and widget, categories, time to cart.
 
     ``first_query`` and ``first_widget`` are each the first that isn't null among searches. The modal category is the
     smallest of equally frequent ones.
 
-    The log is shuffled once, by user and block of time; pieces of sessions, which are small, are shuffled by user.
+    The log is shuffled once, by user, for numbering and grouping. Events of ``busy`` users (by default those that
+    :func:`busy_users` finds in a look at the log) are shuffled by user and block of time instead, and make pieces of sessions, which
+    are small and stitched by user.
     """
-    return finished(stitch(session_pieces(events, products, gap_min, chunk_days, block_s), gap_min))
+    busy = busy_users(events) if busy is None else busy
+    keys, rest = _owner(events.where(~_is_busy(busy)) if busy else events, chunk_days)
+    keys.append("session_idx")
+    rows = _number(_with_category(rest, products), keys[:-1], gap_min)
+    action = F.col("action_type")
+    search = action == "search"
+    order = F.struct("timestamp", "event_id")
+
+    def first(column: str) -> Column:
+        return F.min_by(column, F.when(search & F.col(column).isNotNull(), order))
+
+    sessions = rows.groupBy(*keys).agg(
+        F.min("timestamp").alias("ts_start"),
+        F.max("timestamp").alias("ts_end"),
+        F.count(F.lit(1)).alias("n_events"),
+        *[F.count_if(action == kind).alias(name) for name, kind in _ACTIONS.items()],
+        F.size(F.collect_set(F.when(search, F.col("search_query")))).cast("long").alias("n_unique_queries"),
+        first("search_query").alias("first_query"),
+        first("widget_name").alias("first_widget"),
+        F.size(F.collect_set("category_name")).cast("long").alias("n_unique_categories"),
+        F.mode("category_name", True).alias("top_category_in_session"),
+        F.min(F.when(action == "to_cart", F.col("timestamp"))).alias("ts_first_cart"),
+    )
+    sessions = sessions.where("n_search > 0").withColumns(
+        {
+            "duration_s": F.timestamp_diff("SECOND", "ts_start", "ts_end"),
+            "reached_cart": F.col("n_cart") > 0,
+            "time_to_cart_s": F.timestamp_diff("SECOND", "ts_start", "ts_first_cart"),
+        }
+    )
+    if not busy:
+        return sessions
+    split = session_pieces(events.where(_is_busy(busy)), products, gap_min, chunk_days, block_s)
+    return sessions.unionByName(finished(stitch(split, gap_min)))
 
 
 def session_violations(sessions: DataFrame) -> DataFrame:

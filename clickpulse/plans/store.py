@@ -124,7 +124,7 @@ class RunStore:
 
     def _write_sessions(self, events: DataFrame, products: DataFrame, before: dict, until: str, path: str) -> None:
         gap_min = self.settings.gap_min
-        pieces = sessions.session_pieces(events, products, gap_min).withColumn("_number", F.lit(None).cast("long"))
+        pieces = sessions.session_pieces(events, products, gap_min, busy=sessions.busy_users(events)).withColumn("_number", F.lit(None).cast("long"))
         if before["runs"]:
             earlier = self._last(before).select("_owner", F.lit(None).cast("long").alias("_block"), F.lit(0).cast("long").alias("_local"), *sessions.PIECE, "_number")
             pieces = pieces.unionByName(earlier)

@@ -72,24 +72,28 @@ def test_blocks_number_sessions_like_one_window_per_user(spark, chunk_days):
     starts = F.when(F.col("gap_s").isNull() | (F.col("gap_s") > 35 * 60), 1).otherwise(0)
     want = texts(whole.withColumn("session_idx", F.sum(starts).over(by.rowsBetween(Window.unboundedPreceding, 0))))
     for block_s in (60, 3600, 40 * 86400):
-        assert texts(sessions.number_sessions(events, chunk_days=chunk_days, block_s=block_s)) == want
+        for busy in ([None, *range(12)], [0, 3]):
+            assert texts(sessions.number_sessions(events, chunk_days=chunk_days, block_s=block_s, busy=busy)) == want
 
 
 def test_sessions_and_gaps_do_not_depend_on_the_blocks(spark, products):
     events = log(spark, seed=2)
-    want, gaps = texts(sessions.build_sessions(events, products, block_s=40 * 86400)), texts(sessions.gap_histogram(events, 40 * 86400))
+    want, gaps = texts(sessions.build_sessions(events, products)), texts(sessions.gap_histogram(events, 40 * 86400))
     assert len(want) > 100
     for block_s in (600, 3600):
-        assert texts(sessions.build_sessions(events, products, block_s=block_s)) == want and texts(sessions.gap_histogram(events, block_s)) == gaps
+        for busy in ([None, *range(12)], [0, None]):
+            assert texts(sessions.build_sessions(events, products, block_s=block_s, busy=busy)) == want
+        assert texts(sessions.gap_histogram(events, block_s)) == gaps
 
 
 def test_a_user_with_a_third_of_all_events_is_many_tasks(spark, products, settings_of):
     settings_of(spark__sql__shuffle__partitions="40", spark__sql__adaptive__coalescePartitions__enabled="false")
     events = log(spark, n=6000)
-    numbered = sessions.number_sessions(events)
+    assert sessions.busy_users(events) == [] and sessions.busy_users(events, 4, 100) == [0] and len(sessions.busy_users(events, 1000, 100)) == 13
+    numbered = sessions.number_sessions(events, busy=sessions.busy_users(events, 1000, 100))
     sizes = [r["n"] for r in numbered.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 6000 and max(sizes) < 600  # the user has 2,000
-    assert sessions.build_sessions(events, products).count() > 100
+    assert sessions.build_sessions(events, products, busy=[0]).count() > 100
 
 
 def test_a_popular_query_and_sessions_without_one_are_dealt_out(spark, products, settings_of):
@@ -97,14 +101,14 @@ def test_a_popular_query_and_sessions_without_one_are_dealt_out(spark, products,
     made = spark.createDataFrame(rows, "user_id long, session_idx long, first_query string, n_unique_queries long, n_click long, reached_cart boolean")
     want = texts(enrich.enrich_sessions(made, products))
     settings_of(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="40", spark__sql__adaptive__coalescePartitions__enabled="false")
-    got = enrich.enrich_sessions(made, products)
+    got = enrich.enrich_sessions(made, products, popular=["milk", "3"])
     sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_article")).collect()]
     assert sum(sizes) == 6000 and max(sizes) < 500  # each of both groups has 2,000
     assert texts(got) == want
     flags = {r["query_clean"]: (r["is_in_product_base"], r["is_article"]) for r in got.collect()}
     assert flags["milk"] == (True, False) and flags["3"] == (False, True) and flags[None] == (False, False) and flags["q5"] == (False, False)
-    popular = enrich.popular_matches(made.select(F.lower("first_query").alias("query_clean")), enrich.catalog_matches(products))
-    assert {r["query_clean"] for r in popular.collect()} == {"  milk", "3"}
+    queries = made.select(F.trim(F.lower("first_query")).alias("query_clean"))
+    assert enrich.popular_queries(queries) == [] and enrich.popular_queries(queries, 1000, 100) == ["milk", "3"] and enrich.popular_queries(queries, 4, 100) == ["milk"]
     assert enrich.enrich_sessions(made.limit(0), products).count() == 0
 
 
