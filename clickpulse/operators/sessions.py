@@ -46,7 +46,8 @@ def busy_users(events: DataFrame, share: int = BUSY_SHARE, least: int = BUSY_LEA
     return [r["user_id"] for r in most if r["n"] * share >= total]
 
 
-def _is_busy(users: list) -> Column:
+def is_busy(users: list) -> Column:
+    """Whether ``user_id`` is one of them; never null."""
     named = F.coalesce(F.col("user_id").isin([u for u in users if u is not None]), F.lit(False))
     return named | F.col("user_id").isNull() if None in users else named
 
@@ -59,7 +60,7 @@ def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int,
     """
     block = F.floor(_seconds(F.col("timestamp")) / block_s)
     if busy is not None:
-        block = F.when(_is_busy(busy), block).otherwise(F.lit(0).cast("long"))
+        block = F.when(is_busy(busy), block).otherwise(F.lit(0).cast("long"))
     rows = events.withColumns({"_owner": F.struct(*keys), "_block": block})
     in_block = Window.partitionBy("_owner", "_block").orderBy("timestamp", "event_id")
     gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp"))
@@ -81,10 +82,13 @@ def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int |
     """
     busy = busy_users(events) if busy is None else busy
     keys, events = _owner(events, chunk_days)
-    rows = _number(events.where(~_is_busy(busy)) if busy else events, keys, gap_min)
     if not busy:
-        return rows
-    events = events.where(_is_busy(busy))
+        return _number(events, keys, gap_min)
+    return _number(events.where(~is_busy(busy)), keys, gap_min).unionByName(number_in_blocks(events.where(is_busy(busy)), keys, gap_min, block_s))
+
+
+def number_in_blocks(events: DataFrame, keys: list[str], gap_min: int = GAP_MIN, block_s: int = BLOCK_S) -> DataFrame:
+    """``gap_s`` and ``session_idx`` as in :func:`number_sessions`, by the segmented scan for all events."""
     narrow = _scan_blocks(events.select(*keys, "timestamp", "event_id"), keys, gap_min, block_s)
     blocks = narrow.groupBy("_owner", "_block").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_local").alias("_inner"))
     by_owner = Window.partitionBy("_owner").orderBy("_block")
@@ -94,7 +98,7 @@ def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int |
     blocks = blocks.select("_owner", "_block", "_border", before.alias("_before"))
     split = _scan_blocks(events, keys, gap_min, block_s).join(blocks, ["_owner", "_block"])
     split = split.withColumns({"gap_s": F.coalesce("gap_s", "_border"), "session_idx": F.col("_before") + F.col("_local")})
-    return rows.unionByName(split.drop("_owner", "_block", "_local", "_border", "_before"))
+    return split.drop("_owner", "_block", "_local", "_border", "_before")
 
 
 def _number(events: DataFrame, keys: list[str], gap_min: int) -> DataFrame:
@@ -212,7 +216,7 @@ def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MI
     are small and stitched by user.
     """
     busy = busy_users(events) if busy is None else busy
-    keys, rest = _owner(events.where(~_is_busy(busy)) if busy else events, chunk_days)
+    keys, rest = _owner(events.where(~is_busy(busy)) if busy else events, chunk_days)
     keys.append("session_idx")
     rows = _number(_with_category(rest, products), keys[:-1], gap_min)
     action = F.col("action_type")
@@ -243,7 +247,7 @@ def build_sessions(events: DataFrame, products: DataFrame, gap_min: int = GAP_MI
     )
     if not busy:
         return sessions
-    split = session_pieces(events.where(_is_busy(busy)), products, gap_min, chunk_days, block_s)
+    split = session_pieces(events.where(is_busy(busy)), products, gap_min, chunk_days, block_s)
     return sessions.unionByName(finished(stitch(split, gap_min)))
 
 
@@ -273,8 +277,13 @@ def gap_histogram(events: DataFrame, block_s: int = BLOCK_S) -> DataFrame:
     inner = rows.select(F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp")).alias("gap_s"))
     ends = rows.groupBy("_owner", "_block").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     border = ends.select(F.timestamp_diff("SECOND", F.lag("last").over(Window.partitionBy("_owner").orderBy("_block")), F.col("first")).alias("gap_s"))
-    gaps = inner.unionByName(border).select((F.col("gap_s") / 60.0).alias("gap_min")).where("gap_min > 0")
-    return gaps.groupBy((F.floor(F.log10("gap_min") * 40) / 40).alias("log10_gap_bin")).agg(F.count(F.lit(1)).alias("n"))
+    return gap_bins(inner.unionByName(border))
+
+
+def gap_bins(gaps: DataFrame) -> DataFrame:
+    """``log10_gap_bin, n`` of gaps in seconds (``gap_s``); null and 0 don't count."""
+    minutes = gaps.select((F.col("gap_s") / 60.0).alias("gap_min")).where("gap_min > 0")
+    return minutes.groupBy((F.floor(F.log10("gap_min") * 40) / 40).alias("log10_gap_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LOG_BINS = 119

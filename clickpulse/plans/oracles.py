@@ -353,6 +353,7 @@ ORACLES: dict[str, str] = {
       rr AS (SELECT rw.candidate, a, rw / sqrt(sum(coalesce(wt, 0) * rw) OVER (PARTITION BY rw.candidate)) AS r FROM rw LEFT JOIN cw ON cw.candidate = rw.candidate AND cw.feature = rw.a)
       SELECT candidate, a AS feature, round(r, 6) AS r, round(avg(r) OVER (PARTITION BY candidate), 6) AS mean_r, round(min(r) OVER (PARTITION BY candidate), 6) AS min_r FROM rr""",
 }
-ORACLES["sessions_in_two_runs"] = ORACLES["sessionize"]
+ORACLES["sessions_in_two_runs"] = ORACLES["user_log_sessions"] = ORACLES["sessionize"]
+ORACLES["user_log_gaps"], ORACLES["user_log_gap_histogram"] = ORACLES["session_gaps"], ORACLES["gap_histogram"]
 ORACLES["health_default_baseline"] = ORACLES["health_daily"]  # the data begin on the day that the fixed baseline begins on
 ORACLES = {name: BASE + sql if not sql.startswith(",") else BASE.rstrip() + sql for name, sql in ORACLES.items()}

@@ -86,6 +86,33 @@ def sessions_in_two_runs(a: Analysis) -> DataFrame:
     return store.sessions().drop("date")
 
 
+def user_log(a: Analysis):
+    """The log laid out by user, appended in two parts."""
+    from ..sources.events import date_range
+    from ..sources.folders import shared_folder
+    from .user_log import UserLog
+
+    log = UserLog(a.events.sparkSession, shared_folder(a.events.sparkSession))
+    for days in ((None, BORDER), (AFTER_BORDER, None)):
+        log.append(date_range(a.events, *days))
+    return log
+
+
+@query
+def user_log_sessions(a: Analysis) -> DataFrame:
+    return user_log(a).sessions(a.products, SHOP.gap_min)
+
+
+@query
+def user_log_gaps(a: Analysis) -> DataFrame:
+    return user_log(a).number_sessions(SHOP.gap_min).select("event_id", "user_id", "gap_s", "session_idx")
+
+
+@query
+def user_log_gap_histogram(a: Analysis) -> DataFrame:
+    return user_log(a).gap_histogram()
+
+
 @query
 def session_invariants(a: Analysis) -> DataFrame:
     return sessions.session_violations(a.sessions)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clickpulse.operators import anomaly, enrich, health, rca, segments, sessions, validation
 from clickpulse.plans.store import RunStore
 from clickpulse.plans.tables import Analysis, Settings
+from clickpulse.plans.user_log import UserLog
 
 EVENTS = "user_id long, date date, timestamp timestamp_ntz, event_id long, action_type string, widget_name string, search_query string, item_id long"
 ACTIONS = ("search", "search", "view", "click", "to_cart", "favorite")
@@ -172,6 +173,64 @@ def test_a_run_that_fails_halfway_is_never_seen(spark, products, tmp_path, monke
         store.analysis()
 
 
+@pytest.mark.parametrize(("share", "least"), [(1000, 10**9), (4, 100), (1000, 20)])
+def test_a_log_by_user_gives_what_the_raw_log_gives(spark, products, tmp_path, share, least):
+    """With no busy user, with one, and with users who become busy by a later append."""
+    events = log(spark, n=600, seed=7)
+    stored = UserLog(spark, str(tmp_path / "log"), 4, share, least)
+    with pytest.raises(ValueError, match="no log"):
+        stored.events()
+    first, found = "2024-03-01", []
+    for last in ("2024-03-01", "2024-03-04", "2024-03-06"):
+        stored.append(days(events, first, last))
+        so_far = days(events, "2024-03-01", last)
+        found.append(len(stored._busy(stored.appends())))
+        fresh = UserLog(spark, stored.root)  # of another reader, who doesn't know the number of buckets
+        assert texts(fresh.events()) == texts(so_far)
+        assert texts(fresh.sessions(products, 300)) == texts(sessions.build_sessions(so_far, products, 300))
+        first = str(dt.date.fromisoformat(last) + dt.timedelta(1))
+    assert texts(stored.number_sessions(300)) == texts(sessions.number_sessions(events, 300))
+    assert texts(stored.gap_histogram()) == texts(sessions.gap_histogram(events))
+    assert found == sorted(found) and (found[-1] == 0) == (least == 10**9) and (least != 20 or found[0] < found[-1])
+    with pytest.raises(ValueError, match="stored already"):
+        stored.append(days(events, "2024-03-06", "2024-03-06"))
+    with pytest.raises(ValueError, match="no events"):
+        stored.append(events.limit(0))
+
+
+def test_an_append_that_fails_is_never_seen(spark, products, tmp_path, monkeypatch):
+    from clickpulse.plans import user_log
+
+    events = log(spark, n=300, seed=8)
+    stored = UserLog(spark, str(tmp_path / "log"), 4, 4, 50)
+    stored.append(days(events, "2024-03-01", "2024-03-03"))
+    before = texts(stored.events())
+
+    def lost(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(user_log, "write_file", lost)  # both tables are written by then
+        with pytest.raises(OSError, match="lost"):
+            stored.append(days(events, "2024-03-04", "2024-03-06"))
+    assert texts(stored.events()) == before
+    stored.append(days(events, "2024-03-04", "2024-03-06"))
+    assert texts(stored.events()) == texts(events)
+
+
+def test_readers_of_the_log_by_user_shuffle_no_event(spark, products, tmp_path):
+    stored = UserLog(spark, str(tmp_path / "log"), 8)
+    stored.append(days(log(spark, n=600, seed=9), "2024-03-01", "2024-03-03"))
+    stored.append(days(log(spark, n=600, seed=9), "2024-03-04", "2024-03-06"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(stored.number_sessions())
+    products.write.parquet(str(tmp_path / "products"))
+    built = plan(stored.sessions(spark.read.parquet(str(tmp_path / "products"))))
+    assert built.count("Exchange") == built.count("BroadcastExchange") == 1  # the catalogue
+    assert plan(stored.gap_histogram()).count("Exchange hashpartitioning") == 1 and "hashpartitioning(user_id" not in plan(stored.gap_histogram())
+    assert "SelectedBucketsCount: 8 out of 8" in plan(stored.number_sessions())
+
+
 def test_counts_of_days_add_up_to_any_window(spark, products):
     rows = enrich.enrich_sessions(sessions.build_sessions(log(spark, seed=5), products).cache(), products)
     counts = segments.segment_counts(rows)
