@@ -42,10 +42,14 @@ def _bucket(word: Column) -> Column:
 
 
 def label_sample(labels: DataFrame, per_domain: int, key: str, domain: str) -> DataFrame:
-    """About ``per_domain`` labels of each domain (all of a smaller one), chosen by a hash of the key."""
-    counts = labels.groupBy(domain).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = labels.join(F.broadcast(counts), domain)  # a row per domain
-    return chosen.where(hash_share(F.col(key).cast("string"), 29) * F.col("_n") < per_domain).select(key, domain)
+    """``key, domain, _times``: about ``per_domain`` labelled keys of each domain (all of a smaller one), chosen by a hash of the key.
+
+    A key that has the same label several times is one row and one of those counted, so repeats make the sample no larger.
+    """
+    once = labels.groupBy(key, domain).agg(F.count(F.lit(1)).alias("_times"))
+    counts = once.groupBy(domain).agg(F.count(F.lit(1)).alias("_n"))
+    chosen = once.join(F.broadcast(counts), domain)  # a row per domain
+    return chosen.where(hash_share(F.col(key).cast("string"), 29) * F.col("_n") < per_domain).select(key, domain, "_times")
 
 
 @dataclass(frozen=True)
@@ -81,8 +85,10 @@ def fit_domains(documents: DataFrame, labels: DataFrame, domains: list[str], per
     sample = label_sample(labels, per_domain, key, domain)
     logs = np.log(np.array([prior.get(d, 0) for d in domains], dtype=float) + 1)
     logs -= np.log(np.exp(logs).sum())
-    read = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample.select(F.col(key).alias("key"), F.col(domain).alias("domain"))), "key")
-    held = read.select("key", "domain", F.explode(F.transform(pieces_of(F.col("text")), _bucket)).alias("bucket")).groupBy("key", "domain", "bucket").count()
+    keys = F.broadcast(sample.select(F.col(key).alias("key"), F.col(domain).alias("domain"), "_times"))
+    read = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys, "key")
+    pieces = read.select("key", "domain", "_times", F.explode(F.transform(pieces_of(F.col("text")), _bucket)).alias("bucket"))
+    held = pieces.groupBy("key", "domain", "bucket").agg(F.sum("_times").alias("count"))
     names, texts = [[f"{c}{i}" for i in range(len(domains))] for c in "nm"]
     damped = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.log1p("count"))), F.lit(0.0)).alias(n) for n, d in zip(names, domains, strict=True)]
     counts = cut(held.groupBy("bucket").agg(*damped, *[F.count_if(F.col("domain") == d).alias(n) for n, d in zip(texts, domains, strict=True)]))  # BUCKETS rows at most

@@ -7,9 +7,10 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickpulse.llm import chat, embed_dedup, pii, quality
+from clickpulse.llm import chat, embed_dedup, mixing, pii, quality
 
 BIG = 1 << 53
 IDS = [BIG + 1, BIG + 2, BIG + 3, BIG + 4, None]
@@ -110,3 +111,19 @@ def test_ranks_of_cells_against_the_whole_order():
     index = embed_dedup.MultiIndex(books, 1)
     wanted = (index.order(sample, 49) == index.order(partner, 1)).argmax(1)
     assert (embed_dedup._ranks(books, sample, partner) == wanted).all()
+
+
+def test_a_key_with_many_labels_is_one_row_of_the_sample(spark):
+    """A key that repeats a million times can't swell what is broadcast; its repeats still count as they are."""
+    keys = spark.range(4000).withColumn("domain", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    repeated = keys.unionByName(spark.range(0, 1_000_000, 1, 8).select(F.lit(6).cast("long").alias("id"), F.lit("a").alias("domain")))
+    sample = mixing.label_sample(repeated, 500, "id", "domain").toPandas()
+    assert len(sample) == sample["id"].nunique() and all(400 < (sample["domain"] == d).sum() < 600 for d in "ab")
+    assert mixing.label_sample(repeated, 4000, "id", "domain").where("id = 6").first()["_times"] == 1_000_001
+    texts = [(i, "red green blue" if i % 2 else "black white grey") for i in range(60)]
+    labels = [(i, "b" if i % 2 else "a") for i in range(60)]
+    thrice = [(4, "a")] * 2
+    fit = lambda t, g: mixing.fit_domains(spark.createDataFrame(t, "doc_id long, text string"), spark.createDataFrame(g, "doc_id long, domain string"), ["a", "b"])
+    by_label, by_text = fit(texts, labels + thrice), fit(texts + [texts[4]] * 2, labels)
+    assert by_label.lift and by_label.buckets() == by_text.buckets() and all((by_label.lift[b] == by_text.lift[b]).all() for b in by_label.lift)
+    assert by_label.prior[0] > by_text.prior[0]
