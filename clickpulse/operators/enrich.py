@@ -41,10 +41,14 @@ _FLAGS = ("is_in_product_base", "is_article")
 
 
 def catalog_matches(products: DataFrame) -> DataFrame:
-    """``query_clean, is_in_product_base, is_article``: one row for each text that the catalogue has as a name or as an id."""
-    texts = catalog_texts(products).select(F.col("text").alias("query_clean"), F.lit(True).alias("a"), F.lit(False).alias("b"))
-    articles = catalog_articles(products).select(F.col("text").alias("query_clean"), F.lit(False).alias("a"), F.lit(True).alias("b"))
-    return texts.unionByName(articles).groupBy("query_clean").agg(F.bool_or("a").alias("is_in_product_base"), F.bool_or("b").alias("is_article"))
+    """``query_clean, is_in_product_base, is_article``: one row for each text that the catalogue has as a name or as an id.
+
+    Names and ids are counted in one grouping, so the catalogue is read and shuffled once.
+    """
+    named = F.transform(F.array_distinct(F.array("name", "brand", "type", "category_name")), lambda t: F.struct(normalize_query(t).alias("text"), F.lit(False).alias("article")))
+    article = F.array(F.struct(F.trim(F.col("item_id").cast("string")).alias("text"), F.lit(True).alias("article")))
+    texts = products.select(F.explode(F.concat(named, article)).alias("t")).select("t.*").where("text is not null and (article or text <> '')")
+    return texts.groupBy(F.col("text").alias("query_clean")).agg(F.bool_or(~F.col("article")).alias("is_in_product_base"), F.bool_or("article").alias("is_article"))
 
 
 def popular_queries(queries: DataFrame, share: int = POPULAR, least: int = POPULAR_LEAST) -> list[str]:

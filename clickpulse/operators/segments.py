@@ -42,26 +42,28 @@ def segment_value(sessions: DataFrame, segment: str) -> Column:
     return F.coalesce(text, F.lit("(null)"))
 
 
-def segment_rows(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
-    """Each session once per segment: ``segment, value, date`` (of ``ts_end``) and its measures."""
+def segment_rows(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS), also: tuple[str, ...] = ()) -> DataFrame:
+    """Each session once per segment: ``segment, value, date`` (of ``ts_end``), its measures and the columns ``also``."""
     labels = F.array(*[F.struct(F.lit(s).alias("segment"), segment_value(sessions, s).alias("value")) for s in segments])
-    rows = sessions.select(F.date_format("ts_end", "yyyy-MM-dd").alias("date"), "reached_cart", "n_unique_queries", "n_view", "duration_s", F.explode(labels).alias("s"))
-    return rows.select("s.segment", "s.value", "date", "reached_cart", "n_unique_queries", "n_view", "duration_s")
+    rows = sessions.select(F.date_format("ts_end", "yyyy-MM-dd").alias("date"), "reached_cart", "n_unique_queries", "n_view", "duration_s", *also, F.explode(labels).alias("s"))
+    return rows.select("s.segment", "s.value", "date", "reached_cart", "n_unique_queries", "n_view", "duration_s", *also)
 
 
 MEASURES = ("n_unique_queries", "n_view", "duration_s")
 
 
-def segment_counts(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
+def segment_counts(sessions: DataFrame, segments: tuple[str, ...] = tuple(SEGMENTS), also: tuple[str, ...] = ()) -> DataFrame:
     """``segment, value, date, measure, x, n, n_success``: how many sessions have which number, and how many of these succeed.
 
+    ``also``: columns by which sessions are counted apart, too.
+
     Counts of several days or runs add up, so a stored table of them gives every later breakdown without the sessions. Its rows
     follow the distinct numbers of a day's segment value (counts, whole seconds), not the sessions.
     """
-    rows = segment_rows(sessions, segments)
+    rows = segment_rows(sessions, segments, also)
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("x")) for m in MEASURES])
-    each = rows.select("segment", "value", "date", "reached_cart", F.explode(measures).alias("m")).select("segment", "value", "date", "reached_cart", "m.*")
-    return each.groupBy("segment", "value", "date", "measure", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if("reached_cart").alias("n_success"))
+    each = rows.select("segment", "value", "date", "reached_cart", *also, F.explode(measures).alias("m")).select("segment", "value", "date", "reached_cart", *also, "m.*")
+    return each.groupBy("segment", "value", "date", *also, "measure", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if("reached_cart").alias("n_success"))
 
 
 def breakdown_of_counts(counts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def is_busy(users: list) -> Column:
 
 
 def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int, busy: list | None = None) -> DataFrame:
-    """Adds ``_owner, _block``, ``gap_s`` (null for a block's first event) and ``_local``: sessions begun in the block before the event or at it.
+    """Adds ``_block``, ``gap_s`` (null for a block's first event) and ``_local``: sessions begun in the block before the event or at it.
 
     A block's first event counts as none: whether it begins a session is decided at the border. All events of users who aren't in
     ``busy`` are one block; without a list, all users have blocks.
@@ -61,8 +61,8 @@ def _scan_blocks(events: DataFrame, keys: list[str], gap_min: int, block_s: int,
     block = F.floor(_seconds(F.col("timestamp")) / block_s)
     if busy is not None:
         block = F.when(is_busy(busy), block).otherwise(F.lit(0).cast("long"))
-    rows = events.withColumns({"_owner": F.struct(*keys), "_block": block})
-    in_block = Window.partitionBy("_owner", "_block").orderBy("timestamp", "event_id")
+    rows = events.withColumn("_block", block)
+    in_block = Window.partitionBy(*keys, "_block").orderBy("timestamp", "event_id")
     gap = F.timestamp_diff("SECOND", F.lag("timestamp").over(in_block), F.col("timestamp"))
     begins = F.when(F.col("gap_s").isNull(), 0).otherwise(_begins(F.col("gap_s"), gap_min))
     return rows.withColumn("gap_s", gap).withColumn("_local", F.sum(begins).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
@@ -89,14 +89,15 @@ def number_sessions(events: DataFrame, gap_min: int = GAP_MIN, chunk_days: int |
 
 def number_in_blocks(events: DataFrame, keys: list[str], gap_min: int = GAP_MIN, block_s: int = BLOCK_S) -> DataFrame:
     """``gap_s`` and ``session_idx`` as in :func:`number_sessions`, by the segmented scan for all events."""
-    narrow = _scan_blocks(events.select(*keys, "timestamp", "event_id"), keys, gap_min, block_s)
+    owned = lambda rows: rows.withColumn("_owner", F.struct(*keys))  # noqa: E731  a null user is one user's, and meets itself in the join
+    narrow = owned(_scan_blocks(events.select(*keys, "timestamp", "event_id"), keys, gap_min, block_s))
     blocks = narrow.groupBy("_owner", "_block").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_local").alias("_inner"))
     by_owner = Window.partitionBy("_owner").orderBy("_block")
     border = F.timestamp_diff("SECOND", F.lag("_last").over(by_owner), F.col("_first"))
     blocks = blocks.withColumn("_border", border).withColumn("_starts", _begins(F.col("_border"), gap_min))
     before = F.sum(F.col("_starts") + F.col("_inner")).over(by_owner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
     blocks = blocks.select("_owner", "_block", "_border", before.alias("_before"))
-    split = _scan_blocks(events, keys, gap_min, block_s).join(blocks, ["_owner", "_block"])
+    split = owned(_scan_blocks(events, keys, gap_min, block_s)).join(blocks, ["_owner", "_block"])
     split = split.withColumns({"gap_s": F.coalesce("gap_s", "_border"), "session_idx": F.col("_before") + F.col("_local")})
     return split.drop("_owner", "_block", "_local", "_border", "_before")
 
@@ -121,6 +122,15 @@ def _with_category(events: DataFrame, products: DataFrame) -> DataFrame:
     return events.withColumn("_key", key(F.coalesce("item_id", F.lit(0)), salt)).join(named, "_key", "left").drop("_key")
 
 
+def _counts(categories: Column) -> Column:
+    """Names with repeats as one struct for each: ``category, n``. They are sorted once, and runs of equals measured."""
+    ordered = F.array_sort(categories)
+    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))))
+    stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ordered) + 1)
+    found = F.transform(starts, lambda i, k: F.struct(F.element_at(ordered, i).alias("category"), (stop(k) - i).cast("long").alias("n")))
+    return F.when(F.size(categories) > 0, found).otherwise(F.array().cast("array<struct<category:string,n:bigint>>"))
+
+
 def _merged_counts(categories: Column) -> Column:
     """Counts by category as one struct for each category; ``categories``: such structs, categories repeated."""
     names = F.array_distinct(F.transform(categories, lambda c: c["category"]))
@@ -129,7 +139,7 @@ def _merged_counts(categories: Column) -> Column:
 
 
 def _merge(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pieces with equal keys as one piece."""
+    """Pieces with equal keys as one piece. Most pieces are whole sessions; these keep their lists as they are."""
     merged = rows.groupBy(*keys).agg(
         F.min("ts_start").alias("ts_start"),
         F.max("ts_end").alias("ts_end"),
@@ -137,28 +147,37 @@ def _merge(rows: DataFrame, *keys: str) -> DataFrame:
         F.min("ts_first_cart").alias("ts_first_cart"),
         F.min("first_query").alias("first_query"),
         F.min("first_widget").alias("first_widget"),
-        F.array_distinct(F.flatten(F.collect_list("queries"))).alias("queries"),
-        F.flatten(F.collect_list("categories")).alias("categories"),
+        F.collect_list("queries").alias("queries"),
+        F.collect_list("categories").alias("categories"),
     )
-    return merged.withColumn("categories", _merged_counts(F.col("categories")))
+    one = lambda c, several: F.when(F.size(c) == 1, F.get(c, F.lit(0))).otherwise(several)
+    merged = merged.withColumn("_flat", one("categories", F.flatten("categories")))
+    categories = F.when(F.size("categories") == 1, F.col("_flat")).otherwise(_merged_counts(F.col("_flat")))
+    return merged.withColumns({"queries": one("queries", F.array_distinct(F.flatten("queries"))), "categories": categories}).drop("_flat")
 
 
 def session_pieces(events: DataFrame, products: DataFrame, gap_min: int = GAP_MIN, chunk_days: int | None = None, block_s: int = BLOCK_S, busy: list | None = None) -> DataFrame:
     """``_owner, _block, _local`` and the columns ``PIECE``: what each session holds of each block of its user.
 
-    One shuffle by user and block serves the scan and both groupings. Users who aren't in ``busy`` have one block; without a
-    list all have blocks of ``block_s`` seconds.
+    One shuffle by user and block serves the scan and the grouping, which is by the key's columns, as Spark sorts a struct far more
+    slowly. Users who aren't in ``busy`` have one block, and their categories are gathered and counted in one grouping: no session
+    of theirs has more events than a busy user has at least. Without a list all have blocks of ``block_s`` seconds, and events are counted by
+    category first, so that no row holds a name for each event.
     """
+    if busy:  # both kinds
+        quiet = session_pieces(events.where(~is_busy(busy)), products, gap_min, chunk_days, block_s, [])
+        return quiet.unionByName(session_pieces(events.where(is_busy(busy)), products, gap_min, chunk_days, block_s))
     keys, events = _owner(events, chunk_days)
     rows = _with_category(events, products)
     rows = _scan_blocks(rows, keys, gap_min, block_s, busy)
     action = F.col("action_type")
     search = action == "search"
+    by = [*keys, "_block", "_local"]
 
     def first(column: str) -> Column:
         return F.min(F.when(search & F.col(column).isNotNull(), F.struct("timestamp", "event_id", F.col(column).alias("value"))))
 
-    of_category = rows.groupBy("_owner", "_block", "_local", "category_name").agg(
+    sums = [
         F.min("timestamp").alias("ts_start"),
         F.max("timestamp").alias("ts_end"),
         F.count(F.lit(1)).alias("n_events"),
@@ -167,9 +186,14 @@ def session_pieces(events: DataFrame, products: DataFrame, gap_min: int = GAP_MI
         first("search_query").alias("first_query"),
         first("widget_name").alias("first_widget"),
         F.collect_set(F.when(search, F.col("search_query"))).alias("queries"),
-    )
-    counted = F.struct(F.col("category_name").alias("category"), F.col("n_events").alias("n"))
-    return _merge(of_category.withColumn("categories", F.when(F.col("category_name").isNotNull(), F.array(counted)).otherwise(F.array().cast("array<struct<category:string,n:bigint>>"))), "_owner", "_block", "_local")
+    ]
+    if busy is None:
+        counted = F.array(F.struct(F.col("category_name").alias("category"), F.col("n_events").alias("n")))
+        of_category = rows.groupBy(*by, "category_name").agg(*sums)
+        pieces = _merge(of_category.withColumn("categories", F.when(F.col("category_name").isNotNull(), counted).otherwise(F.array().cast("array<struct<category:string,n:bigint>>"))), *by)
+    else:
+        pieces = rows.groupBy(*by).agg(*sums, F.collect_list("category_name").alias("categories")).withColumn("categories", _counts(F.col("categories")))
+    return pieces.select(F.struct(*keys).alias("_owner"), "_block", "_local", *PIECE)
 
 
 def stitch(pieces: DataFrame, gap_min: int = GAP_MIN) -> DataFrame:
@@ -179,13 +203,20 @@ def stitch(pieces: DataFrame, gap_min: int = GAP_MIN) -> DataFrame:
     column that may be missing) comes before the user's others and has that number. A user has a few rows per block here, whatever
     its number of events. Sessions without a search are among them; a session's distinct queries are held by one aggregate.
     """
-    by_owner = Window.partitionBy("_owner").orderBy("_block", "_local")
+    keys = pieces.schema["_owner"].dataType.names
+    pieces = pieces.select("_owner.*", *[c for c in pieces.columns if c != "_owner"])
+    by_owner = Window.partitionBy(*keys).orderBy("_block", "_local")
     gap = F.timestamp_diff("SECOND", F.lag("ts_end").over(by_owner), F.col("ts_start"))
     begins = _begins(gap, gap_min)
     if "_number" in pieces.columns:
         begins = F.coalesce("_number", begins)
     numbered = pieces.withColumn("_begins", begins).withColumn("session_idx", F.sum("_begins").over(by_owner.rowsBetween(Window.unboundedPreceding, 0)))
-    return _merge(numbered, "_owner", "session_idx")
+    return _merge(numbered, *keys, "session_idx").select(F.struct(*keys).alias("_owner"), "session_idx", *PIECE)
+
+
+def whole_pieces(pieces: DataFrame) -> DataFrame:
+    """What :func:`stitch` gives where users have one block and no piece from before: each piece is a session."""
+    return pieces.select("_owner", (F.col("_local") + 1).alias("session_idx"), *PIECE)
 
 
 def finished(sessions: DataFrame) -> DataFrame:

@@ -124,12 +124,19 @@ class RunStore:
 
     def _write_sessions(self, events: DataFrame, products: DataFrame, before: dict, until: str, path: str) -> None:
         gap_min = self.settings.gap_min
-        pieces = sessions.session_pieces(events, products, gap_min, busy=sessions.busy_users(events)).withColumn("_number", F.lit(None).cast("long"))
+        busy = sessions.busy_users(events)
+        quiet = sessions.session_pieces(events.where(~sessions.is_busy(busy)) if busy else events, products, gap_min, busy=[])
+        blocks = sessions.session_pieces(events.where(sessions.is_busy(busy)), products, gap_min) if busy else None
         if before["runs"]:
             earlier = self._last(before).select("_owner", F.lit(None).cast("long").alias("_block"), F.lit(0).cast("long").alias("_local"), *sessions.PIECE, "_number")
-            pieces = pieces.unionByName(earlier)
+            pieces = quiet if blocks is None else quiet.unionByName(blocks)
+            stitched = sessions.stitch(pieces.withColumn("_number", F.lit(None).cast("long")).unionByName(earlier), gap_min)
+        else:  # only busy users have pieces that go on
+            stitched = sessions.whole_pieces(quiet)
+            if blocks is not None:
+                stitched = stitched.unionByName(sessions.stitch(blocks, gap_min))
         # written once, as both tables come from it
-        sessions.stitch(pieces, gap_min).write.parquet(f"{path}/stitched")
+        stitched.write.parquet(f"{path}/stitched")
         stitched = self.spark.read.parquet(f"{path}/stitched")
         border = F.date_add(F.lit(until).cast("date"), 1).cast("timestamp_ntz")
         is_open = F.timestamp_diff("SECOND", F.col("ts_end"), border) <= gap_min * 60
@@ -145,8 +152,13 @@ class RunStore:
 
     def _write_counts(self, products: DataFrame, path: str) -> None:
         open_ = self._open(path)
-        for rows, table in ((self._finished(path, open_), "segment_counts"), (open_, "open_counts")):
-            segments.segment_counts(enrich.required(enrich.enrich_sessions(rows, products))).write.parquet(f"{path}/{table}")
+        is_open = F.col("_open")
+        rows = self._finished(path, open_).withColumn("_open", F.lit(False)).unionByName(open_.withColumn("_open", F.lit(True)))
+        # both are matched and counted in one pass over the sessions and the catalogue; what is counted is small, and is written once for each
+        segments.segment_counts(enrich.required(enrich.enrich_sessions(rows, products)), also=("_open",)).write.parquet(f"{path}/counted")
+        counted = self.spark.read.parquet(f"{path}/counted")
+        for part, table in ((~is_open, "segment_counts"), (is_open, "open_counts")):
+            counted.where(part).drop("_open").write.parquet(f"{path}/{table}")
 
     def _write_tables(self, manifest: dict, products: DataFrame, path: str) -> None:
         Analysis(None, products, self.settings, self._sessions(manifest)).write_tables(path)

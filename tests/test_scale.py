@@ -121,6 +121,27 @@ def test_events_without_an_item_are_many_tasks(spark, products, settings_of):
     assert len(joins) == 1 and joins[0].count("_key#") == 2 and sum("hashpartitioning(cast(_key#" in line for line in plan.splitlines()) == 2
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_quiet_users_are_grouped_once_by_plain_keys(spark, products):
+    events = log(spark, n=900, seed=5)
+    quiet, blocks = sessions.session_pieces(events, products, 300, busy=[]), sessions.session_pieces(events, products, 300, block_s=10**10)
+    same = lambda df: texts(df.withColumns({"queries": F.array_sort("queries"), "categories": F.array_sort("categories")}))
+    assert same(quiet) == same(blocks)
+    assert same(sessions.whole_pieces(quiet)) == same(sessions.stitch(blocks, 300))
+    assert same(sessions.session_pieces(events, products, 300, busy=[0, None]).where("_owner.user_id > 0")) == same(quiet.where("_owner.user_id > 0"))
+    groupings = [line for line in plan_of(quiet).splitlines() if "HashAggregate(" in line or "SortAggregate(" in line]
+    assert len(groupings) == 2 and not any("_owner" in line for line in groupings)  # a partial and a final one
+
+
+def test_the_catalogue_is_shuffled_once_to_be_matched(spark, products):
+    assert plan_of(enrich.catalog_matches(products)).count("Exchange hashpartitioning") == 1
+    got = {(r["query_clean"], r["is_in_product_base"], r["is_article"]) for r in enrich.catalog_matches(products.unionByName(products.withColumn("name", F.lit(" 3")))).collect()}
+    assert got == {("milk", True, False), ("tree", True, False), ("cup", True, False), ("brand", True, False), ("b", True, False), ("dairy", True, False), ("home", True, False), ("1", False, True), ("2", False, True), ("3", True, True)}
+
+
 def days(events, first, last):
     return events.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
