@@ -129,3 +129,21 @@ def text_chunks(text: str, size: int) -> Iterator[str]:
 def hash_share(key: Column, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 50)) / F.lit(float(1 << 50))
+
+
+#: Bits of the filter that :func:`maybe_among` broadcasts: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows whose column ``name`` is among the values that ``keys`` has in it, and some others: what a join can drop before it shuffles.
+
+    The keys' hashes are bits of one bitmap of fixed size, which is broadcast. Far more keys than bits let more rows pass, and cost
+    only work: an exact join has to follow.
+    """
+    slot = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    at = F.bitmap_bit_position(slot)
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(bitmaps), (F.bitmap_bucket_number(slot) == F.col("_bucket")) & hit, "left_semi")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, free_name
+from .common import bound_batches, cut, free_name, maybe_among
 from .components import connected_components
 
 WORDS = 5
@@ -200,7 +200,7 @@ def content_key(text: Column) -> Column:
 
 
 def band_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bands, marks`` (a byte for each component) and ``n`` (all shingles); texts without words are left out."""
+    """``key, text`` to ``key, bands`` and ``n`` (all shingles); texts without words are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,14 +209,17 @@ def band_table(texts: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(stops, prepend=0) > 0)
                 if len(full):
                     signature = bag_signatures(made, stops, BANDS * ROWS)[full]
-                    marks = [m.tobytes() for m in _mix(signature.view(_U)).astype(np.uint8)]
-                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(band_hashes(signature)), "marks": marks, "n": np.diff(stops, prepend=0)[full]})
+                    yield pd.DataFrame({"key": batch["key"].iloc[at + full].to_numpy(), "bands": list(band_hashes(signature)), "n": np.diff(stops, prepend=0)[full]})
 
-    return texts.mapInPandas(run, "key binary, bands array<long>, marks binary, n int")
+    return texts.mapInPandas(run, "key binary, bands array<long>, n int")
 
 
 def bag_table(texts: DataFrame) -> DataFrame:
-    """``key, text`` to ``key, bag`` (its different shingles, sorted) and ``times`` (how often each)."""
+    """``key, text`` of texts with words to ``key, bag`` (its different shingles, sorted), ``times`` (how often each), ``bands, marks`` (a
+    byte for each component) and ``n``.
+
+    Signatures are made again here: only texts of shared buckets come, and what the others would carry isn't shuffled.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,13 +228,17 @@ def bag_table(texts: DataFrame) -> DataFrame:
                 starts, _ = _runs(made, stops)
                 times = np.diff(starts, append=len(made)).astype(np.int32)
                 ends = np.searchsorted(starts, stops)[:-1]
+                signature = bag_signatures(made, stops, BANDS * ROWS)
                 yield pd.DataFrame({
                     "key": batch["key"].iloc[at : at + len(part)].to_numpy(),
                     "bag": np.split(made[starts].view(np.int64), ends),
                     "times": np.split(times, ends),
+                    "bands": list(band_hashes(signature)),
+                    "marks": [m.tobytes() for m in _mix(signature.view(_U)).astype(np.uint8)],
+                    "n": np.diff(stops, prepend=0),
                 })
 
-    return texts.mapInPandas(run, "key binary, bag array<long>, times array<int>")
+    return texts.mapInPandas(run, "key binary, bag array<long>, times array<int>, bands array<long>, marks binary, n int")
 
 
 def overlap(bag_a: np.ndarray, times_a: np.ndarray, bag_b: np.ndarray, times_b: np.ndarray) -> int:
@@ -330,15 +337,16 @@ def _roots(rows: DataFrame, similarity: float) -> DataFrame:
     bound_batches(rows.sparkSession)
     worded = rows.where(F.col("text").rlike(_WORDED)).select("key", "text")
     signed = band_table(worded)
-    bands = cut(signed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "marks", "n")]))
+    bands = cut(signed.groupBy("key").agg(*[F.first(c).alias(c) for c in ("bands", "n")]))
     placed = bands.select("key", "n", F.posexplode("bands").alias("no", "band"))
     # what is joined to a bucket's members is written first: a bucket may hold a third of all texts, and Spark splits such a
     # key only if the other side isn't an aggregate of the same stage
-    shared = cut(placed.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z").select("band", "size"), short=True)
-    members = cut(placed.join(shared, "band"))
-    popular = members.groupBy("key").agg(F.sum("size").alias("popular"))
-    texts = worded.groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
-    bags = cut(bag_table(texts).join(bands, "key"))
+    shared = cut(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), short=True)
+    # most buckets hold one text, and most texts share none: these are dropped before rows are shuffled
+    members = cut(maybe_among(placed, shared, "band").join(shared, "band"))
+    popular = cut(members.groupBy("key").agg(F.sum("size").alias("popular")), short=True)
+    texts = maybe_among(worded, popular, "key").groupBy("key").agg(F.first("text").alias("text")).join(popular.select("key"), "key", "left_semi")
+    bags = cut(bag_table(texts))
 
     known = members.join(popular, "key")
     leads = cut(known.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("lead")), short=True)

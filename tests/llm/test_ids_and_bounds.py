@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickpulse.llm import chat, embed_dedup, mixing, pii, quality
+from clickpulse.llm import chat, common, embed_dedup, minhash, mixing, pii, quality
 
 BIG = 1 << 53
 IDS = [BIG + 1, BIG + 2, BIG + 3, BIG + 4, None]
@@ -127,3 +127,25 @@ def test_a_key_with_many_labels_is_one_row_of_the_sample(spark):
     by_label, by_text = fit(texts, labels + thrice), fit(texts + [texts[4]] * 2, labels)
     assert by_label.lift and by_label.buckets() == by_text.buckets() and all((by_label.lift[b] == by_text.lift[b]).all() for b in by_label.lift)
     assert by_label.prior[0] > by_text.prior[0]
+
+
+def test_rows_without_a_partner_are_dropped_before_a_shuffle(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id"))
+    keys = rows.where("id % 100 = 7").select("key")
+    got = common.maybe_among(rows, keys, "key")
+    kept = {r["id"] for r in got.collect()}
+    assert kept >= set(range(7, 20_000, 100)) and len(kept) < 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert common.maybe_among(rows, keys.limit(0), "key").count() == 0
+    assert common.maybe_among(rows.withColumn("key", F.lit(None).cast("string")), keys.unionByName(rows.limit(1).select(F.lit(None).cast("string").alias("key"))), "key").count() == 20_000
+    monkeypatch.setattr(common, "FILTER_BITS", 64)  # more keys than bits: all rows may pass, none is lost
+    assert {r["id"] for r in common.maybe_among(rows, keys, "key").collect()} >= set(range(7, 20_000, 100))
+
+
+def test_signatures_of_texts_alone_in_their_buckets_are_not_carried(spark):
+    texts = spark.createDataFrame([(b"a", "one two three four five six"), (b"b", "x")], "key binary, text string")
+    assert minhash.band_table(texts).columns == ["key", "bands", "n"]
+    bands = {bytes(r["key"]): (r["bands"], r["n"]) for r in minhash.band_table(texts).collect()}
+    bags = {bytes(r["key"]): r for r in minhash.bag_table(texts).collect()}
+    assert {k: (r["bands"], r["n"]) for k, r in bags.items()} == bands and all(len(r["marks"]) == minhash.BANDS * minhash.ROWS for r in bags.values())
