@@ -3,6 +3,7 @@
     root/runs/<run>/sessions          sessions that the run finished, by date
     root/runs/<run>/last              each user's last session, as a piece that later events can go on with
     root/runs/<run>/segment_counts    counts by segment of the sessions that the run finished; open_counts: of those that may still go on
+    root/runs/<run>/stitched, counted what the tables above are split from; readers don't need it
     root/runs/<run>/day_summary, ...  the tables over all sessions up to the run
     root/manifests/<number>.json      what a reader needs: the runs whose sessions count, the run with the tables, the last day
 
